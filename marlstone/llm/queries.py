@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, language, urls
+from . import audio, language, packing, pii, tokens, urls
 from .common import fold, small_batches, table
 
+#: op9 edits each document: a word in the middle goes, a phrase comes in at a quarter, one is replaced at three quarters, one is added.
+EDITS = """array(
+  named_struct('start', cast(n div 2 as bigint), 'end', cast(n div 2 + 7 as bigint), 'text', ''),
+  named_struct('start', cast(n div 4 as bigint), 'end', cast(n div 4 as bigint), 'text', concat(' revision ', doc_id, ' of')),
+  named_struct('start', cast(3 * n div 4 as bigint), 'end', cast(3 * n div 4 + 3 as bigint), 'text', "'ll 2024"),
+  named_struct('start', cast(n + 99 as bigint), 'end', cast(n + 99 as bigint), 'text', ' The end.'))"""
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pii.digest(pii.sanitise_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return audio.text_as_audio(table(spark, sf_dir, "documents"))
@@ -31,6 +42,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.rules_frame(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 1000, 4 << 20)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
+    edited = tokens.apply_edits(tokens.count_tokens(docs.withColumn("edits", F.expr(EDITS))))
+    return edited.select("doc_id", "tokens_before", "n_tokens", "n_edits", "encoded_chars", F.size("leaf_chars").alias("n_leaves"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 rest AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -43,7 +66,7 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_audio_features, op4_language_id, op6_url_filter)}
+    return {f.__name__: f for f in (op2_pii, op3_audio_features, op4_language_id, op6_url_filter, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
