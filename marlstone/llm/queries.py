@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, language, packing, pii, tokens, urls
+from . import audio, language, neardup, packing, pii, tokens, urls
 from .common import fold, small_batches, table
 
 #: op9 edits each document: a word in the middle goes, a phrase comes in at a quarter, one is replaced at three quarters, one is added.
@@ -42,6 +42,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.rules_frame(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 1000, 4 << 20)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
@@ -66,7 +71,7 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_audio_features, op4_language_id, op6_url_filter, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op2_pii, op3_audio_features, op4_language_id, op6_url_filter, op7_minhash_dedup, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
