@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +51,11 @@ class Words(dict):
     """64-bit numbers of words; a worker keeps those it has met, and forgets them all beyond a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         if len(self) > 600_000:
             self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 256:
+            self[word] = out
         return out
 
 

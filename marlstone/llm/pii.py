@@ -17,6 +17,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,14 +137,14 @@ def frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     bits = key_bits(candidates.select(F.xxhash64("t").alias("h")), "h", LOG2_BITS)
 
     def run(batches):
-        import xxhash
-
         class Known(dict):
             def __missing__(self, word):
                 h = xxhash.xxh64_intdigest(word.encode(), 42)  # as Spark's xxhash64
                 if len(self) > 500_000:
                     self.clear()
-                self[word] = out = bool(passes(bits, np.array([h], np.uint64), LOG2_BITS)[0])
+                out = bool(passes(bits, np.array([h], np.uint64), LOG2_BITS)[0])
+                if len(word) <= 256:
+                    self[word] = out
                 return out
 
         known = Known()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, language, neardup, packing, pii, tokens, urls
+from . import audio, decontam, language, neardup, packing, pii, tokens, toxicity, urls
 from .common import fold, small_batches, table
 
 #: op9 edits each document: a word in the middle goes, a phrase comes in at a quarter, one is replaced at three quarters, one is added.
@@ -19,6 +19,18 @@ EDITS = """array(
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.learn(table(spark, sf_dir, "documents"), labels.where(fold(F.col("doc_id"), 3) != 1))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity_model(spark, sf_dir))
+    return scored.select(F.col("doc_id"), (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return pii.digest(pii.sanitise_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -37,6 +49,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, filters).withColumn("held_out", held)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", F.transform("hits", lambda h: h["item"]).alias("items"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, urls.rules_frame(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
@@ -71,7 +89,7 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_audio_features, op4_language_id, op6_url_filter, op7_minhash_dedup, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_audio_features, op4_language_id, op5_decontamination, op6_url_filter, op7_minhash_dedup, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

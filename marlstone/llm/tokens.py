@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT = 400_000  # chunks that a worker keeps
+KEPT, KEPT_CHARS = 400_000, 32_000_000  # chunks that a worker keeps, and their characters
 LEAF = 16  # chunks in a leaf
 LEAF_CHARS = 4096  # a leaf that grows beyond this is cut again
 #: Texts with other characters than these go through the tokenizers library itself.
@@ -45,6 +45,7 @@ class Encoder:
         self.full = Tokenizer.from_file(json_path)
         self.full.encode_special_tokens = True  # their strings are ordinary text
         self.kept: dict[str, bytes] = {}
+        self.size = 0
 
     def one(self, text: str) -> bytes:
         if not text:
@@ -53,6 +54,15 @@ class Encoder:
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.fast(text), "<u4").tobytes()
 
+    def make_room(self, missing: set[str], needed: list[list[str]]) -> set[str]:
+        """What to learn; beyond the bounds all kept chunks go, and what a batch needs is learnt anew."""
+        self.size += sum(map(len, missing))
+        if len(self.kept) + len(missing) > KEPT or self.size > KEPT_CHARS:
+            self.kept.clear()
+            missing = {c for parts in needed for c in parts}
+            self.size = sum(map(len, missing))
+        return missing
+
     def learn(self, chunks: set[str]) -> None:
         """Encodes chunks that follow a space, all of them in one call."""
         kept = self.kept
@@ -91,10 +101,7 @@ class Encoder:
             missing.update(set(parts).difference(kept))
             cut.append((i, head, parts))
         if missing:
-            if len(kept) + len(missing) > KEPT:
-                kept.clear()
-                missing = {c for _, _, parts in cut for c in parts}
-            self.learn(missing)
+            self.learn(self.make_room(missing, [parts for _, _, parts in cut]))
         get = kept.__getitem__
         for i, head, parts in cut:
             out[i] = self.one(head) + b"".join(map(get, parts))
@@ -123,10 +130,7 @@ def leaves(text: str, enc: Encoder) -> tuple[list[int], list[int]]:
     parts = BETWEEN.split(text) if any(d in text for d in DOUBLE) else text.split(" ")
     missing = set(parts[1:]).difference(enc.kept)
     if missing:
-        if len(enc.kept) + len(missing) > KEPT:
-            enc.kept.clear()
-            missing = set(parts[1:])
-        enc.learn(missing)
+        enc.learn(enc.make_room(missing, [parts[1:]]))
     chars = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     chars[0] -= 1
     sizes = [len(enc.one(parts[0])) // 4, *(len(enc.kept[p]) // 4 for p in parts[1:])]
