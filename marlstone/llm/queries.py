@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontam, language, neardup, packing, pii, tokens, toxicity, urls
+from . import audio, decontam, language, neardup, packing, pii, suffix, tokens, toxicity, urls
 from .common import fold, small_batches, table
 
 #: op9 edits each document: a word in the middle goes, a phrase comes in at a quarter, one is replaced at three quarters, one is added.
@@ -65,6 +65,11 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 2000, 8 << 20)
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 1000, 4 << 20)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
@@ -89,7 +94,7 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_audio_features, op4_language_id, op5_decontamination, op6_url_filter, op7_minhash_dedup, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_audio_features, op4_language_id, op5_decontamination, op6_url_filter, op7_minhash_dedup, op8_suffix_dedup, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
