@@ -23,18 +23,23 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -
     spark.conf.set(ARROW_BYTES, str(size))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Where none is set, a local
-    session (tests) gets a temporary one; a cluster without the setting is an error.
+    Where none is set, a local session (tests) gets a temporary one; a cluster without the setting is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
