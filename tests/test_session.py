@@ -8,6 +8,7 @@ from marlstone.repl import run
 from marlstone.server import Client, Server
 from marlstone.session import connect
 from marlstone.streaming.ingest import append_stream
+from marlstone.sweeper import Sweeper
 
 
 @pytest.fixture
@@ -234,3 +235,17 @@ def test_strict(spark, tmp_path):
     with connect(f"file://{tmp_path}/s", spark, strict=True) as db:
         db.execute("CREATE TABLE t (a INT, b INT)")
         fails(db, "SELECT * FROM t WHERE a = 1 AND b = 2", "compound WHERE with AND")
+
+
+def test_sweeper(db):
+    db.execute("CREATE TABLE sw (id INT)")
+    db.execute("INSERT INTO sw VALUES (1, 1), (2, 1)")
+    db.execute("INSERT INTO sw VALUES (3)")
+    sweeper = Sweeper(db.catalog, every=0.05)
+    sweeper.start()
+    while not sweeper.sweeps:
+        time.sleep(0.05)
+    sweeper.stop()
+    version = db.catalog.version("SW")
+    assert len(version.segments) == 1 and not db.catalog.has_ttl("SW")
+    assert db.catalog.store.read(version).count() == 1
