@@ -161,8 +161,7 @@ def build(terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, tupl
     np.maximum.at(most, (places // BLOCK, of), weights)
     model = Model(terms, idf, np.array([e[0] for e in weighed], np.int64), np.array([e[1] for e in weighed], float), np.searchsorted(keys, grid), places, weights, most, empty_score)
     if weighed:
-        plain = {}  # the background alone: one search for all of them
-        raw = np.array([plain[e[2]] if e[2] in plain else plain.setdefault(e[2] if len(e[2]) == 1 else k, model.vote(*model.nearest(e[2], but=k))) for k, e in enumerate(weighed)])
+        raw = np.array([model.vote(*model.nearest(e[2], but=k)) for k, e in enumerate(weighed)])
         model.steps = isotonic(raw, model.toxic)
     return model
 
