@@ -7,8 +7,7 @@ two permutations give all coordinates, and a shingle's values are one slice of t
 Documents with equal sets are one class. Class representatives that share a band are candidates. Instead of all pairs of
 a bucket, each member first meets one bucket leader, that which it shares most buckets with; the pairs are verified on full
 sets and joined into components. Twice over, since leaders may differ. Where a bucket still holds several components,
-its members are compared across components, by their signatures and in blocks, and what may reach the threshold is verified
-too. So no link between components is lost except those that share no band: at Jaccard 0.75 with 51 bands of 5
+its members are compared across components on full sets, in blocks, and only links that join components leave the task. So no link between components is lost except those that share no band: at Jaccard 0.75 with 51 bands of 5
 coordinates, one in a million.
 """
 
@@ -30,10 +29,7 @@ NEED, OF = 75, 100  # Jaccard at least NEED / OF
 PLACES = 1 << 20
 BANDS, ROWS = 51, 5
 COORDINATES = BANDS * ROWS
-#: Equal coordinates (of their low byte) that a pair across components must have to be verified: at Jaccard 0.75 the
-#: mean is 191 and the deviation 6.9, so six deviations less.
-AGREE = 150
-BLOCK = 1000
+BLOCK = 3_000_000  # characters
 LOG2_BITS = 23
 SPACE = bytes(range(9, 14)) + b" "
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -188,42 +184,49 @@ def best(pairs: DataFrame) -> DataFrame:
     return counted.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("most")).select((-F.col("most.a")).alias("a"), "b")
 
 
-def signatures_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and value, the low byte of each coordinate."""
-
-    def run(batches):
-        for batch in batches:
-            values = [(signature(shingles(t)) & 255).astype(np.uint8).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["id", "value"])
-
-    return texts_of(docs, ids).mapInArrow(run, "id long, value binary").dropDuplicates(["id"])
+def distinct_buckets(members: DataFrame) -> DataFrame:
+    """Of buckets with the same members (key, id, component) one: near-copies meet in many bands."""
+    named = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("h2"))
+    return members.join(named.groupBy("n", "h", "h2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
 def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a bucket (key, id, component, value), in different components, whose signatures may reach the threshold.
+    """Links (a, b) that join different components of a bucket (key, id, component, text), verified on full sets.
 
-    A bucket is dealt in blocks of about BLOCK members, and each task compares two blocks; pairs are not emitted unless they agree.
+    A bucket is dealt in blocks of about BLOCK characters, and each task compares two blocks. A task counts what a document shares
+    with all others through the postings of its shingles, and returns no more links than it takes to join what it has.
     """
-    blocks = members.groupBy("key").agg((F.count("*") / BLOCK + 1).cast("int").alias("blocks"))
+    blocks = members.groupBy("key").agg((F.sum(F.length("text")) / BLOCK + 1).cast("int").alias("blocks"))
     dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tasks = dealt.select("key", "id", "component", "value", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", "id", "component", "value", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    tasks = dealt.select("key", "id", "component", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "key", "id", "component", "text", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
 
     def compare(table: pa.Table) -> pa.Table:
         ids, of, block = (table[c].to_numpy() for c in ("id", "component", "block"))
-        marks = np.frombuffer(b"".join(table["value"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        order = np.argsort(ids, kind="stable")
-        ids, of, block, marks = ids[order], of[order], block[order], marks[order]
         split = block.min() != block.max()
+        sets = [shingles(t) for t in table["text"].to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(number, kind="stable")
+        holders = owner[order]  # postings, shingle after shingle
+        first = np.searchsorted(number[order], np.arange(number.max() + 2))
+        ends = np.cumsum(sizes)
+        root = of.copy()
         a, b = [], []
-        for k in range(len(ids) - 1):
-            near = np.flatnonzero((of[k + 1 :] != of[k]) & ((block[k + 1 :] != block[k]) | (not split)))
-            if len(near):
-                near = near[(marks[k + 1 :][near] == marks[k]).sum(1) >= AGREE] + k + 1
-                a.append(np.full(len(near), ids[k]))
-                b.append(ids[near])
-        return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+        for k in range(1, len(ids)):
+            may = (root[:k] != root[k]) & ((block[:k] != block[k]) | (not split))
+            if not may.any():
+                continue
+            own = number[ends[k] - sizes[k] : ends[k]]
+            both = np.bincount(np.concatenate([holders[first[x] : first[x + 1]] for x in own]), minlength=len(ids))[:k]
+            for i in np.flatnonzero(may & (OF * both >= NEED * (sizes[:k] + sizes[k] - both))):
+                if root[i] != root[k]:
+                    a.append(min(ids[i], ids[k]))
+                    b.append(max(ids[i], ids[k]))
+                    root[root == root[i]] = root[k]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return tasks.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -257,9 +260,9 @@ def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text: str = "te
     pairs = left.where("component != lo.component").select(F.least("id", "lo.id").alias("a"), F.greatest("id", "lo.id").alias("b"))
     again = checkpointed(best(pairs.join(tried, ["a", "b"], "left_anti")))
     links = checkpointed(links.union(verified(known, again)))
-    left = named(links)
-    rest = across(left.join(signatures_of(known, left.select("id")), "id"))
-    links = links.union(verified(known, checkpointed(rest.join(tried.union(again), ["a", "b"], "left_anti"))))
+    left = distinct_buckets(named(links))
+    texts = checkpointed(texts_of(known, left.select("id")).dropDuplicates(["id"]))
+    links = links.union(checkpointed(across(left.select("key", "id", "component").join(texts, "id"))))
 
     groups = components(links)
     classes = checkpointed(

@@ -1,0 +1,299 @@
+"""Operators that compare documents: near-duplicates, repeats, disclosure, and the pipeline."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from marlstone.llm import common, neardup, pii, suffix
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    n = min(5, len(words))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+
+
+def brute_components(docs):
+    sets = {i: shingle_set(t) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def corpus(seed):
+    """Chains of near-copies, exact copies, a passage that many share, and odd texts."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(words) for _ in range(40)]
+    out = []
+    for _ in range(12):
+        text = [rng.choice(words) for _ in range(120)]
+        for _ in range(rng.randint(1, 7)):
+            out.append(" ".join(text))
+            for _ in range(rng.randint(0, 4)):
+                text = list(text)
+                text[rng.randrange(len(text))] = rng.choice(words)
+    out += [" ".join(passage + [rng.choice(words) for _ in range(60)]) for _ in range(25)]
+    out += ["", None, "one two", "One  TWO", "one\ttwo three", " ", "É é", "é é", "w " * 3000, "W " * 2000]
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_match_brute_force(spark, seed, monkeypatch):
+    docs = corpus(seed)
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in docs], "doc_id long, text string, kept string, n int")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: (n, c, c == i) for i, (n, c) in brute_components(docs).items()}
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    same = "the same six words stand here"
+    df = spark.createDataFrame([(None, same), (1, same), (1, same), (2, None), (3, ""), (4, same), (None, None)], "doc_id long, text string")
+    got = sorted(map(tuple, neardup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 2, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 2, 1, False), (None, 0, None, True)], key=str)
+    assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_circulant_signatures_estimate_jaccard():
+    rng = np.random.default_rng(7)
+    for share in (0.2, 0.5, 0.8):
+        agree = []
+        for _ in range(30):
+            x = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+            y = x.copy()
+            n = int(300 * (1 - share) / (1 + share))
+            y[:n] = rng.integers(0, 1 << 62, n)
+            agree.append((neardup.signature(np.unique(x)) == neardup.signature(np.unique(y))).mean())
+        assert abs(np.mean(agree) - share) < 0.05
+    assert len(set(neardup.circulant()[: neardup.PLACES].tolist())) == neardup.PLACES
+
+
+def test_blocks_of_a_bucket_join_what_is_linked(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 150)
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(7, i, i % 4 if i < 12 else i, f"{text} x{i}" if i % 2 else f"other {i} {i} {i} {i} {i}") for i in range(17)]
+    got = [(r.a, r.b) for r in neardup.across(spark.createDataFrame(rows, "key long, id long, component long, text string")).collect()]
+    assert all(a % 2 and b % 2 and rows[a][2] != rows[b][2] for a, b in got)
+    root = {i: rows[i][2] for i in range(17)}
+    for a, b in got:
+        old = root[a]
+        root = {i: root[b] if r == old else r for i, r in root.items()}
+    assert len({root[i] for i in range(17) if i % 2}) == 1 and len({root[i] for i in range(12) if not i % 2}) == 2
+
+
+def test_equal_buckets_are_taken_once(spark):
+    rows = [(k, i, i) for k, ids in ((1, (1, 2)), (2, (1, 2)), (3, (1, 3)), (4, (1, 2, 3))) for i in ids]
+    got = {r.key for r in neardup.distinct_buckets(spark.createDataFrame(rows, "key long, id long, component long")).collect()}
+    assert got == {1, 3, 4}
+
+
+def test_components_of_a_long_chain(spark):
+    rng = random.Random(3)
+    names = rng.sample(range(1000), 300)
+    edges = [(a, b) for a, b in zip(names[:200], names[1:200], strict=False)] + [(names[200], x) for x in names[201:]]
+    rng.shuffle(edges)
+    got = {r.id: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: min(names[:200]) if k < 200 else min(names[200:]) for k, x in enumerate(names)}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- repeats
+
+
+def brute_repeats(docs):
+    seen, out = set(), {}
+    for i, text in sorted(docs, key=lambda d: d[0]):
+        raw = (text or "").encode()
+        gone, own = np.zeros(len(raw), bool), []
+        for k in range(len(raw) - suffix.LENGTH + 1):
+            w = raw[k : k + suffix.LENGTH]
+            if w in seen:
+                gone[k : k + suffix.LENGTH] = True
+            seen.add(w)
+            own.append(w)
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        out[i] = (len(raw), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def repeat_corpus(seed):
+    rng = random.Random(seed)
+    make = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    passages = [make(n) for n in (60, 99, 100, 101, 150, 400)]
+    out = [None, "", "x" * 99, "y" * 100, "y" * 250, "ab" * 300, "abc" * 3000, make(99)]
+    for _ in range(40):
+        out.append("".join(rng.choice([make(rng.randint(1, 200)), rng.choice(passages)]) for _ in range(rng.randint(1, 6))))
+    out += [out[10], out[10], out[20][5:], out[20] + "!"]
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize(("seed", "small"), [(1, False), (2, True)])
+def test_repeats_match_brute_force(spark, monkeypatch, seed, small):
+    if small:
+        for name, n in (("SLICE", 700), ("PIECE", 50), ("CHUNK", 2000), ("SEEN", 5)):
+            monkeypatch.setattr(suffix, name, n)
+    docs = repeat_corpus(seed)
+    df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, spans int").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df).collect()}
+    assert got == brute_repeats(docs)
+
+
+def test_repeats_of_odd_tables(spark):
+    text = "".join(random.Random(1).choices("abcdefgh", k=300))
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text[50:200]), (3, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.remove_repeats(df).collect()), key=str)
+    assert got == sorted([(1, 300, 0), (1, 300, 0), (None, 300, 0), (2, 150, 150), (3, 0, 0)], key=str)
+    assert suffix.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_suffix_order():
+    rng = random.Random(4)
+    for _ in range(150):
+        s = [rng.randint(1, 3) for _ in range(rng.randint(1, 70))]
+        assert suffix.suffix_order(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+    s = [1, 2, 1, 3] * 300 + [2] * 500 + [1, 2, 1, 3] * 100
+    order = suffix.suffix_order(np.array(s)).tolist()
+    assert sorted(order) == list(range(len(s)))
+    prefixes = [s[i : i + suffix.LENGTH] for i in order]
+    assert prefixes == sorted(prefixes)
+
+
+def test_equal_windows_share_an_anchor():
+    x = np.frombuffer(b"".join(random.Random(5).choice([b"abcd", b"xyz", b"q"]) for _ in range(900)), np.uint8)
+    raw = x.tobytes()
+    g, _, first, size, _ = suffix.runs(x, np.array([0]), np.array([len(x)]))
+    of = {}
+    for key, a, n in zip(g.tolist(), first.tolist(), size.tolist(), strict=True):
+        for i in range(a, a + n):
+            assert of.setdefault(raw[i : i + suffix.LENGTH], key) == key
+    assert size.sum() == len(x) - suffix.LENGTH + 1
+
+
+# -- disclosure
+
+
+def brute_disclosing(docs):
+    have, joint, terms = Counter(), Counter(), Counter()
+    for _, text in docs:
+        base = pii.find(text or "")
+        for e in {pii.entity(k, text[a:b]) for k, a, b in base}:
+            have[e] += 1
+        for pair in {(e, t) for e, t, _, _ in pii.context(text or "", base)}:
+            joint[pair] += 1
+        for w in {*pii.WORD.findall((text or "").lower())}:
+            terms[w] += 1
+    n, out = len(docs), {}
+    for (e, t), k in joint.items():
+        if k >= pii.SUPPORT and n > have[e]:
+            part = math.log(n * k / (have[e] * terms[t])) / math.log(n / have[e])
+            if part >= pii.GENERALISE:
+                out[e, t] = 2 if part >= pii.REMOVE else 1
+    return out
+
+
+def test_disclosure_matches_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"wort{c}{d}" for c in "abcdefgh" for d in "klmnop"]
+    docs = []
+    for i in range(120):
+        text = [rng.choice(words) for _ in range(30)]
+        if i % 4 == 0:
+            text[10:10] = ["Zaphod", "founder", "anna@example.org", "of", "Betelgeuse"]
+        if i % 6 == 0:
+            text[3:3] = ["call", "+49 30 1234567"]
+        docs.append((i, " ".join(text)))
+    docs += [(120, None), (121, ""), (122, "x@y.zz " * 500), (5, "Zaphod is here"), (None, "Zaphod anna@example.org Betelgeuse"), (0, docs[0][1])]
+    df = spark.createDataFrame([(i, t, "q") for i, t in docs], "doc_id long, text string, terms string")
+    found = brute_disclosing(docs)
+    assert {t for _, t in found} >= {"zaphod", "betelgeuse"}
+    got = defaultdict(list)
+    for r in pii.sanitise_documents(df).collect():
+        got[r.doc_id, r.text].append(r)
+    assert sum(map(len, got.values())) == len(docs)
+    for i, text in docs:
+        spans = pii.find(text or "")
+        level = {}
+        for e, t, a, b in pii.context(text or "", spans):
+            if (e, t) in found:
+                level[a, b] = max(level.get((a, b), 0), found[e, t])
+        r = got[i, text][0]
+        assert [(s["kind"], s["start"], s["end"]) for s in r.base] == spans
+        assert {(s["start"], s["end"]): s["level"] for s in r.terms or ()} == level
+        assert r.clean_text is None if text is None else "@example" not in r.clean_text
+    digests = pii.digest(pii.sanitise_documents(df)).collect()
+    assert all(len(d.base_sha256) == 64 and d.n_terms == d.spans.count("term:") for d in digests)
+    assert pii.digest(pii.sanitise_documents(df.limit(0))).count() == 0
+
+
+def test_bit_set_passes_its_keys(spark):
+    import pyspark.sql.functions as F
+    import xxhash
+
+    df = spark.range(500).select(F.xxhash64(F.col("id").cast("string")).alias("h"))
+    bits = common.key_bits(df, "h", 14)
+    hashes = np.array([r.h for r in df.collect()], np.int64).view(np.uint64)
+    assert common.passes(bits, hashes, 14).all()
+    assert hashes[7] == xxhash.xxh64_intdigest(b"7", 42)
+    assert not common.key_bits(df.limit(0), "h", 14).any()
+
+
+# -- pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+    from marlstone.llm import decontam, toxicity
+
+    sf = "/root/testdata/sf0.001"
+    docs = common.table(spark, sf, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in kept.collect()}
+        kept = common.checkpointed(stage(spark, kept, sf))
+        assert kept.columns == docs.columns
+        after = {r.doc_id: r.text for r in kept.collect()}
+        if name == "toxicity":
+            labels = common.table(spark, sf, "labels")
+            model = toxicity.learn(docs, labels.where(common.fold(labels.doc_id, 3) != 1))
+            assert set(after) == {i for i, t in before.items() if model.score(model.vector(t))[0] < toxicity.REJECT}
+        if name == "near_dedup":
+            assert set(after) == {i for i, (_, c) in brute_components(sorted(before.items())).items() if c == i}
+        if name == "decontamination":
+            table = decontam.table_of([(r.item_id, r.text) for r in common.table(spark, sf, "benchmark").collect()])
+            assert set(after) == {i for i, t in before.items() if not table.find([t])[0]}
+        if name == "pii":
+            assert set(after) == set(before) and not any(pii.find(t) and t == before[i] for i, t in after.items())
+    packed = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in kept.collect()} <= set(texts)
+
+
+def test_pipeline_keeps_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.createDataFrame([(None, "a text without an id", "en", "s", 5), (1, None, None, None, None), (2, "", "en", "s", 0)], common.table(spark, sf, "documents").schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.checkpointed(stage(spark, docs, sf))
+        assert docs.count() == 3
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 3
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
