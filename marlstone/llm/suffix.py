@@ -124,20 +124,23 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Runs whose anchor passes the bit set: g, doc_id, start, end, and their bytes; runs known to be covered have no bytes."""
+    """Runs whose anchor passes the bit set: g, doc_id, start, end, their bytes, and whether the anchor occurs in them again.
+
+    Runs known to be covered have no bytes.
+    """
 
     def run(batches):
         seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for x, row, start, places, lengths in slices(batch):
-                g, piece, first, size, _ = runs(x, places, lengths)
+                g, piece, first, size, again = runs(x, places, lengths)
                 own = np.flatnonzero(passes(bits, g, LOG2_BITS))
                 if not len(own):
                     continue
                 raw, out, covered = x.tobytes(), [], []
                 docs_of, at = ids[row[piece[own]]], first[own] - places[piece[own]] + start[piece[own]]
-                for key, doc, s, p, n in zip(g[own].view(np.int64).tolist(), docs_of.tolist(), at.tolist(), first[own].tolist(), size[own].tolist(), strict=True):
+                for key, doc, s, p, n, twice in zip(g[own].view(np.int64).tolist(), docs_of.tolist(), at.tolist(), first[own].tolist(), size[own].tolist(), again[own].tolist(), strict=True):
                     body = raw[p : p + n - 1 + LENGTH]
                     name = hashlib.blake2b(body, digest_size=16).digest()
                     other = seen.get(name)
@@ -151,29 +154,23 @@ def repeated_runs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     if len(seen) > SEEN:
                         seen.clear()
                     seen[name] = (doc, s)
-                    out.append((key, doc, s, s + len(body), body))
-                out += [(key, doc, a, b, None) for doc, a, b, key in covered]
-                kinds = [pa.int64()] * 4 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "doc_id", "start", "end", "body"])
+                    out.append((key, doc, s, s + len(body), body, twice))
+                out += [(key, doc, a, b, None, False) for doc, a, b, key in covered]
+                kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "doc_id", "start", "end", "body", "again"])
 
-    return docs.mapInArrow(run, "g long, doc_id long, start long, end long, body binary")
+    return docs.mapInArrow(run, "g long, doc_id long, start long, end long, body binary, again boolean")
 
 
-def names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks from 1 of rows of small non-negative numbers, equal for equal rows; and how many there are."""
+def packed(*columns: np.ndarray) -> np.ndarray:
+    """Rows of small non-negative numbers as one number each, in the same order."""
     key = columns[0].astype(np.uint64)
     for c in columns[1:]:
         top = int(c.max(initial=0)) + 1
         if int(key.max(initial=0)) >= (1 << 63) // top:
             key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
         key = key * np.uint64(top) + c.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.ones(len(key), np.int64)
-    new[1:] = key[1:] != key[:-1]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(new)
-    return out, int(new.sum())
+    return key
 
 
 def suffix_order(s: np.ndarray, stands_for: int = 1) -> np.ndarray:
@@ -185,30 +182,36 @@ def suffix_order(s: np.ndarray, stands_for: int = 1) -> np.ndarray:
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     t = np.concatenate([s, np.zeros(3, s.dtype)])
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # with a place past the end, where the first sample would not close
-    sample = np.concatenate([one, two])
-    name, distinct = names(t[sample], t[sample + 1], t[sample + 2])
-    if distinct < len(sample) and 3 * stands_for < LENGTH:
+    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])  # with a place past the end, where the first kind would not close
+    triple = packed(t[sample], t[sample + 1], t[sample + 2])
+    order = np.argsort(triple)
+    triple = triple[order]
+    new = np.ones(len(sample), np.int64)
+    new[1:] = triple[1:] != triple[:-1]
+    name = np.empty(len(sample), np.int64)
+    name[order] = np.cumsum(new)
+    if not new.all() and 3 * stands_for < LENGTH:
         order = suffix_order(name, 3 * stands_for)
-        name = np.empty(len(sample), np.int64)
         name[order] = np.arange(1, len(sample) + 1)
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = name
-    order = sample[np.argsort(name, kind="stable")]
+    order = sample[order]
     order = order[order < n]
     rest = np.arange(0, n, 3)
-    top = int(rank.max()) + 1
-    key = t[rest].astype(np.int64) * top + rank[rest + 1]
-    by = np.argsort(key, kind="stable")
-    rest, key = rest[by], key[by]
-    # how many sampled suffixes stand before each of the rest; those alike over LENGTH bytes may be out of order
+    # how many sampled suffixes of each kind stand before each of the rest; those alike over LENGTH bytes may be out of order
     in_one = order[order % 3 == 1]
-    before = np.searchsorted(np.sort(t[in_one].astype(np.int64) * top + rank[in_one + 1]), key)
+    both = np.concatenate([in_one, rest])
+    key = packed(t[both], rank[both + 1])
+    first, key = key[: len(in_one)], key[len(in_one) :]
+    by = np.argsort(key)
+    rest = rest[by]
+    before = np.searchsorted(np.sort(first), key[by])
     in_two = order[order % 3 == 2]
-    pair = names(np.concatenate([t[in_two], t[rest]]), np.concatenate([t[in_two + 1], t[rest + 1]]), np.concatenate([rank[in_two + 2], rank[rest + 2]]))[0]
-    before = np.maximum.accumulate(before + np.searchsorted(np.sort(pair[: len(in_two)]), pair[len(in_two) :]))
+    both = np.concatenate([in_two, rest])
+    key = packed(t[both], t[both + 1], rank[both + 2])
+    before += np.searchsorted(np.sort(key[: len(in_two)]), key[len(in_two) :])
+    mine = np.maximum.accumulate(before) + np.arange(len(rest))
     out = np.empty(n, np.int64)
-    mine = before + np.arange(len(rest))
     out[mine] = rest
     free = np.ones(n, bool)
     free[mine] = False
@@ -248,14 +251,26 @@ def covered(found: DataFrame) -> DataFrame:
     """doc_id, start, end stretches from the runs of repeated_runs()."""
 
     def run(batches):
-        bodies: dict[bytes, tuple[int, int]] = {}
-        size, last, out = 0, None, []
+        waiting: list[tuple[bytes, tuple[int, int]]] = []
+        bodies: dict[bytes, tuple[int, int]] = {}  # of the anchor at hand
+        size, last, twice, out = 0, None, False, []
+
+        def close():
+            """An anchor with one body that holds it once has no other equal windows: its runs are done."""
+            nonlocal size, twice
+            if twice or len(bodies) > 1:
+                waiting.extend(bodies.items())
+                size += sum(map(len, bodies))
+            bodies.clear()
+            twice = False
 
         def flush():
-            keys = list(bodies)
-            at = np.array([bodies[k] for k in keys], np.int64).reshape(-1, 2)
-            out.extend(later_windows(keys, at[:, 0], at[:, 1]) if keys else [])
-            bodies.clear()
+            nonlocal size
+            if waiting:
+                at = np.array([place for _, place in waiting], np.int64)
+                out.extend(later_windows([body for body, _ in waiting], at[:, 0], at[:, 1]))
+            waiting.clear()
+            size = 0
 
         def pack():
             rows = pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], ["doc_id", "start", "end"])
@@ -263,24 +278,26 @@ def covered(found: DataFrame) -> DataFrame:
             return rows
 
         for batch in batches:
-            g, doc, start, end, body = (batch.column(j).to_pylist() for j in range(5))
-            for key, d, a, b, text in zip(g, doc, start, end, body, strict=True):
+            g, doc, start, end, body, again = (batch.column(j).to_pylist() for j in range(6))
+            for key, d, a, b, text, more in zip(g, doc, start, end, body, again, strict=True):
                 if text is None:
                     out.append((d, a, b))
                     continue
-                if key != last and size > CHUNK:
-                    flush()
-                    size = 0
-                last = key
+                if key != last:
+                    close()
+                    last = key
+                    if size > CHUNK:
+                        flush()
+                twice |= more
                 other = bodies.get(text)
                 if other is None:
                     bodies[text] = (d, a)
-                    size += len(text)
                 elif other != (d, a):  # all windows of the later one are repeats
                     late = max(other, (d, a))
                     bodies[text] = min(other, (d, a))
                     out.append((*late, late[1] + len(text)))
             yield pack()
+        close()
         flush()
         yield pack()
 
