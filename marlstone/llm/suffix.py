@@ -149,13 +149,14 @@ def repeated_runs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                         if covered and covered[-1][0] == doc and covered[-1][1] <= s <= covered[-1][2]:
                             covered[-1][2] = max(end, covered[-1][2])
                         else:
-                            covered.append([doc, s, end, key])
+                            covered.append([doc, s, end])
                         continue
                     if len(seen) > SEEN:
                         seen.clear()
                     seen[name] = (doc, s)
                     out.append((key, doc, s, s + len(body), body, twice))
-                out += [(key, doc, a, b, None, False) for doc, a, b, key in covered]
+                # stretches need no anchor any more: their documents spread them
+                out += [(int(k), doc, a, b, None, False) for k, (doc, a, b) in zip(mix(np.array([c[0] for c in covered], np.int64).view(np.uint64)).view(np.int64), covered, strict=True)]
                 kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "doc_id", "start", "end", "body", "again"])
 
