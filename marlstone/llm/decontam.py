@@ -55,7 +55,7 @@ class Codes(dict):
     """The codes of what stands between two spaces, as int64 bytes; a worker forgets them all beyond a bound."""
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         out = np.array([code(t) for t in TOKEN.findall(chunk)], np.int64).tobytes()
         if len(chunk) <= 256:

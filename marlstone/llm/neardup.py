@@ -47,7 +47,7 @@ class Words(dict):
     """64-bit numbers of words; a worker keeps those it has met, and forgets them all beyond a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 200_000:
             self.clear()
         out = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 256:

@@ -140,7 +140,7 @@ def frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
         class Known(dict):
             def __missing__(self, word):
                 h = xxhash.xxh64_intdigest(word.encode(), 42)  # as Spark's xxhash64
-                if len(self) > 500_000:
+                if len(self) > 150_000:
                     self.clear()
                 out = bool(passes(bits, np.array([h], np.uint64), LOG2_BITS)[0])
                 if len(word) <= 256:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT, KEPT_CHARS = 400_000, 32_000_000  # chunks that a worker keeps, and their characters
+KEPT, KEPT_CHARS = 200_000, 16_000_000  # chunks that a worker keeps, and their characters
 LEAF = 16  # chunks in a leaf
 LEAF_CHARS = 4096  # a leaf that grows beyond this is cut again
 #: Texts with other characters than these go through the tokenizers library itself.

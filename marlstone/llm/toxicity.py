@@ -70,7 +70,7 @@ class Model:
         for word in WORD.findall(text.lower()):
             hits = known.get(word)
             if hits is None:
-                if len(known) > 500_000:
+                if len(known) > 150_000:
                     known.clear()
                 hits = tuple(self.place[f] for f in features(word) if f in self.place)
                 if len(word) <= 256:
@@ -120,7 +120,7 @@ class Model:
             return self.empty_score, []
         kept = self.answers.get(vector)
         if kept is None:
-            if len(self.answers) > 100_000:
+            if len(self.answers) > 20_000:
                 self.answers.clear()
             found, cosines = self.nearest(vector)
             raw = self.vote(found, cosines)
