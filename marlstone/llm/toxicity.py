@@ -1,25 +1,26 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
-The vocabulary holds words and word beginnings of 4 to 6 letters that mark label 1 in the labelled sample (one-sided log-likelihood ratio), with their idf.
-All other words of a text count together as one background term, so that a text's vector also tells how dense its marks are.
-Examples are the sample's vectors, ordered so that alike ones stand together, in blocks of BLOCK; each term has its
-postings by block and the largest weight in each block. For a text, blocks are visited by falling upper bound
-until the bound is not over the K-th best cosine, so the K largest cosines are exact. Neighbours vote by distance; the vote is calibrated by
+A text's terms are all its words, hashed to BUCKETS places. Besides, words and word beginnings of 4 to 6 letters that mark label 1 in the
+labelled sample (one-sided log-likelihood ratio) are terms of their own, beside which the idf of other words counts ORDINARY times: the labels weigh terms, but leave
+none out. One more term counts the words without a mark, so that a text's vector also tells how dense its marks are.
+Examples are the sample's vectors. Terms in at least 1 / FREQUENT of them stand in a dense matrix, the others in postings; every
+example that shares a term is compared, so the K largest cosines are exact. Neighbours vote by distance; the vote is calibrated by
 isotonic regression over leave-one-out votes of the sample. A text without words has no neighbours and gets the share of label 1
 in the sample.
 
-Everything that is fitted is bounded: at most SAMPLE labelled rows of each label, chosen by a hash of the id, and VOCABULARY terms.
+Everything that is fitted is bounded: at most SAMPLE labelled rows of each label, chosen by a hash of the id, BUCKETS places for words and VOCABULARY marks.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,11 @@ SAMPLE = 8000  # labelled rows of each label, at most
 VOCABULARY = 4096
 LIKELIHOOD, LIFT = 15.0, 3.0
 BEGINNINGS = (4, 5, 6)
-BLOCK, K = 64, 15
-BACKGROUND = 1.0  # idf of the background term
+BUCKETS = 1 << 20  # places for the hashes of words
+ORDINARY = 0.05  # what the idf of a word counts, where that of a mark counts 1
+BACKGROUND = 1.0  # scale of the number of words without a mark
+FREQUENT = 8
+BLOCK, K = 64, 15  # texts compared together; neighbours
 SOFTEN = 0.1  # the vote of a neighbour is 1 / (distance + SOFTEN)
 REJECT = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -39,94 +43,114 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)]
 
 
+class Known(dict):
+    """The terms of a word, as int32 bytes; forgotten all together beyond a bound."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.place = {t: BUCKETS + i for i, t in enumerate(terms)}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 150_000:
+            self.clear()
+        own = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+        out = np.array([own, *(self.place[f] for f in features(word) if f in self.place)], np.int32).tobytes()
+        if len(word) <= 256:
+            self[word] = out
+        return out
+
+
 @dataclass
 class Model:
-    """Terms with idf, the index over the examples, and the calibration."""
+    """Marks, the scale of each term, the index over the examples, and the calibration."""
 
-    terms: list[str]
-    idf: np.ndarray = field(repr=False)
-    ids: np.ndarray = field(repr=False)  # of the examples, in the index's order
+    terms: list[str]  # the marks
+    scale: np.ndarray = field(repr=False)  # by term: idf, times ORDINARY for words; BACKGROUND
+    ids: np.ndarray = field(repr=False)  # of the examples
     toxic: np.ndarray = field(repr=False)
-    starts: np.ndarray = field(repr=False)  # of each (term, block) in the postings; shape (terms, blocks + 1)
+    column: np.ndarray = field(repr=False)  # of a frequent term in `dense`; -1 else
+    dense: np.ndarray = field(repr=False)  # 1 + log(count) by (frequent term, example)
+    starts: np.ndarray = field(repr=False)  # of each term in the postings
     places: np.ndarray = field(repr=False)  # postings: the example
-    weights: np.ndarray = field(repr=False)
-    most: np.ndarray = field(repr=False)  # largest weight by (block, term)
+    counts: np.ndarray = field(repr=False)
+    norms: np.ndarray = field(repr=False)  # of the examples
     empty_score: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
-        self.place = {t: i for i, t in enumerate(self.terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.answers: dict[tuple, tuple] = {}
+        self.known = Known(self.terms)
+        self.answers: dict[bytes, tuple] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "known": {}, "answers": {}}
-
-    def vector(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        """(term, count) pairs of a text, by term; the background comes last, its count rounded to a power of sqrt(2)."""
-        if not text:
-            return ()
-        known, out, other = self.known, Counter(), 0
-        for word in WORD.findall(text.lower()):
-            hits = known.get(word)
-            if hits is None:
-                if len(known) > 150_000:
-                    known.clear()
-                hits = tuple(self.place[f] for f in features(word) if f in self.place)
-                if len(word) <= 256:
-                    known[word] = hits
-            if hits:
-                out.update(hits)
-            else:
-                other += 1
-        if other:
-            out[len(self.terms)] = round(2 ** (round(2 * math.log2(other)) / 2)) if out else 1
-        return tuple(sorted(out.items()))
-
-    def weigh(self, vector: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array([t for t, _ in vector], np.int64)
-        w = (1 + np.log(np.array([n for _, n in vector], float))) * self.idf[terms]
+        return {**self.__dict__, "known": None, "answers": {}}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, known=Known(state["terms"]))
+
+    def vector(self, text: str | None) -> np.ndarray:
+        """Rows (term, count) of a text, by term."""
+        words = WORD.findall(text.lower()) if text else ()
+        chunks = [*map(self.known.__getitem__, words)]
+        out = np.stack(np.unique(np.frombuffer(b"".join(chunks), np.int32), return_counts=True), 1).astype(np.int32)
+        unmarked = sum(len(c) == 4 for c in chunks)
+        return np.append(out, np.array([[BUCKETS + len(self.terms), unmarked]], np.int32), 0) if unmarked else out
+
+    def weigh(self, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        terms = vector[:, 0]
+        w = (1 + np.log(vector[:, 1])) * self.scale[terms]
         return terms, w / max(np.sqrt((w * w).sum()), 1e-12)
 
-    def nearest(self, vector: tuple[tuple[int, int], ...], but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples with the K largest positive cosines (ties: those met first), and the cosines; `but` is left out."""
-        terms, w = self.weigh(vector)
-        bound = self.most[:, terms] @ w
-        found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(cosines) == K and bound[b] <= cosines[-1] + 1e-12):
-                break
-            sums = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                lo, hi = self.starts[t, b], self.starts[t, b + 1]
-                if lo < hi:
-                    sums[self.places[lo:hi] - b * BLOCK] += x * self.weights[lo:hi]
-            own = np.flatnonzero(sums > 0)
+    def cosines(self, vectors: list[np.ndarray]) -> np.ndarray:
+        """Of each vector with each example."""
+        often = np.zeros((len(vectors), len(self.dense)))
+        out = np.zeros((len(vectors), len(self.ids)))
+        for k, v in enumerate(vectors):
+            terms, w = self.weigh(v)
+            w = w * self.scale[terms]
+            at = self.column[terms]
+            often[k, at[at >= 0]] = w[at >= 0]
+            terms, w = terms[at < 0], w[at < 0]
+            lo = self.starts[terms]
+            n = self.starts[terms + 1] - lo
+            own = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             if len(own):
-                found = np.concatenate([found, own + b * BLOCK])
-                cosines = np.concatenate([cosines, np.minimum(np.round(sums[own], 12), 1)])
-                keep = found != but
-                order = np.lexsort((found[keep], -cosines[keep]))[:K]
-                found, cosines = found[keep][order], cosines[keep][order]
-        return found, cosines
+                out[k] = np.bincount(self.places[own], (1 + np.log(self.counts[own])) * np.repeat(w, n), len(self.ids))
+        out += often @ self.dense
+        return np.minimum(np.round(out / self.norms, 12), 1)
+
+    def closest(self, cosines: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The K largest positive of `cosines` (ties: the first), and where they are; `but` is left out."""
+        if but >= 0:
+            cosines[but] = 0
+        least = np.partition(cosines, -K)[-K] if len(cosines) > K else 0
+        found = np.flatnonzero((cosines >= least) & (cosines > 0))
+        found = found[np.lexsort((found, -cosines[found]))[:K]]
+        return found, cosines[found]
+
+    def nearest(self, vector: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Examples with the K largest positive cosines, and the cosines; `but` is left out."""
+        return self.closest(self.cosines([vector])[0], but)
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         w = 1 / (1 - cosines + SOFTEN)
         return float((w * self.toxic[found]).sum() / w.sum()) if len(found) else self.empty_score
 
-    def score(self, vector: tuple[tuple[int, int], ...]) -> tuple[float, list[int]]:
-        """Calibrated score, and the ids of the neighbours."""
-        if not vector:
-            return self.empty_score, []
-        kept = self.answers.get(vector)
-        if kept is None:
-            if len(self.answers) > 20_000:
-                self.answers.clear()
-            found, cosines = self.nearest(vector)
-            raw = self.vote(found, cosines)
-            level = float(np.interp(raw, *self.steps)) if self.steps else raw
-            kept = self.answers[vector] = (min(1.0, max(0.0, 0.98 * level + 0.02 * raw)), self.ids[found].tolist())
-        return kept
+    def scores(self, vectors: list[np.ndarray]) -> list[tuple[float, list[int]]]:
+        """Of each vector the calibrated score, and the ids of the neighbours."""
+        keys = [xxhash.xxh3_128_digest(v.tobytes()) for v in vectors]
+        if len(self.answers) > 20_000:
+            self.answers.clear()
+        new = {k: v for k, v in zip(keys, vectors, strict=True) if len(v) and k not in self.answers}
+        for a in range(0, len(new), BLOCK):
+            some = [*new.items()][a : a + BLOCK]
+            for (k, _), row in zip(some, self.cosines([v for _, v in some]), strict=True):
+                found, cosines = self.closest(row)
+                raw = self.vote(found, cosines)
+                level = float(np.interp(raw, *self.steps)) if self.steps else raw
+                self.answers[k] = (min(1.0, max(0.0, 0.98 * level + 0.02 * raw)), self.ids[found].tolist())
+        return [self.answers[k] if len(v) else (self.empty_score, []) for k, v in zip(keys, vectors, strict=True)]
+
+    def score(self, vector: np.ndarray) -> tuple[float, list[int]]:
+        return self.scores([vector])[0]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,25 +168,30 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
-def build(terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, tuple]], empty_score: float) -> Model:
-    """The index over examples (id, label, vector), and the calibration."""
-    idf, n_terms = np.append(idf, BACKGROUND), len(terms) + 1
-    blank = Model(terms, idf, np.zeros(0, np.int64), np.zeros(0), np.zeros((n_terms, 1), np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, n_terms)), empty_score)
-    weighed = [(i, y, v, *blank.weigh(v)) for i, y, v in examples if v]
-    weighed.sort(key=lambda e: (int(e[3][np.argmax(e[4])]), len(e[2]), e[2], e[0]))
-    blocks = -(-len(weighed) // BLOCK)
-    rows = [(int(t), k, float(x)) for k, (_, _, _, ts, ws) in enumerate(weighed) for t, x in zip(ts, ws, strict=True)]
-    rows.sort()
-    of = np.array([r[0] for r in rows], np.int64)
-    places, weights = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
-    keys = of * max(blocks, 1) + places // BLOCK
-    grid = np.arange(n_terms)[:, None] * max(blocks, 1) + np.arange(blocks + 1)[None]
-    most = np.zeros((blocks, n_terms))
-    np.maximum.at(most, (places // BLOCK, of), weights)
-    model = Model(terms, idf, np.array([e[0] for e in weighed], np.int64), np.array([e[1] for e in weighed], float), np.searchsorted(keys, grid), places, weights, most, empty_score)
-    if weighed:
-        raw = np.array([model.vote(*model.nearest(e[2], but=k)) for k, e in enumerate(weighed)])
-        model.steps = isotonic(raw, model.toxic)
+def build(terms: list[str], ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, of: np.ndarray, counts: np.ndarray, empty_score: float) -> Model:
+    """The index over examples (id, label, size of the vector; their terms and counts one after another), and the calibration."""
+    n_terms, owner = BUCKETS + len(terms) + 1, np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+    have = np.bincount(of, minlength=n_terms)
+    scale = np.log((len(ids) + 1) / (have + 0.5))
+    scale[:BUCKETS] *= ORDINARY
+    scale[-1] = BACKGROUND
+    often = np.flatnonzero(have > max(len(ids) / FREQUENT, 1))
+    column = np.full(n_terms, -1, np.int16)
+    column[often] = np.arange(len(often))
+    tf = 1 + np.log(counts)
+    norms = np.sqrt(np.bincount(owner, (tf * scale[of]) ** 2, len(ids)))
+    at = column[of]
+    dense = np.zeros((len(often), len(ids)))
+    dense[at[at >= 0], owner[at >= 0]] = tf[at >= 0]
+    rare = np.flatnonzero(at < 0)
+    rare = rare[np.argsort(of[rare], kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.where(column < 0, have, 0))]).astype(np.int32)
+    model = Model(terms, scale, ids, toxic, column, dense, starts, owner[rare], counts[rare], np.maximum(norms, 1e-12), empty_score)
+    if len(ids):
+        vectors, raw = np.split(np.stack([of, counts], 1), np.cumsum(sizes)[:-1]), []
+        for a in range(0, len(ids), BLOCK):
+            raw += [model.vote(*model.closest(row, but=a + k)) for k, row in enumerate(model.cosines(vectors[a : a + BLOCK]))]
+        model.steps = isotonic(np.array(raw), toxic)
     return model
 
 
@@ -189,10 +218,11 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
             seen[0][""], seen[1][""] = n
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([seen[y][k] for k in keys], pa.int64()) for y in (0, 1))], ["f", "n0", "n1"])
 
+    none = (np.zeros(0, np.int64), np.zeros(0), *(np.zeros(0, np.int32) for _ in range(3)))
     counts = rows.select("_text", "_y").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = counts.where("f = ''").first()
     if total is None:
-        return build([], np.zeros(0), [], 0.0)
+        return build([], *none, 0.0)
     n0, n1 = total.n0, total.n1
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     expect1, expect0 = (a + b) * (n1 / (n0 + n1)), (a + b) * (n0 / (n0 + n1))
@@ -202,17 +232,20 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
     top = counts.where("f != ''").withColumn("gain", gain).where((F.col("n1") >= 2) & (F.col("gain") >= LIKELIHOOD) & (lift >= LIFT)).orderBy(F.desc("gain"), "f").limit(VOCABULARY).collect()
     top.sort(key=lambda r: r.f)
     terms = [r.f for r in top]
-    idf = np.log((n0 + n1 + 1) / (np.array([r.n0 + r.n1 for r in top], float) + 0.5)) if top else np.zeros(0)
-    blank = build(terms, idf, [], 0.0)
+    blank = build(terms, *none, 0.0)
 
     def vectors(batches):
+        kinds = pa.list_(pa.int32())
         for batch in batches:
             got = [blank.vector(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[t for t, _ in v] for v in got], pa.list_(pa.int32())), pa.array([[n for _, n in v] for v in got], pa.list_(pa.int32()))], ["id", "y", "t", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([v[:, k] for v in got], kinds) for k in (0, 1))], ["id", "y", "t", "n"])
 
-    found = rows.select(F.col("_id").cast("long"), "_text", "_y").mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").collect()  # 2 * sample rows at most
-    examples = [(r.id, r.y, tuple(zip(r.t, r.n, strict=True))) for r in sorted(found)]
-    return build(terms, idf, examples, n1 / (n0 + n1))
+    found = rows.select(F.col("_id").cast("long"), "_text", "_y").mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").toArrow()  # 2 * sample rows at most
+    found = found.sort_by("id").combine_chunks()
+    sizes = pc.list_value_length(found["t"]).to_numpy()
+    some = sizes > 0  # texts without words are near to none
+    of, n = (pc.list_flatten(found[c]).to_numpy() for c in ("t", "n"))
+    return build(terms, found["id"].to_numpy()[some], found["y"].to_numpy()[some].astype(float), sizes[some], of, n, n1 / (n0 + n1))
 
 
 def score_documents(df: DataFrame, model: Model, *, text: str = "text", threshold: float = REJECT) -> DataFrame:
@@ -223,7 +256,7 @@ def score_documents(df: DataFrame, model: Model, *, text: str = "text", threshol
     kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
 
     def run(texts: pa.Array) -> pa.Array:
-        got = [model.score(model.vector(t)) for t in texts.to_pylist()]
+        got = model.scores([model.vector(t) for t in texts.to_pylist()])
         return pa.array([{"score": s, "evidence": e} for s, e in got], kind)
 
     scored = F.arrow_udf(run, "struct<score:double,evidence:array<bigint>>")

@@ -338,6 +338,16 @@ def test_neighbours_are_exact(model):
         assert np.allclose(model.nearest(model.vector(text))[1], brute, atol=1e-9)
 
 
+def test_a_copy_is_nearest_to_its_example(model):
+    model, rows, _ = model
+    texts = dict(rows)
+    for i in (1, 2, 3, 4, 6, 5, 10):  # without marks, and with some
+        found, cosines = model.nearest(model.vector(texts[i]))
+        assert model.ids[found[0]] == i and cosines[0] > cosines[1]
+    vectors = {model.vector(t).tobytes() for _, t in rows}
+    assert len(vectors) == len({tuple(sorted(t.split())) for _, t in rows})
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1, 2, 3, 4.0]), np.array([0, 1, 0, 1.0]))
     assert np.allclose(np.interp([1, 2, 3, 4], x, y), [0, 0.25, 0.5, 1], atol=0.26) and (np.diff(y) > 0).all()
