@@ -9,6 +9,8 @@ isotonic regression over leave-one-out votes of the sample. A text without words
 in the sample.
 
 Everything that is fitted is bounded: at most SAMPLE labelled rows of each label, chosen by a hash of the id, BUCKETS places for words and VOCABULARY marks.
+Where a label has more rows than that, its examples count for the others too (as many as there are by example), so that frequencies, votes, calibration
+and the share of label 1 are those of all labelled rows, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -72,7 +74,9 @@ class Model:
     starts: np.ndarray = field(repr=False)  # of each term in the postings
     places: np.ndarray = field(repr=False)  # postings: the example
     counts: np.ndarray = field(repr=False)
+    tf: np.ndarray = field(repr=False)  # 1 + log(count), by count
     norms: np.ndarray = field(repr=False)  # of the examples
+    stands: np.ndarray = field(repr=False)  # for how many rows each example stands, in proportion
     empty_score: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
 
@@ -113,7 +117,7 @@ class Model:
             n = self.starts[terms + 1] - lo
             own = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             if len(own):
-                out[k] = np.bincount(self.places[own], (1 + np.log(self.counts[own])) * np.repeat(w, n), len(self.ids))
+                out[k] = np.bincount(self.places[own], self.tf[self.counts[own]] * np.repeat(w, n), len(self.ids))
         out += often @ self.dense
         return np.minimum(np.round(out / self.norms, 12), 1)
 
@@ -131,7 +135,7 @@ class Model:
         return self.closest(self.cosines([vector])[0], but)
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
-        w = 1 / (1 - cosines + SOFTEN)
+        w = self.stands[found] / (1 - cosines + SOFTEN)
         return float((w * self.toxic[found]).sum() / w.sum()) if len(found) else self.empty_score
 
     def scores(self, vectors: list[np.ndarray]) -> list[tuple[float, list[int]]]:
@@ -153,12 +157,13 @@ class Model:
         return self.scores([vector])[0]
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Points of the least-squares non-decreasing fit, by pooling adjacent violators."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []  # weight, mean, sum of x
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([1.0, b, a])
+    weights = np.ones(len(x)) if weights is None else weights
+    for a, b, w in zip(x[order].tolist(), y[order].tolist(), weights[order].tolist(), strict=True):
+        pools.append([w, b, a * w])
         while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
             n, m, s = pools.pop()
             p = pools[-1]
@@ -168,11 +173,11 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
-def build(terms: list[str], ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, of: np.ndarray, counts: np.ndarray, empty_score: float) -> Model:
-    """The index over examples (id, label, size of the vector; their terms and counts one after another), and the calibration."""
+def build(terms: list[str], ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, of: np.ndarray, counts: np.ndarray, stands: np.ndarray, empty_score: float) -> Model:
+    """The index over examples (id, label, size of the vector, rows it stands for; their terms and counts one after another), and the calibration."""
     n_terms, owner = BUCKETS + len(terms) + 1, np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
     have = np.bincount(of, minlength=n_terms)
-    scale = np.log((len(ids) + 1) / (have + 0.5))
+    scale = np.log((stands.sum() + 1) / (np.bincount(of, stands[owner], n_terms) + 0.5))
     scale[:BUCKETS] *= ORDINARY
     scale[-1] = BACKGROUND
     often = np.flatnonzero(have > max(len(ids) / FREQUENT, 1))
@@ -186,12 +191,12 @@ def build(terms: list[str], ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarra
     rare = np.flatnonzero(at < 0)
     rare = rare[np.argsort(of[rare], kind="stable")]
     starts = np.concatenate([[0], np.cumsum(np.where(column < 0, have, 0))]).astype(np.int32)
-    model = Model(terms, scale, ids, toxic, column, dense, starts, owner[rare], counts[rare], np.maximum(norms, 1e-12), empty_score)
+    model = Model(terms, scale, ids, toxic, column, dense, starts, owner[rare], counts[rare], 1 + np.log(np.maximum(np.arange(counts.max(initial=1) + 1), 1)), np.maximum(norms, 1e-12), stands, empty_score)
     if len(ids):
         vectors, raw = np.split(np.stack([of, counts], 1), np.cumsum(sizes)[:-1]), []
         for a in range(0, len(ids), BLOCK):
             raw += [model.vote(*model.closest(row, but=a + k)) for k, row in enumerate(model.cosines(vectors[a : a + BLOCK]))]
-        model.steps = isotonic(np.array(raw), toxic)
+        model.steps = isotonic(np.array(raw), toxic, stands)
     return model
 
 
@@ -203,6 +208,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_of")).agg((F.max(label) > 0).cast("int").alias("_y"))
     chosen = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_of"), "_of").limit(sample) for y in (0, 1)]
+    labelled = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     rows = documents.select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("_text"))
     # at most 2 * sample short rows are broadcast
     rows = rows.join(F.broadcast(chosen[0].union(chosen[1])), F.col("_id") == F.col("_of")).groupBy("_text").agg(F.min("_id").alias("_id"), F.max("_y").alias("_y"))
@@ -218,17 +224,20 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
             seen[0][""], seen[1][""] = n
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([seen[y][k] for k in keys], pa.int64()) for y in (0, 1))], ["f", "n0", "n1"])
 
-    none = (np.zeros(0, np.int64), np.zeros(0), *(np.zeros(0, np.int32) for _ in range(3)))
+    none = (np.zeros(0, np.int64), np.zeros(0), *(np.zeros(0, np.int32) for _ in range(3)), np.zeros(0))
     counts = rows.select("_text", "_y").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = counts.where("f = ''").first()
     if total is None:
         return build([], *none, 0.0)
     n0, n1 = total.n0, total.n1
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    expect1, expect0 = (a + b) * (n1 / (n0 + n1)), (a + b) * (n0 / (n0 + n1))
+    each = [max(labelled.get(y, 0) / sample, 1.0) for y in (0, 1)]  # rows by sampled row
+    part1 = n1 * each[1] / (n0 * each[0] + n1 * each[1])
+    each = [w * (n0 + n1) / (n0 * each[0] + n1 * each[1]) for w in each]  # the sample is as much evidence as it has texts
+    a, b = F.col("n1") * F.lit(each[1]), F.col("n0") * F.lit(each[0])
+    expect1, expect0 = (a + b) * part1, (a + b) * (1 - part1)
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     gain = 2 * (part(a, expect1) + part(b, expect0))
-    lift: Column = (a / max(n1, 1)) / ((b + 0.5) / (n0 + 1))
+    lift: Column = (F.col("n1") / max(n1, 1)) / ((F.col("n0") + 0.5) / (n0 + 1))
     top = counts.where("f != ''").withColumn("gain", gain).where((F.col("n1") >= 2) & (F.col("gain") >= LIKELIHOOD) & (lift >= LIFT)).orderBy(F.desc("gain"), "f").limit(VOCABULARY).collect()
     top.sort(key=lambda r: r.f)
     terms = [r.f for r in top]
@@ -245,7 +254,8 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
     sizes = pc.list_value_length(found["t"]).to_numpy()
     some = sizes > 0  # texts without words are near to none
     of, n = (pc.list_flatten(found[c]).to_numpy() for c in ("t", "n"))
-    return build(terms, found["id"].to_numpy()[some], found["y"].to_numpy()[some].astype(float), sizes[some], of, n, n1 / (n0 + n1))
+    toxic = found["y"].to_numpy()[some]
+    return build(terms, found["id"].to_numpy()[some], toxic.astype(float), sizes[some], of, n, np.array(each)[toxic], part1)
 
 
 def score_documents(df: DataFrame, model: Model, *, text: str = "text", threshold: float = REJECT) -> DataFrame:

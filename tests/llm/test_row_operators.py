@@ -348,6 +348,16 @@ def test_a_copy_is_nearest_to_its_example(model):
     assert len(vectors) == len({tuple(sorted(t.split())) for _, t in rows})
 
 
+def test_a_capped_label_keeps_its_share(spark, model):
+    _, rows, labels = model
+    learn = lambda n: toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels[:400], "doc_id long, toxic int"), sample=n)
+    whole, capped = learn(400), learn(80)  # 320 and 80 rows
+    assert len(capped.ids) == 160 and whole.empty_score == pytest.approx(0.2) and capped.empty_score == pytest.approx(0.2)
+    x, y = capped.steps
+    raw = np.array([capped.vote(*capped.nearest(capped.vector(dict(rows)[i]), but=k)) for k, i in enumerate(capped.ids)])
+    assert np.average(np.interp(raw, x, y), weights=capped.stands) == pytest.approx(0.2, abs=0.03)
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1, 2, 3, 4.0]), np.array([0, 1, 0, 1.0]))
     assert np.allclose(np.interp([1, 2, 3, 4], x, y), [0, 0.25, 0.5, 1], atol=0.26) and (np.diff(y) > 0).all()
