@@ -3,7 +3,7 @@
 Texts become templates: words in lower case, with typed placeholders for numbers, units and names (runs of words
 with a capital that don't begin a sentence). Windows of W template tokens of the benchmark are kept in a hash table; a
 document's windows look theirs up. Where an item's windows are found, the values that the document has in the item's slots are
-compared: a re-parameterised question maps each value of the item to one value of its own.
+compared: a re-parameterised question maps each value of the item to one value of its own. Each occurrence in a document is judged by itself.
 
 The benchmark is taken in blocks of a bounded number of items; each block goes to the workers once, and documents are never shuffled.
 """
@@ -114,6 +114,20 @@ def template(texts: list[str | None]) -> Template:
     return Template(codes[keep], base[keep], ((kind == 2) | unit | name)[keep], owner[keep])
 
 
+def occurrences(found: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
+    """Hits (place in the document, place in the item) taken together, by near alignments, and by each alignment.
+
+    Copies of an item of `length` tokens are aligned at least that far apart; what is put in or left out shifts a copy's alignment,
+    so alignments within a quarter of the length, at least, are taken together.
+    """
+    one, near, step = defaultdict(list), defaultdict(list), max(length // 4, 1)
+    for p, q in found:
+        one[p - q].append((p, q))
+        for k in (0, 1):
+            near[(p - q) // step - k].append((p, q))
+    return [found, *near.values(), *one.values()] if len(one) > 1 else [found]
+
+
 @dataclass
 class Table:
     """Template windows of a block of items: sorted hashes with their item and place."""
@@ -142,19 +156,27 @@ class Table:
                 for at in range(lo[k], hi[k]):
                     hits[int(doc.owner[p]), int(item[at])].append((p, int(place[at])))
         for (text, i), found in hits.items():
-            cover = len({q for _, q in found}) / self.total[i]
-            if cover < COVER:
+            if self.cover(i, found) < COVER:
                 continue
-            seen: dict[int, Counter[int]] = defaultdict(Counter)
-            one, size = self.items[i], self.sizes[i]
-            for p, q in {(p + j, q + j) for p, q in found for j in range(size) if one.slots[q + j]}:
-                seen[int(one.values[q])][int(doc.values[p])] += 1
-            slots = sum(sum(c.values()) for c in seen.values())
-            same = sum(max(c.values()) for c in seen.values()) / slots if slots else 1.0
-            if same >= CONSISTENT:
-                out[text].append((self.ids[i], cover, same))
+            for part in occurrences(found, len(self.items[i].codes)):
+                cover = self.cover(i, part)
+                same = self.consistent(i, part, doc) if cover >= COVER else 0
+                if same >= CONSISTENT:
+                    out[text].append((self.ids[i], cover, same))
+                    break
         return [sorted(x) for x in out]
 
+    def cover(self, i: int, found: list[tuple[int, int]]) -> float:
+        return len({q for _, q in found}) / self.total[i]
+
+    def consistent(self, i: int, found: list[tuple[int, int]], doc: Template) -> float:
+        seen: dict[int, Counter[int]] = defaultdict(Counter)
+        one, size = self.items[i], self.sizes[i]
+        for p, q in {(p + j, q + j) for p, q in found for j in range(size) if one.slots[q + j]}:
+            seen[int(one.values[q])][int(doc.values[p])] += 1
+        slots = sum(sum(c.values()) for c in seen.values())
+        return sum(max(c.values()) for c in seen.values()) / slots if slots else 1.0
+
 
 def table_of(rows: list[tuple[int, str]]) -> Table:
     ids, items, sizes, total, parts = [], [], [], [], defaultdict(list)

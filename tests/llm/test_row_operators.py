@@ -393,3 +393,14 @@ def test_inconsistent_slots_do_not_count():
     for n in ("1", "2", "3", "4"):
         mixed = mixed.replace("5", n, 1)
     assert table.find([same])[0] and not table.find([mixed])[0]
+
+
+def test_each_occurrence_is_judged_by_itself():
+    item = "If 5 birds sit on the fence and 5 more come while 5 others go home then how many of the 5 are left there?"
+    table = decontam.table_of([(1, item)])
+    for values in ("58", "8855", "56789", "6789"):
+        for between in (" ", " And now for some other words. " * 30):
+            text = between.join(item.replace("5", v) for v in values)
+            assert [i for i, _, _ in table.find([text])[0]] == [1]
+    longer = " ".join(item.replace("5", v).replace("come while", "come by and by while") for v in "6789")
+    assert table.find([longer])[0]
