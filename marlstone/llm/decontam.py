@@ -24,7 +24,7 @@ from .common import mix
 
 W = 8
 SHORTEST = 4  # template tokens; shorter items are too common to tell
-LITERAL = 0.5  # of a window's tokens must be words
+LITERAL = 0.5  # of a window's tokens must be words, or its values count too
 COVER = 0.3  # of an item's windows found in a document
 CONSISTENT = 0.6  # of the slots whose values agree with the item's most usual mapping
 BLOCK_ITEMS = 20_000
@@ -76,11 +76,11 @@ class Template:
     slots: np.ndarray = field(repr=False)  # whether it is a slot
     owner: np.ndarray = field(repr=False)  # the text
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows, and which of them lie in one text and have words enough."""
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the windows, which of them lie in one text and have words enough, and which lie in one text."""
         n = len(self.codes) - size + 1
         if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
+            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
         codes = self.codes.view(np.uint64)
         h = np.full(n, size, np.uint64)
         for j in range(size):
@@ -88,7 +88,15 @@ class Template:
             h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         words = np.concatenate([[0], np.cumsum(~self.slots)])
-        return mix(h), (words[size:] - words[:-size] >= LITERAL * size) & (self.owner[size - 1 :] == self.owner[:n])
+        enough, within = words[size:] - words[:-size] >= LITERAL * size, self.owner[size - 1 :] == self.owner[:n]
+        few = np.flatnonzero(~enough & within)  # these are hashed as they stand, values and all
+        values, own = self.values.view(np.uint64), np.full(len(few), ~np.uint64(size))
+        for j in range(size):
+            own ^= values[few + j]
+            own *= np.uint64(0x9E3779B97F4A7C15)
+            own ^= own >> np.uint64(29)
+        h[few] = own
+        return mix(h), enough & within, within
 
 
 def template(texts: list[str | None]) -> Template:
@@ -147,8 +155,8 @@ class Table:
         doc = template(texts)
         hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for size, (hashes, item, place) in self.by_size.items():
-            own, enough = doc.windows(size)
-            may = np.flatnonzero(enough & self.sieve[(own >> np.uint64(44)).astype(np.int64)])
+            own, _, within = doc.windows(size)
+            may = np.flatnonzero(within & self.sieve[(own >> np.uint64(44)).astype(np.int64)])
             own = own[may]
             lo, hi = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
             for k in np.flatnonzero(hi > lo).tolist():
@@ -178,6 +186,12 @@ class Table:
         return sum(max(c.values()) for c in seen.values()) / slots if slots else 1.0
 
 
+def counts_on(text: str) -> bool:
+    """Whether a text is only numbers with equal steps between them, as 1 2 3 4: too common to tell."""
+    tokens = TOKEN.findall(text)
+    return all(t.isascii() and t.isdigit() and len(t) < 19 for t in tokens) and len({int(b) - int(a) for a, b in zip(tokens, tokens[1:])}) < 2
+
+
 def table_of(rows: list[tuple[int, str]]) -> Table:
     ids, items, sizes, total, parts = [], [], [], [], defaultdict(list)
     for i, text in rows:
@@ -185,9 +199,11 @@ def table_of(rows: list[tuple[int, str]]) -> Table:
         size = min(W, len(one.codes))
         if size < SHORTEST:
             continue
-        hashes, enough = one.windows(size)
+        hashes, enough, within = one.windows(size)
         if not enough.any():
-            continue
+            if counts_on(text):
+                continue
+            enough = within
         parts[size].append((hashes[enough], np.full(enough.sum(), len(ids)), np.flatnonzero(enough)))
         ids.append(i)
         items.append(one)
@@ -210,8 +226,8 @@ HITS = "array<struct<item:bigint,cover:double,consistent:double>>"
 def contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK_ITEMS) -> DataFrame:
     """Every row of `df` with hits (item, cover, consistent) and contaminated.
 
-    Items with a null id or text, and those shorter than SHORTEST template tokens, match nothing; null and empty texts
-    hold nothing. Columns of `df` named hits or contaminated are replaced. Items are read in blocks, in order of their id;
+    Items with a null id or text, those shorter than SHORTEST template tokens, and plain counts (1 2 3 4 ...) match nothing; items
+    without any window of words enough match copies with the same values only. Null and empty texts hold nothing. Columns of `df` named hits or contaminated are replaced. Items are read in blocks, in order of their id;
     the driver holds one block at a time, as do the workers.
     """
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))

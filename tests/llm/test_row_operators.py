@@ -404,3 +404,11 @@ def test_each_occurrence_is_judged_by_itself():
             assert [i for i, _, _ in table.find([text])[0]] == [1]
     longer = " ".join(item.replace("5", v).replace("come while", "come by and by while") for v in "6789")
     assert table.find([longer])[0]
+
+
+def test_items_of_few_words_match_exact_copies():
+    items = [(1, "12 + 7 = 19, 19 * 3 = 57, 57 - 8 = 49, 49 / 7 = 7"), (2, "1914 1918 1939 1945 1989"), (3, "3 4 5 6 7 8 9 10 11"), (4, "on 12 7 1999 9 11 2001 5 8 2010 and 3 3 2020")]
+    table = decontam.table_of(items)
+    for i, text in items:
+        found = [[k for k, _, _ in one] for one in table.find([f"Some words before {text} and behind.", text.replace("9", "8")])]
+        assert found == [[i] if i != 3 else [], []]
