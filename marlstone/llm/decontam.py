@@ -26,6 +26,7 @@ W = 8
 SHORTEST = 4  # template tokens; shorter items are too common to tell
 LITERAL = 0.5  # of a window's tokens must be words, or its values count too
 COVER = 0.3  # of an item's windows found in a document
+RUN = 13  # windows one after another that are enough, whatever the item's length
 CONSISTENT = 0.6  # of the slots whose values agree with the item's most usual mapping
 BLOCK_ITEMS = 20_000
 SLICE = 1 << 20  # characters looked at together
@@ -136,6 +137,17 @@ def occurrences(found: list[tuple[int, int]], length: int) -> list[list[tuple[in
     return [found, *near.values(), *one.values()] if len(one) > 1 else [found]
 
 
+def runs(found: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Hits one after another at the same alignment, at least RUN of them."""
+    out: list[list[tuple[int, int]]] = []
+    for p, q in sorted(found, key=lambda h: (h[0] - h[1], h[0])):
+        if out and out[-1][-1] == (p - 1, q - 1):
+            out[-1].append((p, q))
+        else:
+            out.append([(p, q)])
+    return [x for x in out if len(x) >= RUN]
+
+
 @dataclass
 class Table:
     """Template windows of a block of items: sorted hashes with their item and place."""
@@ -164,14 +176,22 @@ class Table:
                 for at in range(lo[k], hi[k]):
                     hits[int(doc.owner[p]), int(item[at])].append((p, int(place[at])))
         for (text, i), found in hits.items():
-            if self.cover(i, found) < COVER:
+            if self.cover(i, found) < COVER and len(found) < RUN:
                 continue
             for part in occurrences(found, len(self.items[i].codes)):
                 cover = self.cover(i, part)
-                same = self.consistent(i, part, doc) if cover >= COVER else 0
+                if cover < COVER:
+                    continue
+                same = self.consistent(i, part, doc)
                 if same >= CONSISTENT:
                     out[text].append((self.ids[i], cover, same))
                     break
+            else:
+                for part in runs(found):
+                    same = self.consistent(i, part, doc)
+                    if same >= CONSISTENT:
+                        out[text].append((self.ids[i], self.cover(i, part), same))
+                        break
         return [sorted(x) for x in out]
 
     def cover(self, i: int, found: list[tuple[int, int]]) -> float:

@@ -412,3 +412,10 @@ def test_items_of_few_words_match_exact_copies():
     for i, text in items:
         found = [[k for k, _, _ in one] for one in table.find([f"Some words before {text} and behind.", text.replace("9", "8")])]
         assert found == [[i] if i != 3 else [], []]
+
+
+def test_a_long_run_of_a_long_item_is_enough():
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(200)]
+    table = decontam.table_of([(1, " ".join(words))])
+    got = table.find(["Before " + " ".join(words[80:120]) + " behind", " ".join(words[80:100]), " ".join(words[80:99]), " and ".join(" ".join(words[k : k + 15]) for k in (10, 50, 90))])
+    assert [[i for i, _, _ in one] for one in got] == [[1], [1], [], []]
