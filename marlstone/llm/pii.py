@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and terms whose co-occurrence with an entity gives it away.
 
 Base spans are e-mail addresses, IPv4 addresses, payment card numbers and phone numbers. Every distinct value is an entity.
-Words near a mention are its context terms. Over all documents, with N documents, the information that a term t gives about
+The words of a document are the context terms of every entity in it. Over all documents, with N documents, the information that a term t gives about
 an entity e is PMI(e, t) = log(N df(e, t) / (df(e) df(t))), and that of the entity itself IC(e) = log(N / df(e)). A term that
-gives at least GENERALISE of IC(e), seen with e in at least SUPPORT documents, is generalised to its kind; from REMOVE on it is removed.
+gives at least GENERALISE of IC(e), seen with e in at least SUPPORT documents, is generalised to its kind wherever it stands in documents
+that hold e; from REMOVE on it is removed. Entities in fewer than SUPPORT documents can't have such terms, so their texts are not paired.
 
 Counts are map-side combined. Document frequencies are counted for candidate terms only: workers
 leave out other words by a bit set of fixed size, and an exact join follows. Texts are never shuffled unless the caller
@@ -31,11 +32,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
-REACH = 96  # characters looked at on each side of a mention
-NEAR = 6  # words on each side
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 LOG2_BITS = 22
+PAIRS = 100_000  # kept together by a worker
 
 
 def luhn(digits: str) -> bool:
@@ -81,25 +81,29 @@ def entity(kind: int, value: str) -> str:
     return f"{kind}:" + (value if kind == 1 else "".join(c for c in value if c in "0123456789"))
 
 
-def context(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words near each mention; words that overlap a base span aren't terms."""
-    out = []
-    taken = sorted((a, b) for _, a, b in base)
-    for kind, a, b in base:
-        name = entity(kind, text[a:b])
-        lo, hi = max(0, a - REACH), min(len(text), b + REACH)
-        while lo > 0 and lo > a - 2 * REACH and text[lo - 1].isalpha():  # not from within a word
-            lo -= 1
-        left = list(WORD.finditer(text, lo, a))[-NEAR:]
-        right = [m for m in WORD.finditer(text, b, min(len(text), hi + REACH)) if m.start() < hi][:NEAR]
-        for m in left + right:
-            if not any(x < m.end() and m.start() < y for x, y in taken):
-                out.append((name, m[0].lower(), m.start(), m.end()))
+def words_beside(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words that overlap no base span."""
+    out, taken, k = [], [], 0
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    for m in WORD.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or m.end() <= taken[k][0]:
+            out.append((m[0].lower(), *m.span()))
     return out
 
 
+def context(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
+    """(entity, term, start, end) of each entity with each word of the text; words that overlap a base span aren't terms."""
+    words = words_beside(text, base) if base else []
+    return [(e, *w) for e in dict.fromkeys(entity(k, text[a:b]) for k, a, b in base) for w in words]
+
+
 SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-MENTION = "key long, e string, t string, start long, end long, once int"
 
 
 def base_spans(texts: pa.Array) -> pa.Array:
@@ -107,29 +111,50 @@ def base_spans(texts: pa.Array) -> pa.Array:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """From _id, _key and _text: a row for each context word, and one with an empty term for each entity of a document.
-
-    `once` is 1 for the first row of an (entity, term) in its document.
-    """
+    """From _id, _key and _text: a row (id, key, e) for each entity of a document."""
 
     def run(batches):
         for batch in batches:
             ids, keys, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for i, k, text in zip(ids, keys, batch.column(2).to_pylist(), strict=True):
+                if text:
+                    out += [(i, k, e) for e in dict.fromkeys(entity(kind, text[a:b]) for kind, a, b in find(text))]
+            for a in range(0, len(out), 20_000):
+                columns = zip(*out[a : a + 20_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "key", "e"])
+
+    return docs.select("_id", "_key", "_text").mapInArrow(run, "id long, key long, e string")
+
+
+def pairs(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """e, t, n, de, least: in how many documents each of the entities (columns e, de) occurs with each word, SUPPORT at least, and in how many the word does, at least."""
+    bits = key_bits(entities.select(F.xxhash64("e").alias("h")), "h", LOG2_BITS)
+
+    def rows(counts):
+        keys = list(counts)
+        return pa.RecordBatch.from_arrays([pa.array([e for e, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["e", "t", "n"])
+
+    def run(batches):
+        counts: Counter[tuple[str, str]] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
                 base = find(text) if text else []
                 if not base:
                     continue
-                seen: set[tuple[str, str]] = set()
-                rows = [(entity(kind, text[a:b]), "", a, b) for kind, a, b in base] + context(text, base)
-                for e, t, a, b in rows:
-                    out.append((i, k, e, t, a, b, int((e, t) not in seen)))
-                    seen.add((e, t))
-            for a in range(0, len(out), 20_000):
-                columns = list(zip(*out[a : a + 20_000], strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["id", "key", "e", "t", "start", "end", "once"])
-
-    return docs.select("_id", "_key", "_text").mapInArrow(run, "id long, " + MENTION)
+                names = list(dict.fromkeys(entity(k, text[a:b]) for k, a, b in base))
+                may = passes(bits, np.array([xxhash.xxh64_intdigest(e.encode(), 42) for e in names], np.uint64), LOG2_BITS)  # as Spark's xxhash64
+                words = {w for w, _, _ in words_beside(text, base)} if may.any() else ()
+                for e in [e for e, ok in zip(names, may.tolist(), strict=True) if ok] + [""]:  # "": any of them
+                    counts.update((e, w) for w in words)
+                    if len(counts) > PAIRS:
+                        yield rows(counts)
+                        counts.clear()
+        if counts:
+            yield rows(counts)
+
+    counted = docs.select("_text").mapInArrow(run, "e string, t string, n long").groupBy("e", "t").agg(F.sum("n").alias("n"))
+    counted = checkpointed(counted.where(F.col("n") >= SUPPORT))
+    return counted.join(entities, "e").join(counted.where("e = ''").select("t", F.col("n").alias("least")), "t")
 
 
 def frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -163,18 +188,26 @@ def frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """e, t, level: pairs whose term gives the entity away; level 1 is to be generalised, 2 removed."""
     n_docs = F.lit(docs.count())
-    pairs = found.groupBy("e", "t").agg(F.sum("once").alias("n"))
-    of_entity = pairs.where("t = ''").select("e", F.col("n").alias("de"))
-    joint = pairs.where((F.col("t") != "") & (F.col("n") >= SUPPORT))
-    terms = joint.select("t").distinct()
-    part = F.log(n_docs * F.col("n") / (F.col("de") * F.col("dt"))) / F.log(n_docs / F.col("de"))
+    entities = checkpointed(found.groupBy("e").agg(F.count("*").alias("de")).where((F.col("de") >= SUPPORT) & (F.col("de") < n_docs)))
+    share = lambda dt: F.log(n_docs * F.col("n") / (F.col("de") * F.col(dt))) / F.log(n_docs / F.col("de"))
+    part = share("dt")
+    joint = checkpointed(pairs(docs, entities).where(share("least") >= GENERALISE - 1e-9))  # dt is not less, so nothing is lost
     return (
-        joint.join(of_entity, "e").join(frequencies(docs, terms), "t")
-        .where(n_docs > F.col("de")).withColumn("part", part).where(F.col("part") >= GENERALISE)
+        joint.join(frequencies(docs, joint.select("t").distinct()), "t").withColumn("part", part).where(F.col("part") >= GENERALISE)
         .select("e", "t", F.when(F.col("part") >= REMOVE, 2).otherwise(1).alias("level"))
     )
 
 
+def places(texts: pa.Array, base: pa.Array, terms: pa.Array) -> pa.Array:
+    """Where each of a text's disclosing terms stands: (start, end, level), by start; null where there is none."""
+    out = []
+    for text, spans, own in zip(texts.to_pylist(), base.to_pylist(), terms.to_pylist(), strict=True):
+        level = {w["t"]: w["level"] for w in own or ()}
+        beside = words_beside(text, [(s["kind"], s["start"], s["end"]) for s in spans]) if level else ()
+        out.append([{"start": a, "end": b, "level": level[w]} for w, a, b in beside if w in level] or None)
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("level", pa.int32())])))
+
+
 def sanitise(texts: pa.Array, base: pa.Array, terms: pa.Array) -> pa.Array:
     """Texts with base spans replaced by their kind's name, and terms generalised ([NAME] or [TERM]) or removed."""
     out = []
@@ -207,17 +240,18 @@ def sanitise_documents(df: DataFrame, *, id_column: str = "doc_id", text: str =
     clean = F.arrow_udf(sanitise, "string")
     df = df.drop(*({"base", "terms", "clean_text"} & set(df.columns) - {id_column, text}))
     keyed = df.withColumns({"_id": F.col(id_column).cast("long"), "_key": F.xxhash64(F.col(text)), "_text": F.col(text).cast("string")})
-    found = checkpointed(mentions(keyed))  # small beside the texts, and read five times
-    spans = (
-        found.where("t != ''").join(disclosing(keyed, found), ["e", "t"])
-        .groupBy("id", "key", "start", "end").agg(F.max("level").alias("level"))
-        .groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "level"))).alias("terms"))
+    found = checkpointed(mentions(keyed))  # small beside the texts, and read twice
+    where = F.arrow_udf(places, "array<struct<start:bigint,end:bigint,level:int>>")
+    own = (
+        found.join(disclosing(keyed, found), "e").groupBy("id", "key", "t").agg(F.max("level").alias("level"))
+        .groupBy("id", "key").agg(F.collect_list(F.struct("t", "level")).alias("_own"))
     )
     return (
         keyed.withColumn("base", base(F.col("_text")))
-        .join(spans, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("id")), "left")
+        .join(own, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("id")), "left")
+        .withColumn("terms", where(F.col("_text"), F.col("base"), F.col("_own")))
         .withColumn("clean_text", clean(F.col("_text"), F.col("base"), F.col("terms")))
-        .drop("_id", "_key", "_text", "id", "key")
+        .drop("_id", "_key", "_text", "_own", "id", "key")
     )
 
 

@@ -244,6 +244,13 @@ def test_disclosure_matches_brute_force(spark):
     assert pii.digest(pii.sanitise_documents(df.limit(0))).count() == 0
 
 
+def test_terms_far_from_the_mention_are_found(spark):
+    far = " ".join(f"fill{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    docs = [(i, f"Zaphod {far} {far} anna@example.org and zaphod") for i in range(4)] + [(i, far) for i in range(4, 60)]
+    got = {r.doc_id: r.clean_text for r in pii.sanitise_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all("zaphod" not in got[i].lower() and "filla" in got[i] for i in range(4)) and got[5] == far
+
+
 def test_bit_set_passes_its_keys(spark):
     import pyspark.sql.functions as F
     import xxhash
