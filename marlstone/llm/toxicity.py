@@ -1,14 +1,14 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A text's terms are all its words, hashed to BUCKETS places. Besides, words and word beginnings of 4 to 6 letters that mark label 1 in the
-labelled sample (one-sided log-likelihood ratio) are terms of their own, beside which the idf of other words counts ORDINARY times: the labels weigh terms, but leave
-none out. One more term counts the words without a mark, so that a text's vector also tells how dense its marks are.
-Examples are the sample's vectors. Terms in at least 1 / FREQUENT of them stand in a dense matrix, the others in postings; every
-example that shares a term is compared, so the K largest cosines are exact. Neighbours vote by distance; the vote is calibrated by
-isotonic regression over leave-one-out votes of the sample. A text without words has no neighbours and gets the share of label 1
-in the sample.
+A text's terms are all its words. A term weighs (1 + log(count)) * idf, and the labels weigh terms too: from ORDINARY for a word as common among
+examples of label 0 up to 1 for one whose log odds of label 1 are MARKS standard errors above zero. No word is left out, and words that no example has count for the text's own length.
 
-Everything that is fitted is bounded: at most SAMPLE labelled rows of each label, chosen by a hash of the id, BUCKETS places for words and VOCABULARY marks.
+Examples lie in blocks of BLOCK like ones. The index has postings by term, cut by block, and each term's largest weight in a block. For a
+text, the exact share of its frequent terms and the sums of these maxima bound the cosine with any example of a block; the FIRST best blocks are compared, and then those whose bound is
+above the K-th best cosine so far. So the K nearest examples are exact. They vote by distance; votes are calibrated by isotonic
+regression over the leave-one-out votes of the examples, which a job computes. A text without words has no neighbours and gets the share of label 1.
+
+What is fitted is bounded by the sample: at most SAMPLE labelled rows of each label, chosen by a hash of the id, with all their words.
 Where a label has more rows than that, its examples count for the others too (as many as there are by example), so that frequencies, votes, calibration
 and the share of label 1 are those of all labelled rows, whatever the size of the table.
 """
@@ -16,154 +16,184 @@ and the share of label 1 are those of all labelled rows, whatever the size of th
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 SAMPLE = 8000  # labelled rows of each label, at most
-VOCABULARY = 4096
-LIKELIHOOD, LIFT = 15.0, 3.0
-BEGINNINGS = (4, 5, 6)
-BUCKETS = 1 << 20  # places for the hashes of words
-ORDINARY = 0.05  # what the idf of a word counts, where that of a mark counts 1
-BACKGROUND = 1.0  # scale of the number of words without a mark
-FREQUENT = 8
-BLOCK, K = 64, 15  # texts compared together; neighbours
-SOFTEN = 0.1  # the vote of a neighbour is 1 / (distance + SOFTEN)
+ORDINARY = 0.2  # what the idf of a word counts that doesn't mark label 1
+MARKS = (2.0, 4.0)  # standard errors of the log odds from which a word's weight rises, and where it is 1
+FREQUENT = 20  # terms in at least 1 / FREQUENT of the examples stand in a dense matrix
+BLOCK, FIRST = 32, 8  # examples of a block; blocks that are compared at once
+K = 8  # neighbours
+TOGETHER = 64  # texts compared together
+SOFTEN = 0.02  # the vote of a neighbour is 1 / (distance + SOFTEN)
 REJECT = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[str]:
-    """A word itself, and its beginnings (marked by a star)."""
-    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)]
-
-
 class Known(dict):
-    """The terms of a word, as int32 bytes; forgotten all together beyond a bound."""
-
-    def __init__(self, terms: list[str]) -> None:
-        self.place = {t: BUCKETS + i for i, t in enumerate(terms)}
+    """64-bit hashes of words, as bytes; forgotten all together beyond a bound."""
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > 150_000:
             self.clear()
-        own = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
-        out = np.array([own, *(self.place[f] for f in features(word) if f in self.place)], np.int32).tobytes()
+        out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")).to_bytes(8, "little")
         if len(word) <= 256:
             self[word] = out
         return out
 
 
+_known = Known()
+
+
+def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of a text's words, and how often each occurs."""
+    words = WORD.findall(text.lower()) if text else ()
+    return np.unique(np.frombuffer(b"".join(map(_known.__getitem__, words)), np.uint64), return_counts=True)
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first[i] .. first[i] + n[i] - 1, for one i after another."""
+    return np.repeat((first - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+
+
 @dataclass
-class Model:
-    """Marks, the scale of each term, the index over the examples, and the calibration."""
+class Index:
+    """The examples, in blocks."""
 
-    terms: list[str]  # the marks
-    scale: np.ndarray = field(repr=False)  # by term: idf, times ORDINARY for words; BACKGROUND
-    ids: np.ndarray = field(repr=False)  # of the examples
+    words: np.ndarray = field(repr=False)  # sorted hashes; a word's place is its term
+    scale: np.ndarray = field(repr=False)  # by term, and of a word that no example has
+    ids: np.ndarray = field(repr=False)  # by example, as all that follows
     toxic: np.ndarray = field(repr=False)
-    column: np.ndarray = field(repr=False)  # of a frequent term in `dense`; -1 else
-    dense: np.ndarray = field(repr=False)  # 1 + log(count) by (frequent term, example)
-    starts: np.ndarray = field(repr=False)  # of each term in the postings
-    places: np.ndarray = field(repr=False)  # postings: the example
-    counts: np.ndarray = field(repr=False)
-    tf: np.ndarray = field(repr=False)  # 1 + log(count), by count
-    norms: np.ndarray = field(repr=False)  # of the examples
     stands: np.ndarray = field(repr=False)  # for how many rows each example stands, in proportion
-    empty_score: float = 0.0
-    steps: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+    column: np.ndarray = field(repr=False)  # by term: its row in `dense`, or -1
+    dense: np.ndarray = field(repr=False)  # weights of frequent terms by example, in single precision: cosines are exact to six digits
+    entries: np.ndarray = field(repr=False)  # by term: its first entry; an entry is a block that holds the term
+    block: np.ndarray = field(repr=False)  # by entry
+    most: np.ndarray = field(repr=False)  # by entry: the term's largest weight in the block
+    postings: np.ndarray = field(repr=False)  # by entry: its first posting
+    example: np.ndarray = field(repr=False)  # by posting
+    weight: np.ndarray = field(repr=False)  # by posting
 
     def __post_init__(self) -> None:
-        self.known = Known(self.terms)
-        self.answers: dict[bytes, tuple] = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "known": None, "answers": {}}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state, known=Known(state["terms"]))
-
-    def vector(self, text: str | None) -> np.ndarray:
-        """Rows (term, count) of a text, by term."""
-        words = WORD.findall(text.lower()) if text else ()
-        chunks = [*map(self.known.__getitem__, words)]
-        out = np.stack(np.unique(np.frombuffer(b"".join(chunks), np.int32), return_counts=True), 1).astype(np.int32)
-        unmarked = sum(len(c) == 4 for c in chunks)
-        return np.append(out, np.array([[BUCKETS + len(self.terms), unmarked]], np.int32), 0) if unmarked else out
-
-    def weigh(self, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        terms = vector[:, 0]
-        w = (1 + np.log(vector[:, 1])) * self.scale[terms]
-        return terms, w / max(np.sqrt((w * w).sum()), 1e-12)
-
-    def cosines(self, vectors: list[np.ndarray]) -> np.ndarray:
-        """Of each vector with each example."""
-        often = np.zeros((len(vectors), len(self.dense)))
-        out = np.zeros((len(vectors), len(self.ids)))
-        for k, v in enumerate(vectors):
-            terms, w = self.weigh(v)
-            w = w * self.scale[terms]
+        self.compared = self.skipped = 0  # blocks
+
+    def weigh(self, one: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a vector, of length 1 with the words that no example has, which are left out."""
+        hashes, counts = one
+        at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
+        have = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
+        w = (1 + np.log(counts)) * self.scale[np.where(have, at, -1)]
+        return at[have], w[have] / np.sqrt((w * w).sum())
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the K examples with the largest positive cosines (ties: the smallest id), and these; example but[i] is left out."""
+        weighed = [*map(self.weigh, vectors)]
+        often = np.zeros((len(vectors), len(self.dense)), np.float32)
+        for row, (terms, weights) in zip(often, weighed, strict=True):
             at = self.column[terms]
-            often[k, at[at >= 0]] = w[at >= 0]
-            terms, w = terms[at < 0], w[at < 0]
-            lo = self.starts[terms]
-            n = self.starts[terms + 1] - lo
-            own = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            if len(own):
-                out[k] = np.bincount(self.places[own], self.tf[self.counts[own]] * np.repeat(w, n), len(self.ids))
-        out += often @ self.dense
-        return np.minimum(np.round(out / self.norms, 12), 1)
-
-    def closest(self, cosines: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The K largest positive of `cosines` (ties: the first), and where they are; `but` is left out."""
-        if but >= 0:
-            cosines[but] = 0
-        least = np.partition(cosines, -K)[-K] if len(cosines) > K else 0
-        found = np.flatnonzero((cosines >= least) & (cosines > 0))
-        found = found[np.lexsort((found, -cosines[found]))[:K]]
-        return found, cosines[found]
-
-    def nearest(self, vector: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples with the K largest positive cosines, and the cosines; `but` is left out."""
-        return self.closest(self.cosines([vector])[0], but)
+            row[at[at >= 0]] = weights[at >= 0]
+        return [self.closest(*one, part, but[i] if but else -1) for i, (one, part) in enumerate(zip(weighed, (often @ self.dense).astype(float), strict=True))]
+
+    def closest(self, terms: np.ndarray, weights: np.ndarray, cosines: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """The K nearest examples of one text, from the part of its cosines that frequent terms make up."""
+        rare = self.column[terms] < 0
+        lo = self.entries[terms[rare]]
+        size = self.entries[terms[rare] + 1] - lo
+        entry, w = spread(lo, size), np.repeat(weights[rare], size)
+        block = self.block[entry]
+        cosines = cosines.reshape(-1, BLOCK)
+        bound = cosines.max(1, initial=0) + np.bincount(block, self.most[entry] * w, len(cosines))
+
+        def compare(due: np.ndarray) -> None:
+            mine = due[block]
+            some = entry[mine]
+            first = self.postings[some]
+            size = self.postings[some + 1] - first
+            post = spread(first, size)
+            cosines.ravel()[:] += np.bincount(self.example[post], self.weight[post] * np.repeat(w[mine], size), cosines.size)
+            if but >= 0:
+                cosines.ravel()[but] = 0
+
+        due = bound > 0
+        if len(due) > FIRST:
+            due &= bound >= np.partition(bound, -FIRST)[-FIRST]
+        compare(due)
+        tried = due
+        found = cosines[tried].ravel()
+        least = np.partition(found, -K)[-K] if len(found) > K else 0
+        due = (bound > max(least - 4e-6, 0)) & ~tried
+        self.compared += int(tried.sum() + due.sum())
+        self.skipped += int(len(due) - tried.sum() - due.sum())
+        if due.any():
+            compare(due)
+            tried = tried | due
+            found = cosines[tried].ravel()
+            least = np.partition(found, -K)[-K] if len(found) > K else 0
+        best = np.flatnonzero((found > 0) & (found >= least - 2e-6))
+        place = np.flatnonzero(tried)[best // BLOCK] * BLOCK + best % BLOCK
+        found = np.minimum(np.round(found[best], 6), 1)
+        order = np.lexsort((self.ids[place], -found))[:K]
+        return place[order], found[order]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         w = self.stands[found] / (1 - cosines + SOFTEN)
-        return float((w * self.toxic[found]).sum() / w.sum()) if len(found) else self.empty_score
-
-    def scores(self, vectors: list[np.ndarray]) -> list[tuple[float, list[int]]]:
-        """Of each vector the calibrated score, and the ids of the neighbours."""
-        keys = [xxhash.xxh3_128_digest(v.tobytes()) for v in vectors]
-        if len(self.answers) > 20_000:
-            self.answers.clear()
-        new = {k: v for k, v in zip(keys, vectors, strict=True) if len(v) and k not in self.answers}
-        for a in range(0, len(new), BLOCK):
-            some = [*new.items()][a : a + BLOCK]
-            for (k, _), row in zip(some, self.cosines([v for _, v in some]), strict=True):
-                found, cosines = self.closest(row)
-                raw = self.vote(found, cosines)
-                level = float(np.interp(raw, *self.steps)) if self.steps else raw
-                self.answers[k] = (min(1.0, max(0.0, 0.98 * level + 0.02 * raw)), self.ids[found].tolist())
-        return [self.answers[k] if len(v) else (self.empty_score, []) for k, v in zip(keys, vectors, strict=True)]
-
-    def score(self, vector: np.ndarray) -> tuple[float, list[int]]:
-        return self.scores([vector])[0]
+        return float((w * self.toxic[found]).sum() / w.sum())
+
+
+class Answers(dict):
+    """Votes and neighbours of vectors that a worker has met; forgotten all together beyond a bound."""
+
+    def get_all(self, index: Index, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]] | None]:
+        """The vote and the ids of the neighbours; None for a text without any neighbour."""
+        keys = [xxhash.xxh3_128_digest(h.tobytes() + n.tobytes()) for h, n in vectors]
+        if len(self) > 20_000:
+            self.clear()
+        new = {k: v for k, v in zip(keys, vectors, strict=True) if len(v[0]) and k not in self}
+        names = list(new) if len(index.ids) else []
+        for a in range(0, len(names), TOGETHER):
+            some = names[a : a + TOGETHER]
+            for k, (found, cosines) in zip(some, index.nearest([new[k] for k in some]), strict=True):
+                self[k] = (index.vote(found, cosines), index.ids[found].tolist()) if len(found) else None
+        return [self.get(k) for k in keys]
+
+
+@dataclass
+class Model:
+    """The index and the calibration of its votes."""
+
+    index: Index
+    empty_score: float = 0.0
+    steps: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+
+    def level(self, raw: float) -> float:
+        return float(np.interp(raw, *self.steps)) if self.steps and len(self.steps[0]) else raw
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        got = Answers().get_all(self.index, [*map(vector, texts)])
+        return [(self.level(x[0]), x[1]) if x else (self.empty_score, []) for x in got]
+
+    def score(self, text: str | None) -> tuple[float, list[int]]:
+        return self.scores([text])[0]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Points of the least-squares non-decreasing fit, by pooling adjacent violators."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # weight, mean, sum of x
+    """Points of the least-squares non-decreasing fit: equal x are one point first, then adjacent violators are pooled."""
     weights = np.ones(len(x)) if weights is None else weights
-    for a, b, w in zip(x[order].tolist(), y[order].tolist(), weights[order].tolist(), strict=True):
-        pools.append([w, b, a * w])
+    x, of = np.unique(np.round(x, 9), return_inverse=True)
+    w = np.bincount(of, weights, len(x))
+    y = np.bincount(of, weights * y, len(x)) / w
+    pools: list[list[float]] = []  # weight, mean, sum of x
+    for a, b, n in zip(x.tolist(), y.tolist(), w.tolist(), strict=True):
+        pools.append([n, b, a * n])
         while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
             n, m, s = pools.pop()
             p = pools[-1]
@@ -173,31 +203,73 @@ def isotonic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) ->
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
-def build(terms: list[str], ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, of: np.ndarray, counts: np.ndarray, stands: np.ndarray, empty_score: float) -> Model:
-    """The index over examples (id, label, size of the vector, rows it stands for; their terms and counts one after another), and the calibration."""
-    n_terms, owner = BUCKETS + len(terms) + 1, np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-    have = np.bincount(of, minlength=n_terms)
-    scale = np.log((stands.sum() + 1) / (np.bincount(of, stands[owner], n_terms) + 0.5))
-    scale[:BUCKETS] *= ORDINARY
-    scale[-1] = BACKGROUND
+def alike(rows: np.ndarray) -> np.ndarray:
+    """A number for each row of a matrix, the same for rows near one another: a few rounds of spherical k-means, the same in each run."""
+    rows = rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-12)
+    k = len(rows) // (4 * BLOCK)
+    if k < 2 or not rows.shape[1]:
+        return np.zeros(len(rows), np.int64)
+    centres = rows[:: len(rows) // k][:k]
+    for _ in range(6):
+        of = np.argmax(rows @ centres.T, 1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, rows)
+        centres = np.where(np.any(sums, 1)[:, None], sums, centres)
+        centres = centres / np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-12)
+    return np.argmax(rows @ centres.T, 1)
+
+
+def build(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, counts: np.ndarray, stands: np.ndarray) -> Index:
+    """The index over examples (id, label, number of terms, rows it stands for; their hashes and counts one after another)."""
+    words, of = np.unique(hashes, return_inverse=True)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    have = np.bincount(of, minlength=len(words))
+    n1 = np.bincount(of, toxic[owner], len(words))
+    ones, zeros = toxic.sum(), len(toxic) - toxic.sum()
+    odds = np.log((n1 + 0.5) / (ones + 1)) - np.log((have - n1 + 0.5) / (zeros + 1))
+    errors = odds / np.sqrt(1 / (n1 + 0.5) + 1 / (have - n1 + 0.5))
+    marks = np.clip((errors - MARKS[0]) / (MARKS[1] - MARKS[0]), 0, 1)
+    scale = np.log((stands.sum() + 1) / (np.bincount(of, stands[owner], len(words)) + 0.5)) * (ORDINARY + (1 - ORDINARY) * marks)
+    scale = np.append(scale, np.log((stands.sum() + 1) / 0.5) * ORDINARY)
+    weight = (1 + np.log(counts)) * scale[of]
+    weight /= np.sqrt(np.bincount(owner, weight**2, len(ids)))[owner]
+
     often = np.flatnonzero(have > max(len(ids) / FREQUENT, 1))
-    column = np.full(n_terms, -1, np.int16)
+    column = np.full(len(words), -1, np.int32)
     column[often] = np.arange(len(often))
-    tf = 1 + np.log(counts)
-    norms = np.sqrt(np.bincount(owner, (tf * scale[of]) ** 2, len(ids)))
+    n_blocks = -(-len(ids) // BLOCK)
+    dense = np.zeros((len(often), n_blocks * BLOCK), np.float32)
     at = column[of]
-    dense = np.zeros((len(often), len(ids)))
-    dense[at[at >= 0], owner[at >= 0]] = tf[at >= 0]
+    dense[at[at >= 0], owner[at >= 0]] = weight[at >= 0]
+    order = np.lexsort((ids, toxic, alike(dense[:, : len(ids)].T)))  # examples that are alike are neighbours
+    dense[:, : len(ids)] = dense[:, order]
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+
     rare = np.flatnonzero(at < 0)
-    rare = rare[np.argsort(of[rare], kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.where(column < 0, have, 0))]).astype(np.int32)
-    model = Model(terms, scale, ids, toxic, column, dense, starts, owner[rare], counts[rare], 1 + np.log(np.maximum(np.arange(counts.max(initial=1) + 1), 1)), np.maximum(norms, 1e-12), stands, empty_score)
-    if len(ids):
-        vectors, raw = np.split(np.stack([of, counts], 1), np.cumsum(sizes)[:-1]), []
-        for a in range(0, len(ids), BLOCK):
-            raw += [model.vote(*model.closest(row, but=a + k)) for k, row in enumerate(model.cosines(vectors[a : a + BLOCK]))]
-        model.steps = isotonic(np.array(raw), toxic, stands)
-    return model
+    rare = rare[np.lexsort((place[owner[rare]], of[rare]))]
+    term, example, weight = of[rare], place[owner[rare]], weight[rare]
+    block = example // BLOCK
+    new = np.ones(len(rare), bool)
+    new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(new)
+    most = np.maximum.reduceat(weight, first) if len(first) else weight
+    entries = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=len(words)))])
+    return Index(
+        words, scale, ids[order], toxic[order], stands[order], column, dense,
+        entries.astype(np.int32), block[first].astype(np.int32), np.nextafter(most.astype(np.float32), np.float32(2)), np.append(first, len(rare)).astype(np.int32), example.astype(np.int32), weight,
+    )
+
+
+def examples(documents: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """_id, _y, _text of the sampled labelled documents, equal texts once; and the number of labelled ids by label."""
+    known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("_of")).agg((F.max(label) > 0).cast("int").alias("_y"))
+    chosen = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_of"), "_of").limit(sample) for y in (0, 1)]
+    labelled = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}  # two rows
+    rows = documents.select(F.col(id_column).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+    # at most 2 * sample short rows are broadcast
+    rows = rows.join(F.broadcast(chosen[0].union(chosen[1])), F.col("_id") == F.col("_of")).groupBy("_text").agg(F.min("_id").alias("_id"), F.max("_y").alias("_y"))
+    return rows.select("_id", "_y", "_text"), labelled
 
 
 def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -206,71 +278,67 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
     Null labels and null ids don't count; of several labels of an id the largest holds; equal texts count once.
     Without any labelled document every score is 0.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_of")).agg((F.max(label) > 0).cast("int").alias("_y"))
-    chosen = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_of"), "_of").limit(sample) for y in (0, 1)]
-    labelled = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    rows = documents.select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("_text"))
-    # at most 2 * sample short rows are broadcast
-    rows = rows.join(F.broadcast(chosen[0].union(chosen[1])), F.col("_id") == F.col("_of")).groupBy("_text").agg(F.min("_id").alias("_id"), F.max("_y").alias("_y"))
-
-    def count(batches):
-        for batch in batches:
-            seen: list[Counter[str]] = [Counter(), Counter()]
-            n = [0, 0]
-            for words, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update({f for w in {*WORD.findall((words or "").lower())} for f in features(w)})
-                n[y] += 1
-            keys = [*(seen[0] | seen[1]), ""]
-            seen[0][""], seen[1][""] = n
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([seen[y][k] for k in keys], pa.int64()) for y in (0, 1))], ["f", "n0", "n1"])
-
-    none = (np.zeros(0, np.int64), np.zeros(0), *(np.zeros(0, np.int32) for _ in range(3)), np.zeros(0))
-    counts = rows.select("_text", "_y").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    total = counts.where("f = ''").first()
-    if total is None:
-        return build([], *none, 0.0)
-    n0, n1 = total.n0, total.n1
-    each = [max(labelled.get(y, 0) / sample, 1.0) for y in (0, 1)]  # rows by sampled row
-    part1 = n1 * each[1] / (n0 * each[0] + n1 * each[1])
-    each = [w * (n0 + n1) / (n0 * each[0] + n1 * each[1]) for w in each]  # the sample is as much evidence as it has texts
-    a, b = F.col("n1") * F.lit(each[1]), F.col("n0") * F.lit(each[0])
-    expect1, expect0 = (a + b) * part1, (a + b) * (1 - part1)
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    gain = 2 * (part(a, expect1) + part(b, expect0))
-    lift: Column = (F.col("n1") / max(n1, 1)) / ((F.col("n0") + 0.5) / (n0 + 1))
-    top = counts.where("f != ''").withColumn("gain", gain).where((F.col("n1") >= 2) & (F.col("gain") >= LIKELIHOOD) & (lift >= LIFT)).orderBy(F.desc("gain"), "f").limit(VOCABULARY).collect()
-    top.sort(key=lambda r: r.f)
-    terms = [r.f for r in top]
-    blank = build(terms, *none, 0.0)
+    rows, labelled = examples(documents, labels, id_column, text, label, sample)
+    rows = checkpointed(rows)
 
     def vectors(batches):
-        kinds = pa.list_(pa.int32())
+        kinds = pa.list_(pa.int64()), pa.list_(pa.int32())
         for batch in batches:
-            got = [blank.vector(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([v[:, k] for v in got], kinds) for k in (0, 1))], ["id", "y", "t", "n"])
-
-    found = rows.select(F.col("_id").cast("long"), "_text", "_y").mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").toArrow()  # 2 * sample rows at most
-    found = found.sort_by("id").combine_chunks()
-    sizes = pc.list_value_length(found["t"]).to_numpy()
+            got = [vector(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h.view(np.int64) for h, _ in got], kinds[0]), pa.array([n.astype(np.int32) for _, n in got], kinds[1])], ["id", "y", "h", "n"])
+
+    found = rows.mapInArrow(vectors, "id long, y int, h array<long>, n array<int>").toArrow().sort_by("id").combine_chunks()  # 2 * sample rows at most
+    y = found["y"].to_numpy()
+    n = np.bincount(y, minlength=2)
+    if not len(y):
+        none = np.zeros(0)
+        return Model(build(none.astype(np.int64), none, none.astype(np.int64), none.astype(np.uint64), none, none))
+    each = np.array([max(labelled.get(k, 0) / sample, 1.0) for k in (0, 1)])  # rows by sampled row
+    share = n[1] * each[1] / (n * each).sum()
+    each = each * n.sum() / (n * each).sum()  # the sample is as much evidence as it has texts
+    sizes = pc.list_value_length(found["h"]).to_numpy()
     some = sizes > 0  # texts without words are near to none
-    of, n = (pc.list_flatten(found[c]).to_numpy() for c in ("t", "n"))
-    toxic = found["y"].to_numpy()[some]
-    return build(terms, found["id"].to_numpy()[some], toxic.astype(float), sizes[some], of, n, np.array(each)[toxic], part1)
+    hashes, counts = pc.list_flatten(found["h"]).to_numpy().view(np.uint64), pc.list_flatten(found["n"]).to_numpy()
+    index = build(found["id"].to_numpy()[some], y[some].astype(float), sizes[some], hashes, counts, each[y[some]])
+    model = Model(index, share)
+    if not len(index.ids):
+        return model
+    shared = documents.sparkSession.sparkContext.broadcast(index)
+
+    def left_out(batches):
+        """Votes of the examples, each without itself."""
+        index = shared.value
+        places = {i: k for k, i in enumerate(index.ids.tolist())}
+        for batch in batches:
+            texts = {i: t for i, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True) if i in places}
+            ids, votes = list(texts), []
+            for a in range(0, len(ids), TOGETHER):
+                part = ids[a : a + TOGETHER]
+                votes += [index.vote(*x) if len(x[0]) else share for x in index.nearest([vector(texts[i]) for i in part], [places[i] for i in part])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(votes, pa.float64())], ["id", "vote"])
+
+    votes = rows.mapInArrow(left_out, "id long, vote double").toArrow().sort_by("id")  # 2 * sample rows at most
+    shared.unpersist()
+    by_id = np.argsort(index.ids)
+    model.steps = isotonic(votes["vote"].to_numpy(), index.toxic[by_id], index.stands[by_id])
+    return model
 
 
 def score_documents(df: DataFrame, model: Model, *, text: str = "text", threshold: float = REJECT) -> DataFrame:
-    """Every row of `df` with score, predicted and evidence (ids of the nearest examples); map-only.
+    """Every row of `df` with score, predicted and evidence (ids of the nearest examples, nearest first); map-only.
 
-    Null and empty texts get the score of texts without evidence. Columns of `df` with these names are replaced.
+    Null and empty texts, and texts without words, get the share of label 1. Columns of `df` with these names are replaced.
     """
     kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
+    shared = df.sparkSession.sparkContext.broadcast((model, Answers()))
 
     def run(texts: pa.Array) -> pa.Array:
-        got = model.scores([model.vector(t) for t in texts.to_pylist()])
-        return pa.array([{"score": s, "evidence": e} for s, e in got], kind)
+        model, answers = shared.value  # one for each worker, whatever the number of its tasks
+        got = answers.get_all(model.index, [vector(t) for t in texts.to_pylist()])
+        return pa.array([{"score": model.level(x[0]), "evidence": x[1]} if x else {"score": model.empty_score, "evidence": []} for x in got], kind)
 
-    scored = F.arrow_udf(run, "struct<score:double,evidence:array<bigint>>")
+    scored, name = F.arrow_udf(run, "struct<score:double,evidence:array<bigint>>"), "__toxicity_scored"
     return (
-        df.drop("score", "predicted", "evidence").withColumn("_scored", scored(F.col(text).cast("string")))
-        .withColumns({"score": F.col("_scored.score"), "evidence": F.col("_scored.evidence"), "predicted": (F.col("_scored.score") >= threshold).cast("int")}).drop("_scored")
+        df.withColumn(name, scored(F.col(text).cast("string"))).drop(*({"score", "predicted", "evidence"} - {text}))
+        .withColumns({"score": F.col(f"{name}.score"), "evidence": F.col(f"{name}.evidence"), "predicted": (F.col(f"{name}.score") >= threshold).cast("int")}).drop(name)
     )

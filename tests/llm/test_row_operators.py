@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import re
 import wave
 import zlib
@@ -315,7 +316,7 @@ def model(spark):
 
 def test_toxicity(spark, model, docs, none):
     model = model[0]
-    df = spark.createDataFrame([(1, "wax Grobianisch wbx"), (2, "wax wbx wcx"), (3, ""), (4, None), (5, "snurfel! " * 5000), (5, "snurfel! " * 5000)], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "wax Grobian wbx"), (2, "wax wbx wcx"), (3, ""), (4, None), (5, "snurfel! " * 5000), (5, "snurfel! " * 5000)], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity.score_documents(df, model).collect()}
     assert got[1].predicted == 1 and got[2].predicted == 0 and got[5].predicted == 1 and got[3].score == got[4].score and all(0 <= r.score <= 1 for r in got.values())
     assert len(got[1].evidence) == toxicity.K
@@ -326,41 +327,96 @@ def test_toxicity(spark, model, docs, none):
     assert {r.score for r in toxicity.score_documents(docs, nothing).collect()} == {0.0}
 
 
-def test_neighbours_are_exact(model):
-    model, rows, _ = model
-    blocks = len(model.ids) // toxicity.BLOCK
-    assert blocks > 2
-    vectors = {i: model.vector(t) for i, t in rows}
-    for text in [t for _, t in rows[:40]] + ["grobian", "snurfel snurfel wax", "wax " * 50 + "grobschaft"]:
-        terms, w = model.weigh(model.vector(text))
-        q = dict(zip(terms.tolist(), w.tolist(), strict=True))
-        brute = sorted((sum(q.get(int(t), 0) * x for t, x in zip(*model.weigh(vectors[int(i)]), strict=True)) for i in model.ids), reverse=True)[: toxicity.K]
-        assert np.allclose(model.nearest(model.vector(text))[1], brute, atol=1e-9)
+def greatest(labels):
+    """Of several labels of an id the largest."""
+    return {i: y for i, y in sorted((i, y) for i, y in labels if i is not None and y is not None)}
+
+
+def brute_votes(rows, labels, queries):
+    """Plain TF-IDF with the weights of labels, cosines and votes; queries are (text, id to leave out)."""
+    label = greatest(labels)
+    texts = {i: t for i, t in rows if i in label}
+    bags = {i: Counter(toxicity.WORD.findall(t.lower())) for i, t in texts.items()}
+    n = len(bags)
+    have = Counter(w for b in bags.values() for w in b)
+    n1 = Counter(w for i, b in bags.items() if label[i] for w in b)
+    ones = sum(label[i] for i in bags)
+
+    def scale(w):
+        k1, k0 = n1[w], have[w] - n1[w]
+        odds = math.log((k1 + 0.5) / (ones + 1)) - math.log((k0 + 0.5) / (n - ones + 1))
+        z = odds / math.sqrt(1 / (k1 + 0.5) + 1 / (k0 + 0.5))
+        mark = min(1, max(0, (z - toxicity.MARKS[0]) / (toxicity.MARKS[1] - toxicity.MARKS[0]))) if have[w] else 0
+        return math.log((n + 1) / (have[w] + 0.5)) * (toxicity.ORDINARY + (1 - toxicity.ORDINARY) * mark)
+
+    def weigh(bag):
+        w = {t: (1 + math.log(c)) * scale(t) for t, c in bag.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    vectors, out = {i: weigh(b) for i, b in bags.items()}, []
+    for text, but in queries:
+        q = weigh(Counter(toxicity.WORD.findall(text.lower())))
+        near = sorted((-min(1, round(sum(x * v.get(t, 0) for t, x in q.items()), 6)), i) for i, v in vectors.items() if i != but)[: toxicity.K]
+        near = [(-c, i) for c, i in near if c < 0]
+        w = [1 / (1 - c + toxicity.SOFTEN) for c, _ in near]
+        out.append(([i for _, i in near], sum(x * label[i] for x, (_, i) in zip(w, near, strict=True)) / sum(w) if w else None))
+    return out
+
+
+def test_scores_match_brute_force(model):
+    model, rows, labels = model
+    queries = [t for _, t in rows[:40]] + ["grobian", "snurfel snurfel wax", "wax " * 50 + "grobschaft", "nothing wax known"]
+    expected = brute_votes(rows, labels, [(t, None) for t in queries])
+    got = toxicity.Answers().get_all(model.index, [toxicity.vector(t) for t in queries])
+    for (ids, vote), (own_vote, own_ids) in zip(expected, got, strict=True):
+        assert own_ids == ids and own_vote == pytest.approx(vote, abs=1e-4)
+    left_out = brute_votes(rows, labels, [(t, i) for i, t in rows])
+    label = greatest(labels)
+    x, y = toxicity.isotonic(np.array([v for _, v in left_out]), np.array([float(label[i]) for i, _ in rows]))
+    assert np.allclose([model.level(v) for _, v in left_out], np.interp([v for _, v in left_out], x, y), atol=0.01)
+
+
+def test_bounds_skip_blocks_and_lose_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    kinds = [[f"{k}{c}{d}" for c in "abcdefgh" for d in "abcdefgh"] for k in "uvxyz"]
+    texts = [" ".join(rng.choice(kinds[i % 5], 25)) + f" own{i % 90}" for i in range(600)]
+    made = [toxicity.vector(t) for t in texts]
+    args = np.arange(600), rng.integers(0, 2, 600).astype(float), np.array([len(h) for h, _ in made]), np.concatenate([h for h, _ in made]), np.concatenate([n for _, n in made]), np.ones(600)
+    index = toxicity.build(*args)
+    got = index.nearest(made)
+    assert index.skipped > index.compared
+    monkeypatch.setattr(toxicity, "FIRST", 10_000)  # all blocks at once
+    whole = toxicity.build(*args)
+    for (a, x), (b, y) in zip(got, whole.nearest(made), strict=True):
+        assert index.ids[a].tolist() == whole.ids[b].tolist() and np.allclose(x, y, atol=2e-6)
 
 
 def test_a_copy_is_nearest_to_its_example(model):
     model, rows, _ = model
     texts = dict(rows)
     for i in (1, 2, 3, 4, 6, 5, 10):  # without marks, and with some
-        found, cosines = model.nearest(model.vector(texts[i]))
-        assert model.ids[found[0]] == i and cosines[0] > cosines[1]
-    vectors = {model.vector(t).tobytes() for _, t in rows}
-    assert len(vectors) == len({tuple(sorted(t.split())) for _, t in rows})
+        (found, cosines), = model.index.nearest([toxicity.vector(texts[i])])
+        assert model.index.ids[found[0]] == i and cosines[0] == 1 > cosines[1]
 
 
 def test_a_capped_label_keeps_its_share(spark, model):
     _, rows, labels = model
     learn = lambda n: toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels[:400], "doc_id long, toxic int"), sample=n)
     whole, capped = learn(400), learn(80)  # 320 and 80 rows
-    assert len(capped.ids) == 160 and whole.empty_score == pytest.approx(0.2) and capped.empty_score == pytest.approx(0.2)
-    x, y = capped.steps
-    raw = np.array([capped.vote(*capped.nearest(capped.vector(dict(rows)[i]), but=k)) for k, i in enumerate(capped.ids)])
-    assert np.average(np.interp(raw, x, y), weights=capped.stands) == pytest.approx(0.2, abs=0.03)
+    index = capped.index
+    assert len(index.ids) == 160 and whole.empty_score == pytest.approx(0.2) and capped.empty_score == pytest.approx(0.2)
+    raw = [index.vote(*index.nearest([toxicity.vector(dict(rows)[i])], [k])[0]) for k, i in enumerate(index.ids.tolist())]
+    assert np.average([capped.level(x) for x in raw], weights=index.stands) == pytest.approx(0.2, abs=0.03)
 
 
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1, 2, 3, 4.0]), np.array([0, 1, 0, 1.0]))
-    assert np.allclose(np.interp([1, 2, 3, 4], x, y), [0, 0.25, 0.5, 1], atol=0.26) and (np.diff(y) > 0).all()
+    assert x.tolist() == [1, 2.5, 4] and y.tolist() == [0, 0.5, 1]
+    for labels in ([1, 1, 0, 1, 1, 1], [0, 1, 1, 1, 1, 1]):  # ties are one point, in any order
+        x, y = toxicity.isotonic(np.ones(6), np.array(labels, float))
+        assert x.tolist() == [1] and y.tolist() == [pytest.approx(5 / 6)]
+    assert toxicity.isotonic(np.array([0.5] * 4), np.array([0, 0, 1, 1.0]))[1].tolist() == [0.5]
 
 
 # -- templates
@@ -368,54 +424,110 @@ def test_isotonic():
 ITEM = "A train leaves Bonn with 120 people and after 3 hours it carries 45 boxes more than the slow one from Anna Maria did before."
 
 
+def held(spark, items, texts):
+    """Ids of the items that each text holds."""
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [h["item"] for h in r.hits] for r in decontam.contamination(docs, bench).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
 def test_templates_catch_new_parameters(spark, none):
     changed = ITEM.replace("Bonn", "Oslo").replace("120", "77").replace("45", "9,5").replace("Anna Maria", "Peter")
     other = "A boat leaves quietly and nobody on board knows where the old captain wants to go after the storm of last night."
     odd = "A train leaves Bonn with 120 people and after 3 hours. " + "Words of no kind. " * 20
-    bench = spark.createDataFrame([(1, ITEM), (2, other), (3, "too short"), (4, None), (None, ITEM), (5, ""), (6, "1 2 3 4 5 6 7 8 9 10 11 12")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, other), (3, "too short"), (4, None), (None, ITEM), (5, ""), (6, "1 2 3 4 5 6 7 8 9 10 11 12")], "item_id long, text string")
     docs = spark.createDataFrame(
-        [(1, "Before. " + ITEM + " Behind."), (2, f"x {changed} y"), (3, ITEM.upper()), (4, odd), (5, None), (6, ""), (7, "too short"), (8, "1 2 3 4 5 6 7 8 9 10 11 12 13"), (9, "w " * 20_000 + other), (9, "w " * 20_000 + other), (None, other)],
+        [(1, "Before. " + ITEM + " Behind."), (2, f"x {changed} y"), (3, ITEM.upper()), (4, odd), (5, None), (6, ""), (7, "much too short"), (8, "1 2 3 4 5 6 7 8 9 10 11 12 13"), (9, "w " * 20_000 + other), (9, "w " * 20_000 + other), (None, other), (10, "Too short!")],
         "doc_id long, text string",
     )
-    for block in (decontam.BLOCK_ITEMS, 1):
-        got = defaultdict(list)
-        for r in decontam.contamination(docs.withColumn("hits", docs.doc_id), bench, block=block).collect():
-            got[r.doc_id].append(sorted(h["item"] for h in r.hits))
-        assert got == {1: [[1]], 2: [[1]], 3: [[1]], 4: [[]], 5: [[]], 6: [[]], 7: [[]], 8: [[]], 9: [[2], [2]], None: [[2]]}
+    got = defaultdict(list)
+    for r in decontam.contamination(docs.withColumn("hits", docs.doc_id), bench).collect():
+        got[r.doc_id].append(sorted(h["item"] for h in r.hits))
+    assert got == {1: [[1]], 2: [[1]], 3: [[1]], 4: [[]], 5: [[]], 6: [[]], 7: [[]], 8: [[]], 9: [[2], [2]], None: [[2]], 10: [[3]]}
     assert decontam.contamination(none, bench).count() == 0
     assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_inconsistent_slots_do_not_count():
+def test_slots_map_one_to_one(spark):
     item = "If 5 birds sit on the fence and 5 more come while 5 others go home then how many of the 5 are left there?"
-    table = decontam.table_of([(1, item)])
     same, mixed = item.replace("5", "8"), item
     for n in ("1", "2", "3", "4"):
         mixed = mixed.replace("5", n, 1)
-    assert table.find([same])[0] and not table.find([mixed])[0]
+    apples = "Anna puts 5 red apples into the basket and takes 7 green pears out of the other basket near the door"
+    merged = apples.replace("5", "9").replace("7", "9")
+    assert held(spark, [(1, item), (2, apples)], [same, mixed, apples, merged, apples.replace("5", "9").replace("7", "4"), apples.replace("5", "7").replace("7 g", "5 g")]) == [[1], [], [2], [], [2], [2]]
 
 
-def test_each_occurrence_is_judged_by_itself():
+def test_each_occurrence_is_judged_by_itself(spark):
     item = "If 5 birds sit on the fence and 5 more come while 5 others go home then how many of the 5 are left there?"
-    table = decontam.table_of([(1, item)])
-    for values in ("58", "8855", "56789", "6789"):
-        for between in (" ", " And now for some other words. " * 30):
-            text = between.join(item.replace("5", v) for v in values)
-            assert [i for i, _, _ in table.find([text])[0]] == [1]
-    longer = " ".join(item.replace("5", v).replace("come while", "come by and by while") for v in "6789")
-    assert table.find([longer])[0]
+    texts = [between.join(item.replace("5", v) for v in values) for values in ("58", "8855", "56789", "6789") for between in (" ", " And now for some other words. " * 30)]
+    texts.append(" ".join(item.replace("5", v).replace("come while", "come by and by while") for v in "6789"))
+    assert held(spark, [(1, item)], texts) == [[1]] * len(texts)
+
+
+SHORT = [
+    (1, "12 + 7 = 19, 19 * 3 = 57, 57 - 8 = 49, 49 / 7 = 7"), (2, "1914 1918 1939 1945 1989"), (3, "3 4 5 6 7 8 9 10 11"), (4, "on 12 7 1999 9 11 2001 5 8 2010 and 3 3 2020"), (5, "12 34 + 56 78 = 90 12 34"), (6, "Name three."),
+    (7, "Paris Berlin Rome Madrid Oslo Vienna Prague Lisbon"), (8, "42"), (9, "Who is Zaphod Beeblebrox?"),
+]
+
+
+def test_no_item_is_left_out(spark):
+    copies = held(spark, SHORT, [f"Some words before.\n{text}\nAnd behind." for _, text in SHORT])
+    assert copies == [[i] for i, _ in SHORT]
+    changed = ["13 + 7 = 20 and 50 more", "1914 1918 1939 1946 1989", "1 2 3 4 5 6 7 8 9 10 11 12", "They name three of them.", "Rome Paris Oslo Berlin Lisbon Vienna Madrid Prague", "There are 42 of them", "34 12 + 78 56 = 90 12 34"]
+    assert held(spark, SHORT, changed) == [[]] * len(changed)
+    assert all(decontam.item_windows(t) for _, t in SHORT)
+
+
+def brute_held(item, text):
+    """For items and texts without slots or repeated windows: the cover by plain words, and the longest run."""
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    a, b = words(item), words(text)
+    have = {tuple(a[i : i + 8]): i for i in range(len(a) - 7)}
+    hits = [(p, have[w]) for p in range(len(b) - 7) if (w := tuple(b[p : p + 8])) in have]
+    step = max(len(a) // 2, 16)
+    by, runs = defaultdict(set), Counter()
+    for p, q in hits:
+        for k in (0, 1):
+            by[(p - q) // step - k].add(q)
+        runs[p - q] = runs[p - q] + 1
+    return any(len(s) / len(have) >= decontam.COVER for s in by.values()) or any(n >= decontam.RUN for n in runs.values())
+
+
+def test_covers_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(400)]
+    items = [(i, " ".join(rng.choice(words, int(n)))) for i, n in enumerate(rng.integers(10, 90, 25))]
+    texts = []
+    for _ in range(80):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            one = items[rng.integers(len(items))][1].split()
+            a = rng.integers(len(one))
+            parts += [*rng.choice(words, rng.integers(0, 40)), *one[a : a + rng.integers(1, 60)]]
+        texts.append(" ".join(parts))
+    expected = [[i for i, t in items if brute_held(t, text)] for text in texts]
+    assert held(spark, items, texts) == expected and 20 < sum(map(bool, expected)) < 80
+
+
+def test_a_long_run_of_a_long_item_is_enough(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(200)]
+    texts = ["Before " + " ".join(words[80:120]) + " behind", " ".join(words[80:100]), " ".join(words[80:99]), " and ".join(" ".join(words[k : k + 15]) for k in (10, 50, 90))]
+    assert held(spark, [(1, " ".join(words))], texts) == [[1], [1], [], []]
 
 
-def test_items_of_few_words_match_exact_copies():
-    items = [(1, "12 + 7 = 19, 19 * 3 = 57, 57 - 8 = 49, 49 / 7 = 7"), (2, "1914 1918 1939 1945 1989"), (3, "3 4 5 6 7 8 9 10 11"), (4, "on 12 7 1999 9 11 2001 5 8 2010 and 3 3 2020")]
-    table = decontam.table_of(items)
-    for i, text in items:
-        found = [[k for k, _, _ in one] for one in table.find([f"Some words before {text} and behind.", text.replace("9", "8")])]
-        assert found == [[i] if i != 3 else [], []]
+def test_a_long_item_is_judged_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SEGMENT", 20)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(200)]
+    assert {r[1] for r in decontam.item_windows(" ".join(words))} == set(range(0, 193, 20))
 
 
-def test_a_long_run_of_a_long_item_is_enough():
-    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(200)]
-    table = decontam.table_of([(1, " ".join(words))])
-    got = table.find(["Before " + " ".join(words[80:120]) + " behind", " ".join(words[80:100]), " ".join(words[80:99]), " and ".join(" ".join(words[k : k + 15]) for k in (10, 50, 90))])
-    assert [[i for i, _, _ in one] for one in got] == [[1], [1], [], []]
+def test_benchmark_meets_documents_in_a_join(spark):
+    docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"{ITEM} {i}") for i in range(50)], "item_id long, text string")
+    items = decontam.items_of(bench.selectExpr("item_id AS i", "text AS t"))
+    bits = decontam.key_bits(items, "h", decontam.LOG2_BITS)
+    windows = decontam.documents_of(docs.selectExpr("1L AS k1", "2L AS k2", "text AS t"), bits, [(8, False)])
+    plan = windows.join(items, "h")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and decontam.contamination(docs, bench).where("contaminated").count() == 1
