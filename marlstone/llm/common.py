@@ -99,3 +99,15 @@ def passes(bits: np.ndarray, hashes: np.ndarray, log2_bits: int) -> np.ndarray:
     """Which hashes the bit set lets pass."""
     slot = hashes >> np.uint64(64 - log2_bits)
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def join_few(df: DataFrame, few: DataFrame, on: list[str], log2_bits: int = 22) -> DataFrame:
+    """df.join(few, on, "left") that moves few rows of `df`; `few` has one row for each key, and is read twice.
+
+    Rows whose key can't be in `few`, by a bit set of fixed size, get nulls where they are; the others are joined. A null in a key matches nothing.
+    """
+    bits = key_bits(few.select(F.xxhash64(*on).alias("h")), "h", log2_bits)
+    may = F.arrow_udf(lambda h: pa.array(passes(bits, h.to_numpy().view(np.uint64), log2_bits)), "boolean")
+    marked = df.withColumn("__may", may(F.xxhash64(*on)))
+    alone = marked.where("not __may").withColumns({f.name: F.lit(None).cast(f.dataType) for f in few.schema if f.name not in on})
+    return marked.where("__may").join(few, on, "left").unionByName(alone).drop("__may")

@@ -1,11 +1,14 @@
 """Benchmark decontamination by template windows and slot consistency.
 
 Texts become templates: words in lower case, with typed placeholders for numbers, units and names (runs of words
-with a capital that don't begin a sentence). Windows of W template tokens of the benchmark are kept in a hash table; a
-document's windows look theirs up. Where an item's windows are found, the values that the document has in the item's slots are
-compared: a re-parameterised question maps each value of the item to one value of its own. Each occurrence in a document is judged by itself.
+with a capital that don't begin a sentence). Windows of W template tokens of the benchmark meet those of the documents in an equi-join on their hash;
+a bit set of fixed size first leaves out windows of documents that no item has. Where an item's windows are found near one alignment, the values that the document
+has in the item's slots are compared, both ways: a re-parameterised question maps each value of the item to one value of its own, and no two to the same.
 
-The benchmark is taken in blocks of a bounded number of items; each block goes to the workers once, and documents are never shuffled.
+Items whose windows are not half words (arithmetic, dates, lists of names) and items of few template tokens are matched as they stand, by windows over their words and
+values. Those of fewer than SHORTEST tokens, and plain counts (1 2 3 4 ...), are found where they stand by themselves: between two stops, line ends or text ends.
+
+Documents are read, not shuffled: what meets the benchmark are windows that pass the bit set, and only the rows whose text holds an item are joined to their hits.
 """
 
 from __future__ import annotations
@@ -20,16 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import checkpointed, join_few, key_bits, mix, passes
 
 W = 8
-SHORTEST = 4  # template tokens; shorter items are too common to tell
+SHORTEST = 4  # tokens; shorter items must stand by themselves
 LITERAL = 0.5  # of a window's tokens must be words, or its values count too
-COVER = 0.3  # of an item's windows found in a document
+COVER = 0.3  # of an item's windows found near one alignment
 RUN = 13  # windows one after another that are enough, whatever the item's length
-CONSISTENT = 0.6  # of the slots whose values agree with the item's most usual mapping
-BLOCK_ITEMS = 20_000
+CONSISTENT = 0.6  # of the slots whose values are mapped one to one
+SEGMENT = 4096  # windows of an item that are judged together
 SLICE = 1 << 20  # characters looked at together
+LOG2_BITS = 22
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?:;\n|#*&$%]")
 #: Units of measure, in lower case.
 UNITS = frozenset("mm cm m km in ft yd mi mile miles inch inches foot feet meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years kmh mph percent dollar dollars euro euros cent cents degree degrees watt watts volt volts joule joules hz khz mhz ghz kb mb gb tb".split())
@@ -70,34 +74,34 @@ _unit_codes = np.array(sorted(hash_of(u) for u in UNITS), np.int64)
 
 @dataclass
 class Template:
-    """The templates of some texts, one after another."""
+    """The templates of some texts, one after another, and their tokens as they stand."""
 
     codes: np.ndarray = field(repr=False)  # of the template's tokens
     values: np.ndarray = field(repr=False)  # what stands in a slot; a word's own code else
     slots: np.ndarray = field(repr=False)  # whether it is a slot
     owner: np.ndarray = field(repr=False)  # the text
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the windows, which of them lie in one text and have words enough, and which lie in one text."""
-        n = len(self.codes) - size + 1
+    words: np.ndarray = field(repr=False)  # codes of words and values, names one by one
+    word_owner: np.ndarray = field(repr=False)
+    opens: np.ndarray = field(repr=False)  # whether a word stands first, or after a stop
+    closes: np.ndarray = field(repr=False)  # whether it stands last, or before a stop
+
+    def windows(self, size: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows, and which of them lie in one text and, if not `literal`, have words enough."""
+        codes, owner = (self.words, self.word_owner) if literal else (self.codes, self.owner)
+        n = len(codes) - size + 1
         if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
-        codes = self.codes.view(np.uint64)
-        h = np.full(n, size, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        codes = codes.view(np.uint64)
+        h = np.full(n, ~np.uint64(size) if literal else np.uint64(size), np.uint64)
         for j in range(size):
             h ^= codes[j : j + n]
             h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        words = np.concatenate([[0], np.cumsum(~self.slots)])
-        enough, within = words[size:] - words[:-size] >= LITERAL * size, self.owner[size - 1 :] == self.owner[:n]
-        few = np.flatnonzero(~enough & within)  # these are hashed as they stand, values and all
-        values, own = self.values.view(np.uint64), np.full(len(few), ~np.uint64(size))
-        for j in range(size):
-            own ^= values[few + j]
-            own *= np.uint64(0x9E3779B97F4A7C15)
-            own ^= own >> np.uint64(29)
-        h[few] = own
-        return mix(h), enough & within, within
+        fit = owner[size - 1 :] == owner[:n]
+        if not literal:
+            words = np.concatenate([[0], np.cumsum(~self.slots)])
+            fit &= words[size:] - words[:-size] >= LITERAL * size
+        return mix(h), fit
 
 
 def template(texts: list[str | None]) -> Template:
@@ -106,174 +110,206 @@ def template(texts: list[str | None]) -> Template:
     arr = np.frombuffer(b"".join(raw), np.int64)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(r) // 8 for r in raw])
     kind, base = arr & 3, arr & ~np.int64(3)
-    first = np.ones(len(arr), bool)  # begins a sentence or a text
-    first[1:] = (kind[:-1] == 3) | (owner[1:] != owner[:-1])
+    edge = np.ones(len(arr) + 1, bool)  # between two texts
+    edge[1:-1] = owner[1:] != owner[:-1]
+    stop = kind == 3
+    first = edge[:-1].copy()  # begins a sentence or a text
+    first[1:] |= stop[:-1]
+    last = edge[1:].copy()
+    last[:-1] |= stop[1:]
     unit = np.zeros(len(arr), bool)
-    after = np.flatnonzero((kind[:-1] == 2) & (kind[1:] < 2) & (owner[1:] == owner[:-1])) + 1
+    after = np.flatnonzero((kind[:-1] == 2) & (kind[1:] < 2) & ~edge[1:-1]) + 1
     unit[after] = np.isin(base[after], _unit_codes)  # a unit stands after a number
     name = (kind == 1) & ~first & ~unit
     codes = np.where(kind == 2, NUMBER, np.where(unit, UNIT, np.where(name, NAME, base)))
-    keep = kind != 3
+    keep = ~stop
+    words, word_owner, opens, closes = base[keep], owner[keep], first[keep], last[keep]
     if name.any():  # a run of names is one, with their sum as its value
         again = np.zeros(len(arr), bool)
         again[1:] = name[1:] & name[:-1]
         start = np.flatnonzero(name & ~again)
         base[start] = np.add.reduceat(np.where(name, base, 0), start)
         keep &= ~again
-    return Template(codes[keep], base[keep], ((kind == 2) | unit | name)[keep], owner[keep])
+    return Template(codes[keep], base[keep], ((kind == 2) | unit | name)[keep], owner[keep], words, word_owner, opens, closes)
+
+
+def counts_on(text: str) -> bool:
+    """Whether a text is only numbers with equal steps between them, as 1 2 3 4."""
+    tokens = TOKEN.findall(text)
+    return all(t.isascii() and t.isdigit() and len(t) < 19 for t in tokens) and len({int(b) - int(a) for a, b in zip(tokens, tokens[1:])}) < 2
 
 
-def occurrences(found: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
-    """Hits (place in the document, place in the item) taken together, by near alignments, and by each alignment.
+#: A window of an item: its hash and place, the item's windows (of the segment) and length, how it is matched, and what stands in its slots.
+ITEM_WINDOWS = "h long, item long, part long, q int, total int, length int, size int, literal boolean, alone boolean, item_values binary, slots int"
+
+
+def item_windows(text: str) -> list[tuple]:
+    """Rows of ITEM_WINDOWS without the item: each hash once in a segment, at its first place."""
+    one = template([text])
+    size, literal, alone = min(W, len(one.codes)), False, False
+    if size >= SHORTEST:
+        hashes, fit = one.windows(size)
+    if size < SHORTEST or not fit.any():
+        literal, size = True, min(W, len(one.words))
+        if not size:
+            return []
+        alone = len(one.words) < SHORTEST or counts_on(text)
+        hashes, fit = one.windows(size, True)
+    out, length = [], min(len(one.words) if literal else len(one.codes), SEGMENT)
+    for a in range(0, len(hashes), SEGMENT):
+        places = {}
+        for q in np.flatnonzero(fit[a : a + SEGMENT]).tolist():
+            places.setdefault(int(hashes[a + q]), a + q)
+        for h, q in places.items():
+            own = b"" if literal else one.values[q : q + size].tobytes()
+            slots = 0 if literal else sum(1 << j for j in range(size) if one.slots[q + j])
+            out.append((h - (1 << 64) if h >> 63 else h, a, q, len(places), length, size, literal, alone, own, slots))
+    return out
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """The windows of all items (columns i, t)."""
+
+    def run(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_(), pa.bool_(), pa.binary(), pa.int32()]
+        names = [c.split()[0] for c in ITEM_WINDOWS.split(", ")]
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                key = xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) >> 22  # of items that share an id each is judged by itself
+                rows = [(h, i, key * 1_048_576 + part // SEGMENT, *rest) for h, part, *rest in item_windows(t)]
+                for a in range(0, len(rows), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[a : a + 20_000], strict=True), kinds, strict=True)], names)
+
+    return benchmark.mapInArrow(run, ITEM_WINDOWS)
+
+
+DOCUMENT_WINDOWS = "h long, k1 long, k2 long, p int, opens boolean, closes boolean, doc_values binary"
+
+
+def documents_of(docs: DataFrame, bits: np.ndarray, sizes: list[tuple[int, bool]]) -> DataFrame:
+    """The windows of the texts (columns k1, k2, t) that pass the bit set, each once."""
+
+    def look(keys: list[tuple[int, int]], texts: list[str]):
+        doc, out = template(texts), []
+        for size, literal in sizes:
+            hashes, fit = doc.windows(size, literal)
+            may = np.flatnonzero(fit)
+            may = may[passes(bits, hashes[may], LOG2_BITS)]
+            owner = doc.word_owner if literal else doc.owner
+            starts = np.searchsorted(owner, owner[may])  # of each window's text
+            for p, at, h in zip(may.tolist(), starts.tolist(), hashes[may].view(np.int64).tolist(), strict=True):
+                values = b"" if literal else doc.values[p : p + size].tobytes()
+                out.append((h, *keys[owner[p]], p - at, literal and bool(doc.opens[p]), literal and bool(doc.closes[p + size - 1]), values))
+        kinds = [*[pa.int64()] * 3, pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+        names = [c.split()[0] for c in DOCUMENT_WINDOWS.split(", ")]
+        for a in range(0, len(out), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out[a : a + 20_000], strict=True), kinds, strict=True)], names)
+
+    def run(batches):
+        for batch in batches:
+            keys, texts, size = [], [], 0
+            for k1, k2, t in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                if not t:
+                    continue
+                keys.append((k1, k2))
+                texts.append(t)
+                size += len(t)
+                if size > SLICE:
+                    yield from look(keys, texts)
+                    keys, texts, size = [], [], 0
+            yield from look(keys, texts)
 
-    Copies of an item of `length` tokens are aligned at least that far apart; what is put in or left out shifts a copy's alignment,
-    so alignments within a quarter of the length, at least, are taken together.
-    """
-    one, near, step = defaultdict(list), defaultdict(list), max(length // 4, 1)
-    for p, q in found:
-        one[p - q].append((p, q))
-        for k in (0, 1):
-            near[(p - q) // step - k].append((p, q))
-    return [found, *near.values(), *one.values()] if len(one) > 1 else [found]
+    return docs.mapInArrow(run, DOCUMENT_WINDOWS).distinct()
 
 
-def runs(found: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+def runs(found: list[dict]) -> list[list[dict]]:
     """Hits one after another at the same alignment, at least RUN of them."""
-    out: list[list[tuple[int, int]]] = []
-    for p, q in sorted(found, key=lambda h: (h[0] - h[1], h[0])):
-        if out and out[-1][-1] == (p - 1, q - 1):
-            out[-1].append((p, q))
+    out: list[list[dict]] = []
+    for x in sorted(found, key=lambda x: (x["p"] - x["q"], x["p"])):
+        if out and (out[-1][-1]["p"], out[-1][-1]["q"]) == (x["p"] - 1, x["q"] - 1):
+            out[-1].append(x)
         else:
-            out.append([(p, q)])
+            out.append([x])
     return [x for x in out if len(x) >= RUN]
 
 
-@dataclass
-class Table:
-    """Template windows of a block of items: sorted hashes with their item and place."""
-
-    ids: list[int]
-    items: list[Template] = field(repr=False)
-    sizes: list[int] = field(repr=False)  # of each item's windows
-    total: np.ndarray = field(repr=False)  # distinct window hashes of each item
-    by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(repr=False)
-    sieve: np.ndarray = field(repr=False)  # by a hash's first 20 bits, whether any window begins so
-
-    def find(self, texts: list[str | None]) -> list[list[tuple[int, float, float]]]:
-        """For each text the (item id, share of its windows found, share of consistent slots) of the items that it holds."""
-        out: list[list[tuple[int, float, float]]] = [[] for _ in texts]
-        if not self.ids:
-            return out
-        doc = template(texts)
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for size, (hashes, item, place) in self.by_size.items():
-            own, _, within = doc.windows(size)
-            may = np.flatnonzero(within & self.sieve[(own >> np.uint64(44)).astype(np.int64)])
-            own = own[may]
-            lo, hi = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
-            for k in np.flatnonzero(hi > lo).tolist():
-                p = int(may[k])
-                for at in range(lo[k], hi[k]):
-                    hits[int(doc.owner[p]), int(item[at])].append((p, int(place[at])))
-        for (text, i), found in hits.items():
-            if self.cover(i, found) < COVER and len(found) < RUN:
-                continue
-            for part in occurrences(found, len(self.items[i].codes)):
-                cover = self.cover(i, part)
-                if cover < COVER:
-                    continue
-                same = self.consistent(i, part, doc)
-                if same >= CONSISTENT:
-                    out[text].append((self.ids[i], cover, same))
-                    break
-            else:
-                for part in runs(found):
-                    same = self.consistent(i, part, doc)
-                    if same >= CONSISTENT:
-                        out[text].append((self.ids[i], self.cover(i, part), same))
-                        break
-        return [sorted(x) for x in out]
-
-    def cover(self, i: int, found: list[tuple[int, int]]) -> float:
-        return len({q for _, q in found}) / self.total[i]
-
-    def consistent(self, i: int, found: list[tuple[int, int]], doc: Template) -> float:
-        seen: dict[int, Counter[int]] = defaultdict(Counter)
-        one, size = self.items[i], self.sizes[i]
-        for p, q in {(p + j, q + j) for p, q in found for j in range(size) if one.slots[q + j]}:
-            seen[int(one.values[q])][int(doc.values[p])] += 1
-        slots = sum(sum(c.values()) for c in seen.values())
-        return sum(max(c.values()) for c in seen.values()) / slots if slots else 1.0
-
-
-def counts_on(text: str) -> bool:
-    """Whether a text is only numbers with equal steps between them, as 1 2 3 4: too common to tell."""
-    tokens = TOKEN.findall(text)
-    return all(t.isascii() and t.isdigit() and len(t) < 19 for t in tokens) and len({int(b) - int(a) for a, b in zip(tokens, tokens[1:])}) < 2
-
-
-def table_of(rows: list[tuple[int, str]]) -> Table:
-    ids, items, sizes, total, parts = [], [], [], [], defaultdict(list)
-    for i, text in rows:
-        one = template([text])
-        size = min(W, len(one.codes))
-        if size < SHORTEST:
-            continue
-        hashes, enough, within = one.windows(size)
-        if not enough.any():
-            if counts_on(text):
-                continue
-            enough = within
-        parts[size].append((hashes[enough], np.full(enough.sum(), len(ids)), np.flatnonzero(enough)))
-        ids.append(i)
-        items.append(one)
-        sizes.append(size)
-        total.append(int(enough.sum()))
-    by_size = {}
-    for size, found in parts.items():
-        h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(h, kind="stable")
-        by_size[size] = (h[order], item[order], place[order])
-    sieve = np.zeros(1 << 20, bool)
-    for h, _, _ in by_size.values():
-        sieve[(h >> np.uint64(44)).astype(np.int64)] = True
-    return Table(ids, items, sizes, np.array(total), by_size, sieve)
-
-
-HITS = "array<struct<item:bigint,cover:double,consistent:double>>"
-
-
-def contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK_ITEMS) -> DataFrame:
-    """Every row of `df` with hits (item, cover, consistent) and contaminated.
-
-    Items with a null id or text, those shorter than SHORTEST template tokens, and plain counts (1 2 3 4 ...) match nothing; items
-    without any window of words enough match copies with the same values only. Null and empty texts hold nothing. Columns of `df` named hits or contaminated are replaced. Items are read in blocks, in order of their id;
-    the driver holds one block at a time, as do the workers.
+def consistent(found: list[dict], size: int) -> float:
+    """The share of slots whose values are each other's most usual partner: a mapping that is one to one."""
+    pairs: dict[tuple[int, int], tuple[int, int]] = {}
+    for x in found:
+        if x["slots"]:
+            mine, theirs = np.frombuffer(x["item_values"], np.int64).tolist(), np.frombuffer(x["doc_values"], np.int64).tolist()
+            pairs.update({(x["p"] + j, x["q"] + j): (mine[j], theirs[j]) for j in range(size) if x["slots"] >> j & 1})
+    counts = Counter(pairs.values())
+    there, back = {}, {}
+    for (a, b), n in sorted(counts.items(), key=lambda c: (-c[1], c[0])):
+        there.setdefault(a, b)
+        back.setdefault(b, a)
+    return sum(n for (a, b), n in counts.items() if there[a] == b and back[b] == a) / len(pairs) if pairs else 1.0
+
+
+def judge(found: list[dict], total: int, size: int, literal: bool, alone: bool) -> tuple[float, float] | None:
+    """Cover and consistency of an item in hits that are near one alignment; None if it isn't held."""
+    by: dict[int, list[dict]] = defaultdict(list)
+    for x in found:
+        by[x["p"] - x["q"]].append(x)
+    cover = lambda part: len({x["q"] for x in part}) / total
+    if alone:
+        for part in by.values():
+            part = sorted(part, key=lambda x: x["q"])
+            if cover(part) == 1 and part[0]["opens"] and part[-1]["closes"]:
+                return 1.0, 1.0
+        return None
+    for part in ([found, *by.values()] if len(by) > 1 else [found]):
+        if cover(part) >= COVER and (same := consistent(part, size)) >= CONSISTENT:
+            return cover(part), same
+    for part in runs(found):
+        if (same := consistent(part, size)) >= CONSISTENT:
+            return cover(part), same
+    return None
+
+
+def held(hits: DataFrame) -> DataFrame:
+    """k1, k2, item, cover, consistent: the items that texts hold, from joined windows.
+
+    Hits within about half an item's length of one alignment are judged together (what is put in or left out shifts the alignment), each
+    in two overlapping groups. A group has at most about twice as many hits as the item has windows.
+    """
+    step = F.greatest(F.expr("length div 2"), F.lit(16))
+    near = F.floor((F.col("p") - F.col("q")) / step)
+    fields = ("p", "q", "opens", "closes", "item_values", "doc_values", "slots")
+    groups = (
+        hits.withColumn("near", F.explode(F.array(near, near - 1))).groupBy("k1", "k2", "item", "part", "near")
+        .agg(F.collect_list(F.struct(*fields)).alias("found"), *[F.first(c).alias(c) for c in ("total", "size", "literal", "alone")])
+    )
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if (got := judge(r["found"], r["total"], r["size"], r["literal"], r["alone"])) is not None:
+                    out.append((r["k1"], r["k2"], r["item"], *got))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [*[pa.int64()] * 3, *[pa.float64()] * 2], strict=True)], ["k1", "k2", "item", "cover", "consistent"])
+
+    found = groups.mapInArrow(run, "k1 long, k2 long, item long, cover double, consistent double")
+    return found.groupBy("k1", "k2", "item").agg(F.max(F.struct("cover", "consistent")).alias("best"))
+
+
+def contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Every row of `df` with hits (item, cover, consistent; by item) and contaminated.
+
+    Items with a null id or text, and those without a word or number, match nothing. Null and empty texts hold nothing. Equal texts are looked at as
+    one. Columns of `df` named hits or contaminated are replaced. Items are never gathered: the driver gets the sizes of windows (W of each
+    kind at most) and a bit set of fixed size.
     """
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
-    kind = pa.list_(pa.struct([("item", pa.int64()), ("cover", pa.float64()), ("consistent", pa.float64())]))
-    out = df.drop("contaminated", "hits").withColumn("hits", F.array().cast(HITS))
-
-    def add(out: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
-        found = table_of(rows)
-
-        def look(texts: pa.Array) -> pa.Array:
-            out, some, size = [], [], 0
-            for t in texts.to_pylist():
-                some.append(t)
-                size += len(t or "")
-                if size > SLICE:
-                    out += found.find(some)
-                    some, size = [], 0
-            return pa.array([[{"item": i, "cover": c, "consistent": s} for i, c, s in one] for one in out + found.find(some)], kind)
-
-        return out.withColumn("hits", F.concat("hits", F.arrow_udf(look, HITS)(F.col(text).cast("string"))))
-
-    rows: list[tuple[int, str]] = []
-    for r in items.orderBy("i", "t").toLocalIterator():
-        rows.append((r.i, r.t))
-        if len(rows) == block:
-            out, rows = add(out, rows), []
-    if rows:
-        out = add(out, rows)
-    return out.withColumn("contaminated", F.size("hits") > 0)
+    windows = checkpointed(items_of(items.distinct()))
+    sizes = sorted((r["size"], r["literal"]) for r in windows.select("size", "literal").distinct().collect())
+    bits = key_bits(windows, "h", LOG2_BITS)
+    texts = df.select(F.xxhash64(F.col(text)).alias("k1"), F.xxhash64(F.col(text), F.lit(1)).alias("k2"), F.col(text).cast("string").alias("t"))
+    hits = documents_of(texts, bits, sizes).join(windows, "h")
+    each = held(hits).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("item", "best.cover", "best.consistent"))).alias("__hits"))
+    keyed = df.withColumns({"__k1": F.xxhash64(F.col(text)), "__k2": F.xxhash64(F.col(text), F.lit(1))})
+    out = join_few(keyed, checkpointed(each.withColumnsRenamed({"k1": "__k1", "k2": "__k2"})), ["__k1", "__k2"]).drop("__k1", "__k2", *({"hits", "contaminated"} - {text}))
+    return out.withColumn("hits", F.coalesce("__hits", F.array().cast("array<struct<item:bigint,cover:double,consistent:double>>"))).drop("__hits").withColumn("contaminated", F.size("hits") > 0)
