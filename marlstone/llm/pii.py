@@ -6,9 +6,8 @@ an entity e is PMI(e, t) = log(N df(e, t) / (df(e) df(t))), and that of the enti
 gives at least GENERALISE of IC(e), seen with e in at least SUPPORT documents, is generalised to its kind wherever it stands in documents
 that hold e; from REMOVE on it is removed. Entities in fewer than SUPPORT documents can't have such terms, so their texts are not paired.
 
-Counts are map-side combined. Document frequencies are counted for candidate terms only: workers
-leave out other words by a bit set of fixed size, and an exact join follows. Texts are never shuffled unless the caller
-asks for the sanitised text.
+Counts are map-side combined. Words that occur with such an entity are counted in its documents; elsewhere only candidate terms are: workers
+leave out other words by a bit set of fixed size, and an exact join follows. Only rows whose text holds a disclosing term are shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, key_bits, passes
+from .common import checkpointed, join_few, key_bits
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -111,89 +110,120 @@ def base_spans(texts: pa.Array) -> pa.Array:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """From _id, _key and _text: a row (id, key, e) for each entity of a document."""
+    """From __k1, __k2 (which name a text) and __text: a row (k1, k2, e, n) for each entity of a text, n rows having that text."""
 
     def run(batches):
         for batch in batches:
-            ids, keys, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for i, k, text in zip(ids, keys, batch.column(2).to_pylist(), strict=True):
+            counts: Counter[tuple[int, int, str]] = Counter()
+            for k1, k2, text in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
                 if text:
-                    out += [(i, k, e) for e in dict.fromkeys(entity(kind, text[a:b]) for kind, a, b in find(text))]
+                    counts.update((k1, k2, e) for e in {entity(kind, text[a:b]) for kind, a, b in find(text)})
+            out = [(*k, n) for k, n in counts.items()]
             for a in range(0, len(out), 20_000):
                 columns = zip(*out[a : a + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "key", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["k1", "k2", "e", "n"])
 
-    return docs.select("_id", "_key", "_text").mapInArrow(run, "id long, key long, e string")
+    found = docs.select("__k1", "__k2", "__text").mapInArrow(run, "k1 long, k2 long, e string, n long")
+    return found.groupBy("k1", "k2", "e").agg(F.sum("n").alias("n"))
 
 
-def pairs(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """e, t, n, de, least: in how many documents each of the entities (columns e, de) occurs with each word, SUPPORT at least, and in how many the word does, at least."""
-    bits = key_bits(entities.select(F.xxhash64("e").alias("h")), "h", LOG2_BITS)
+class Passing(dict):
+    """Whether a bit set lets a text pass; a task forgets its answers all together beyond a bound."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.shift = bits.tobytes(), 64 - LOG2_BITS
+
+    def __missing__(self, text: str) -> bool:
+        slot = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42) >> self.shift  # as Spark's xxhash64
+        out = bool(self.bits[slot >> 3] >> (slot & 7) & 1)
+        if len(self) > 150_000:
+            self.clear()
+        if len(text) <= 256:
+            self[text] = out
+        return out
+
+
+def counted(docs: DataFrame, count, schema: str) -> DataFrame:
+    """The sums of what `count()` gives: it makes a function for each task that adds a text's keys to a Counter. Keys are combined within a task, PAIRS at a time."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def rows(counts):
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([e for e, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["e", "t", "n"])
+        columns = zip(*[(*k, n) for k, n in counts.items()], strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [pa.string()] * (len(names) - 1) + [pa.int64()], strict=True)], names)
 
     def run(batches):
-        counts: Counter[tuple[str, str]] = Counter()
+        counts: Counter[tuple[str, ...]] = Counter()
+        add = count()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                base = find(text) if text else []
-                if not base:
-                    continue
-                names = list(dict.fromkeys(entity(k, text[a:b]) for k, a, b in base))
-                may = passes(bits, np.array([xxhash.xxh64_intdigest(e.encode(), 42) for e in names], np.uint64), LOG2_BITS)  # as Spark's xxhash64
-                words = {w for w, _, _ in words_beside(text, base)} if may.any() else ()
-                for e in [e for e, ok in zip(names, may.tolist(), strict=True) if ok] + [""]:  # "": any of them
-                    counts.update((e, w) for w in words)
-                    if len(counts) > PAIRS:
-                        yield rows(counts)
-                        counts.clear()
+                if text:
+                    for keys in add(text):
+                        counts.update(keys)
+                        if len(counts) > PAIRS:
+                            yield rows(counts)
+                            counts.clear()
         if counts:
             yield rows(counts)
 
-    counted = docs.select("_text").mapInArrow(run, "e string, t string, n long").groupBy("e", "t").agg(F.sum("n").alias("n"))
-    counted = checkpointed(counted.where(F.col("n") >= SUPPORT))
-    return counted.join(entities, "e").join(counted.where("e = ''").select("t", F.col("n").alias("least")), "t")
+    return docs.select("__text").mapInArrow(run, schema).groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
 
 
-def frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """t, dt: in how many documents each candidate term (column t) occurs."""
-    bits = key_bits(candidates.select(F.xxhash64("t").alias("h")), "h", LOG2_BITS)
+def names_in(text: str, base: list[tuple[int, int, int]], may: Passing) -> list[str]:
+    """The entities of a text that a bit set lets pass."""
+    return [e for e in dict.fromkeys(entity(k, text[a:b]) for k, a, b in base) if may[e]]
 
-    def run(batches):
-        class Known(dict):
-            def __missing__(self, word):
-                h = xxhash.xxh64_intdigest(word.encode(), 42)  # as Spark's xxhash64
-                if len(self) > 150_000:
-                    self.clear()
-                out = bool(passes(bits, np.array([h], np.uint64), LOG2_BITS)[0])
-                if len(word) <= 256:
-                    self[word] = out
-                return out
-
-        known = Known()
-        for batch in batches:
-            counts: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(w for w in {*WORD.findall(text.lower())} if known[w])
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
 
-    counted = docs.select("_text").mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("dt"))
-    return counted.join(candidates.select("t"), "t", "left_semi")
+def pairs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """e, t, n: in how many documents each entity that passes the bit set occurs with each word; with e = '' in how many documents any of them does."""
+
+    def count():
+        may = Passing(bits)
+
+        def add(text):
+            base = find(text)
+            names = names_in(text, base, may)
+            words = {w for w, _, _ in words_beside(text, base)} if names else ()
+            for e in [*names, ""] if names else ():
+                yield ((e, w) for w in words)
+
+        return add
+
+    return counted(docs, count, "e string, t string, n long")
+
+
+def elsewhere(docs: DataFrame, bits: np.ndarray, candidates: DataFrame) -> DataFrame:
+    """t, n: in how many documents each candidate term (column t) occurs that pairs() hasn't counted: those without an entity that passes
+    the bit set, and those that hold the term within base spans alone."""
+    terms = key_bits(candidates.select(F.xxhash64("t").alias("h")), "h", LOG2_BITS)
+
+    def count():
+        may, known = Passing(bits), Passing(terms)
+
+        def add(text):
+            base = find(text)
+            words = {*WORD.findall(text.lower())}
+            if base and names_in(text, base, may):
+                words -= {w for w, _, _ in words_beside(text, base)}
+            yield [(w,) for w in words if known[w]]
+
+        return add
+
+    return counted(docs, count, "t string, n long").join(candidates.select("t"), "t", "left_semi")
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """e, t, level: pairs whose term gives the entity away; level 1 is to be generalised, 2 removed."""
     n_docs = F.lit(docs.count())
-    entities = checkpointed(found.groupBy("e").agg(F.count("*").alias("de")).where((F.col("de") >= SUPPORT) & (F.col("de") < n_docs)))
-    share = lambda dt: F.log(n_docs * F.col("n") / (F.col("de") * F.col(dt))) / F.log(n_docs / F.col("de"))
-    part = share("dt")
-    joint = checkpointed(pairs(docs, entities).where(share("least") >= GENERALISE - 1e-9))  # dt is not less, so nothing is lost
+    entities = checkpointed(found.groupBy("e").agg(F.sum("n").alias("de")).where((F.col("de") >= SUPPORT) & (F.col("de") < n_docs)))
+    bits = key_bits(entities.select(F.xxhash64("e").alias("h")), "h", LOG2_BITS)
+    both = checkpointed(pairs(docs, bits).where(F.col("n") >= SUPPORT))
+    share = lambda dt: F.log(n_docs * F.col("n") / (F.col("de") * dt)) / F.log(n_docs / F.col("de"))
+    joint = both.join(entities, "e").join(both.where("e = ''").select("t", F.col("n").alias("least")), "t")
+    joint = checkpointed(joint.where(share(F.col("least")) >= GENERALISE - 1e-9))  # dt is not less, so nothing is lost
+    rest = elsewhere(docs, bits, joint.select("t").distinct()).withColumnRenamed("n", "rest")
+    part = share(F.col("least") + F.coalesce("rest", F.lit(0)))
     return (
-        joint.join(frequencies(docs, joint.select("t").distinct()), "t").withColumn("part", part).where(F.col("part") >= GENERALISE)
+        joint.join(rest, "t", "left").withColumn("part", part).where(F.col("part") >= GENERALISE)
         .select("e", "t", F.when(F.col("part") >= REMOVE, 2).otherwise(1).alias("level"))
     )
 
@@ -229,29 +259,27 @@ def sanitise(texts: pa.Array, base: pa.Array, terms: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def sanitise_documents(df: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def sanitise_documents(df: DataFrame, *, text: str = "text") -> DataFrame:
     """Every row of `df` with base (array of kind, start, end), terms (array of start, end, level) and clean_text.
 
-    Offsets are in code points, ends exclusive. Null texts are empty ones (clean_text stays null). Rows are told apart by id
-    and text, so repeated rows get equal results and null ids are fine. Columns of `df` named base, terms, clean_text or
-    beginning with `_` are replaced.
+    Offsets are in code points, ends exclusive. Null texts are empty ones (clean_text stays null). Results depend on the text alone, and each row counts as a
+    document, so repeated rows get equal results and null ids are fine. Columns of `df` named base, terms or clean_text are
+    replaced; names that begin with `__` are the operator's own.
     """
     base = F.arrow_udf(base_spans, "array<struct<kind:int,start:bigint,end:bigint>>")
+    where = F.arrow_udf(places, "array<struct<start:bigint,end:bigint,level:int>>")
     clean = F.arrow_udf(sanitise, "string")
-    df = df.drop(*({"base", "terms", "clean_text"} & set(df.columns) - {id_column, text}))
-    keyed = df.withColumns({"_id": F.col(id_column).cast("long"), "_key": F.xxhash64(F.col(text)), "_text": F.col(text).cast("string")})
+    keyed = df.withColumns({"__text": F.col(text).cast("string"), "__k1": F.xxhash64(F.col(text)), "__k2": F.xxhash64(F.col(text), F.lit(1))})
+    keyed = keyed.drop(*({"base", "terms", "clean_text"} - {text}))
     found = checkpointed(mentions(keyed))  # small beside the texts, and read twice
-    where = F.arrow_udf(places, "array<struct<start:bigint,end:bigint,level:int>>")
     own = (
-        found.join(disclosing(keyed, found), "e").groupBy("id", "key", "t").agg(F.max("level").alias("level"))
-        .groupBy("id", "key").agg(F.collect_list(F.struct("t", "level")).alias("_own"))
+        found.join(disclosing(keyed, found), "e").groupBy("k1", "k2", "t").agg(F.max("level").alias("level"))
+        .groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("t", "level")).alias("__own"))
     )
+    marked = join_few(keyed, checkpointed(own), ["__k1", "__k2"]).drop("__k1", "__k2")
     return (
-        keyed.withColumn("base", base(F.col("_text")))
-        .join(own, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("id")), "left")
-        .withColumn("terms", where(F.col("_text"), F.col("base"), F.col("_own")))
-        .withColumn("clean_text", clean(F.col("_text"), F.col("base"), F.col("terms")))
-        .drop("_id", "_key", "_text", "_own", "id", "key")
+        marked.withColumn("base", base(F.col("__text"))).withColumn("terms", where(F.col("__text"), F.col("base"), F.col("__own")))
+        .withColumn("clean_text", clean(F.col("__text"), F.col("base"), F.col("terms"))).drop("__text", "__own")
     )
 
 
