@@ -15,37 +15,43 @@ from marlstone.llm import decontam, neardup, packing, pii, toxicity
 from marlstone.llm.common import fold, shared_folder, small_batches, table
 
 
+def bare(docs: DataFrame) -> DataFrame:
+    """doc_id and text for an operator, and the whole row as `row`, so that no column of the caller's meets one of the operator's."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity is at least toxicity.REJECT go."""
     small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
-    return toxicity.score_documents(docs, toxicity.learn(docs, labels)).where("predicted = 0").select(*docs.columns)
+    return toxicity.score_documents(bare(docs), toxicity.learn(docs.select("doc_id", "text"), labels)).where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
     small_batches(spark)
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or re-parameterised, go."""
     small_batches(spark)
-    return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    return decontam.contamination(bare(docs), table(spark, sf_dir, "benchmark")).where("not contaminated").select("row.*")
 
 
 def sanitise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by their kind, and terms that give them away are generalised or removed; n_chars follows the text."""
     small_batches(spark)
-    clean = pii.sanitise_documents(docs)
-    return clean.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    clean = pii.sanitise_documents(bare(docs))
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return clean.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: one row for each piece of a document."""
     small_batches(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs.select("doc_id", "text"))
 
 
 STAGES = [
