@@ -16,13 +16,14 @@ and the share of label 1 are those of all labelled rows, whatever the size of th
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -65,26 +66,61 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat((first - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """The same non-negative numbers in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 @dataclass
 class Index:
-    """The examples, in blocks."""
+    """The examples, in blocks. Only what the first fields hold is sent about; the rest is made of it where it is needed."""
 
     words: np.ndarray = field(repr=False)  # sorted hashes; a word's place is its term
     scale: np.ndarray = field(repr=False)  # by term, and of a word that no example has
-    ids: np.ndarray = field(repr=False)  # by example, as all that follows
+    ids: np.ndarray = field(repr=False)  # by example, as all of the next
     toxic: np.ndarray = field(repr=False)
     stands: np.ndarray = field(repr=False)  # for how many rows each example stands, in proportion
-    column: np.ndarray = field(repr=False)  # by term: its row in `dense`, or -1
-    dense: np.ndarray = field(repr=False)  # weights of frequent terms by example, in single precision: cosines are exact to six digits
-    entries: np.ndarray = field(repr=False)  # by term: its first entry; an entry is a block that holds the term
-    block: np.ndarray = field(repr=False)  # by entry
-    most: np.ndarray = field(repr=False)  # by entry: the term's largest weight in the block
-    postings: np.ndarray = field(repr=False)  # by entry: its first posting
-    example: np.ndarray = field(repr=False)  # by posting
-    weight: np.ndarray = field(repr=False)  # by posting
+    norms: np.ndarray = field(repr=False)
+    have: np.ndarray = field(repr=False)  # by term: how many examples have it
+    example: np.ndarray = field(repr=False)  # by posting, in order of terms, then examples
+    counts: np.ndarray = field(repr=False)  # by posting
 
     def __post_init__(self) -> None:
+        self.ready = False
         self.compared = self.skipped = 0  # blocks
+        self.answers: dict[bytes, tuple[float, list[int]] | None] = {}
+
+    def __getstate__(self):
+        return {f: getattr(self, f) for f in self.__dataclass_fields__}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def expand(self) -> None:
+        """column: by term, its row in `dense`, or -1. dense: weights of frequent terms by example, in single precision (cosines are exact to six
+        digits). For other terms, first: their first entry, an entry being a block that holds the term; block, most: an entry's block, and
+        the term's largest weight there; postings: an entry's first posting; place, weight: by posting."""
+        n_blocks = -(-len(self.ids) // BLOCK)
+        often = np.flatnonzero(self.have > max(len(self.ids) / FREQUENT, 1))
+        self.column = np.full(len(self.words), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n_blocks * BLOCK), np.float32)
+        tf = 1 + np.log(np.maximum(np.arange(int(self.counts.max(initial=0)) + 1), 1))
+        term = np.repeat(np.arange(len(self.words), dtype=np.int32), self.have)
+        at, rare = self.column[term], np.flatnonzero(self.column[term] < 0)
+        own = np.flatnonzero(at >= 0)
+        self.dense[at[own], self.example[own]] = tf[self.counts[own]] * self.scale[term[own]] / self.norms[self.example[own]]
+        term, self.place = term[rare], self.example[rare].astype(np.int32)
+        self.weight = tf[self.counts[rare]] * self.scale[term] / self.norms[self.place]
+        block = self.place // BLOCK
+        new = np.ones(len(rare), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(new)
+        self.most = np.nextafter((np.maximum.reduceat(self.weight, start) if len(start) else self.weight).astype(np.float32), np.float32(2))
+        self.block, self.postings = block[start], np.append(start, len(rare)).astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(term[start], minlength=len(self.words)))]).astype(np.int32)
+        self.ready = True
 
     def weigh(self, one: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a vector, of length 1 with the words that no example has, which are left out."""
@@ -96,6 +132,8 @@ class Index:
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vector the K examples with the largest positive cosines (ties: the smallest id), and these; example but[i] is left out."""
+        if not self.ready:
+            self.expand()
         weighed = [*map(self.weigh, vectors)]
         often = np.zeros((len(vectors), len(self.dense)), np.float32)
         for row, (terms, weights) in zip(often, weighed, strict=True):
@@ -106,8 +144,8 @@ class Index:
     def closest(self, terms: np.ndarray, weights: np.ndarray, cosines: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
         """The K nearest examples of one text, from the part of its cosines that frequent terms make up."""
         rare = self.column[terms] < 0
-        lo = self.entries[terms[rare]]
-        size = self.entries[terms[rare] + 1] - lo
+        lo = self.first[terms[rare]]
+        size = self.first[terms[rare] + 1] - lo
         entry, w = spread(lo, size), np.repeat(weights[rare], size)
         block = self.block[entry]
         cosines = cosines.reshape(-1, BLOCK)
@@ -119,7 +157,7 @@ class Index:
             first = self.postings[some]
             size = self.postings[some + 1] - first
             post = spread(first, size)
-            cosines.ravel()[:] += np.bincount(self.example[post], self.weight[post] * np.repeat(w[mine], size), cosines.size)
+            cosines.ravel()[:] += np.bincount(self.place[post], self.weight[post] * np.repeat(w[mine], size), cosines.size)
             if but >= 0:
                 cosines.ravel()[but] = 0
 
@@ -148,37 +186,39 @@ class Index:
         w = self.stands[found] / (1 - cosines + SOFTEN)
         return float((w * self.toxic[found]).sum() / w.sum())
 
-
-class Answers(dict):
-    """Votes and neighbours of vectors that a worker has met; forgotten all together beyond a bound."""
-
-    def get_all(self, index: Index, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]] | None]:
-        """The vote and the ids of the neighbours; None for a text without any neighbour."""
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]] | None]:
+        """The vote and the ids of the neighbours; None for a text without any. What was met before is kept, and forgotten all together beyond a bound."""
         keys = [xxhash.xxh3_128_digest(h.tobytes() + n.tobytes()) for h, n in vectors]
-        if len(self) > 20_000:
-            self.clear()
-        new = {k: v for k, v in zip(keys, vectors, strict=True) if len(v[0]) and k not in self}
-        names = list(new) if len(index.ids) else []
+        if len(self.answers) > 20_000:
+            self.answers.clear()
+        new = {k: v for k, v in zip(keys, vectors, strict=True) if len(v[0]) and k not in self.answers}
+        names = list(new) if len(self.ids) else []
         for a in range(0, len(names), TOGETHER):
             some = names[a : a + TOGETHER]
-            for k, (found, cosines) in zip(some, index.nearest([new[k] for k in some]), strict=True):
-                self[k] = (index.vote(found, cosines), index.ids[found].tolist()) if len(found) else None
-        return [self.get(k) for k in keys]
+            for k, (found, cosines) in zip(some, self.nearest([new[k] for k in some]), strict=True):
+                self.answers[k] = (self.vote(found, cosines), self.ids[found].tolist()) if len(found) else None
+        return [self.answers.get(k) for k in keys]
 
 
 @dataclass
 class Model:
     """The index and the calibration of its votes."""
 
-    index: Index
+    index: Index | None
     empty_score: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+    shared: Broadcast | None = field(default=None, repr=False)  # the index, once for all jobs
+
+    def spread(self, spark: SparkSession) -> Broadcast:
+        if self.shared is None:
+            self.shared = spark.sparkContext.broadcast(self.index)
+        return self.shared
 
     def level(self, raw: float) -> float:
-        return float(np.interp(raw, *self.steps)) if self.steps and len(self.steps[0]) else raw
+        return float(np.interp(raw, *self.steps)) if self.steps else raw
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
-        got = Answers().get_all(self.index, [*map(vector, texts)])
+        got = self.index.votes([*map(vector, texts)])
         return [(self.level(x[0]), x[1]) if x else (self.empty_score, []) for x in got]
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
@@ -222,7 +262,7 @@ def alike(rows: np.ndarray) -> np.ndarray:
 def build(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, counts: np.ndarray, stands: np.ndarray) -> Index:
     """The index over examples (id, label, number of terms, rows it stands for; their hashes and counts one after another)."""
     words, of = np.unique(hashes, return_inverse=True)
-    owner = np.repeat(np.arange(len(ids)), sizes)
+    of, counts, owner = of.astype(np.int32), small(counts), small(np.repeat(np.arange(len(ids)), sizes))
     have = np.bincount(of, minlength=len(words))
     n1 = np.bincount(of, toxic[owner], len(words))
     ones, zeros = toxic.sum(), len(toxic) - toxic.sum()
@@ -231,34 +271,19 @@ def build(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, hashes: np.ndar
     marks = np.clip((errors - MARKS[0]) / (MARKS[1] - MARKS[0]), 0, 1)
     scale = np.log((stands.sum() + 1) / (np.bincount(of, stands[owner], len(words)) + 0.5)) * (ORDINARY + (1 - ORDINARY) * marks)
     scale = np.append(scale, np.log((stands.sum() + 1) / 0.5) * ORDINARY)
-    weight = (1 + np.log(counts)) * scale[of]
-    weight /= np.sqrt(np.bincount(owner, weight**2, len(ids)))[owner]
-
-    often = np.flatnonzero(have > max(len(ids) / FREQUENT, 1))
+    tf = 1 + np.log(np.maximum(np.arange(int(counts.max(initial=0)) + 1), 1))
+    norms = np.sqrt(np.bincount(owner, (tf[counts] * scale[of]) ** 2, len(ids)))
     column = np.full(len(words), -1, np.int32)
+    often = np.argsort(-have, kind="stable")[:256]  # by their commonest terms, examples that are alike become neighbours
     column[often] = np.arange(len(often))
-    n_blocks = -(-len(ids) // BLOCK)
-    dense = np.zeros((len(often), n_blocks * BLOCK), np.float32)
-    at = column[of]
-    dense[at[at >= 0], owner[at >= 0]] = weight[at >= 0]
-    order = np.lexsort((ids, toxic, alike(dense[:, : len(ids)].T)))  # examples that are alike are neighbours
-    dense[:, : len(ids)] = dense[:, order]
+    rows, own = np.zeros((len(ids), len(often)), np.float32), np.flatnonzero(column[of] >= 0)
+    rows[owner[own], column[of[own]]] = (tf[counts[own]] * scale[of[own]]) / norms[owner[own]]
+    order = np.lexsort((ids, toxic, alike(rows)))
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
-
-    rare = np.flatnonzero(at < 0)
-    rare = rare[np.lexsort((place[owner[rare]], of[rare]))]
-    term, example, weight = of[rare], place[owner[rare]], weight[rare]
-    block = example // BLOCK
-    new = np.ones(len(rare), bool)
-    new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-    first = np.flatnonzero(new)
-    most = np.maximum.reduceat(weight, first) if len(first) else weight
-    entries = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=len(words)))])
-    return Index(
-        words, scale, ids[order], toxic[order], stands[order], column, dense,
-        entries.astype(np.int32), block[first].astype(np.int32), np.nextafter(most.astype(np.float32), np.float32(2)), np.append(first, len(rare)).astype(np.int32), example.astype(np.int32), weight,
-    )
+    example = place[owner]
+    by = np.argsort(of * np.int64(max(len(ids), 1)) + example)
+    return Index(words, scale, ids[order], toxic[order], stands[order], norms[order], small(have), small(example[by]), counts[by])
 
 
 def examples(documents: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, sample: int) -> tuple[DataFrame, dict[int, int]]:
@@ -303,7 +328,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
     model = Model(index, share)
     if not len(index.ids):
         return model
-    shared = documents.sparkSession.sparkContext.broadcast(index)
+    shared = model.spread(documents.sparkSession)
 
     def left_out(batches):
         """Votes of the examples, each without itself."""
@@ -318,7 +343,6 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(votes, pa.float64())], ["id", "vote"])
 
     votes = rows.mapInArrow(left_out, "id long, vote double").toArrow().sort_by("id")  # 2 * sample rows at most
-    shared.unpersist()
     by_id = np.argsort(index.ids)
     model.steps = isotonic(votes["vote"].to_numpy(), index.toxic[by_id], index.stands[by_id])
     return model
@@ -330,12 +354,11 @@ def score_documents(df: DataFrame, model: Model, *, text: str = "text", threshol
     Null and empty texts, and texts without words, get the share of label 1. Columns of `df` with these names are replaced.
     """
     kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
-    shared = df.sparkSession.sparkContext.broadcast((model, Answers()))
+    shared, rest = model.spread(df.sparkSession), replace(model, index=None, shared=None)
 
     def run(texts: pa.Array) -> pa.Array:
-        model, answers = shared.value  # one for each worker, whatever the number of its tasks
-        got = answers.get_all(model.index, [vector(t) for t in texts.to_pylist()])
-        return pa.array([{"score": model.level(x[0]), "evidence": x[1]} if x else {"score": model.empty_score, "evidence": []} for x in got], kind)
+        got = shared.value.votes([vector(t) for t in texts.to_pylist()])  # one index for each worker, whatever the number of its tasks
+        return pa.array([{"score": rest.level(x[0]), "evidence": x[1]} if x else {"score": rest.empty_score, "evidence": []} for x in got], kind)
 
     scored, name = F.arrow_udf(run, "struct<score:double,evidence:array<bigint>>"), "__toxicity_scored"
     return (

@@ -368,7 +368,7 @@ def test_scores_match_brute_force(model):
     model, rows, labels = model
     queries = [t for _, t in rows[:40]] + ["grobian", "snurfel snurfel wax", "wax " * 50 + "grobschaft", "nothing wax known"]
     expected = brute_votes(rows, labels, [(t, None) for t in queries])
-    got = toxicity.Answers().get_all(model.index, [toxicity.vector(t) for t in queries])
+    got = model.index.votes([toxicity.vector(t) for t in queries])
     for (ids, vote), (own_vote, own_ids) in zip(expected, got, strict=True):
         assert own_ids == ids and own_vote == pytest.approx(vote, abs=1e-4)
     left_out = brute_votes(rows, labels, [(t, i) for i, t in rows])
