@@ -10,9 +10,10 @@ difference cover modulo 3: it sorts the triples at sampled places, recurses on t
 bytes), merges the remaining suffixes, and compares adjacent prefixes; of equal windows, all but the earliest are covered. (4) Covered
 stretches are joined to the texts by document.
 
-A task's share is bounded: runs are cut at PIECE windows, and tasks sort about CHUNK bytes at a time. A passage that a third of all documents holds
-is dealt out once by each slice of the input. The bit set only saves work: beyond some 2**LOG2_BITS repeated
-anchors it lets most runs pass, at most 3.9 times the text, with the same result.
+A task's share is bounded: runs are cut at PIECE windows, and tasks sort at most about CHUNK bytes at a time. Anchors with more bytes than that
+(a second bit set knows them) aren't sorted together: each of their windows is dealt out by its own digest, so that only equal ones meet, one at a time. A passage that
+a third of all documents holds is dealt out once by each slice of the input. The bit sets only save work: beyond some 2**LOG2_BITS repeated
+anchors the first lets most runs pass, at most 3.9 times the text, with the same result.
 """
 
 from __future__ import annotations
@@ -25,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, key_bits, mix, passes, utf8
+from .common import checkpointed, join_few, key_bits, mix, passes, utf8
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1  # grams in a window
 SLICE = 2 << 20  # bytes looked at together
 PIECE = 4096  # windows of a run
 CHUNK = 3 << 20  # bytes sorted together, about
+HOT = CHUNK // (LENGTH + WINDOW)  # runs of an anchor, or as much in longer ones, beyond which its windows are dealt out one by one
 SEEN = 200_000  # runs that a worker tells apart
-LOG2_BITS = 26
+LOG2_BITS, LOG2_HOT = 26, 20
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -111,22 +113,26 @@ def runs(x: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> tuple[np.nda
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """g, n: anchors and how often they occur (2 at least if a run holds one again)."""
+    """g, n: anchors and how often they occur (2 at least if a run holds one again; a run longer than WINDOW counts for as many)."""
 
     def run(batches):
         for batch in batches:
             for x, _, _, places, lengths in slices(batch):
-                g, _, _, _, again = runs(x, places, lengths)
+                g, _, _, size, again = runs(x, places, lengths)
                 g, inverse = np.unique(g, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.bincount(inverse, 1 + again).astype(np.int64))], ["g", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.bincount(inverse, 1 + again + (size - 1) // WINDOW).astype(np.int64))], ["g", "n"])
 
     return docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def repeated_runs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Runs whose anchor passes the bit set: g, doc_id, start, end, their bytes, and whether the anchor occurs in them again.
+RUNS = "g long, doc_id long, start long, end long, body binary, again boolean"
 
-    Runs known to be covered have no bytes.
+
+def repeated_runs(docs: DataFrame, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """Runs whose anchor passes the first bit set: g, doc_id, start, end, their bytes, and whether the anchor occurs in them again.
+
+    Runs known to be covered have no bytes. Of anchors that pass the second bit set there is a row for each window, dealt by its digest,
+    with the digest in place of the bytes and a null in place of `again`.
     """
 
     def run(batches):
@@ -139,28 +145,41 @@ def repeated_runs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 if not len(own):
                     continue
                 raw, out, covered = x.tobytes(), [], []
+
+                def known(name: bytes, doc: int, s: int, end: int) -> bool:
+                    """Whether equal bytes were met at an earlier place; they are covered then."""
+                    other = seen.get(name)
+                    if other is None or other >= (doc, s):
+                        if len(seen) > SEEN:
+                            seen.clear()
+                        seen[name] = (doc, s)
+                        return False
+                    if covered and covered[-1][0] == doc and covered[-1][1] <= s <= covered[-1][2]:
+                        covered[-1][2] = max(end, covered[-1][2])
+                    else:
+                        covered.append([doc, s, end])
+                    return True
+
                 docs_of, at = ids[row[piece[own]]], first[own] - places[piece[own]] + start[piece[own]]
-                for key, doc, s, p, n, twice in zip(g[own].view(np.int64).tolist(), docs_of.tolist(), at.tolist(), first[own].tolist(), size[own].tolist(), again[own].tolist(), strict=True):
+                split = passes(hot, g[own], LOG2_HOT)
+                for key, doc, s, p, n, twice, each in zip(g[own].view(np.int64).tolist(), docs_of.tolist(), at.tolist(), first[own].tolist(), size[own].tolist(), again[own].tolist(), split.tolist(), strict=True):
                     body = raw[p : p + n - 1 + LENGTH]
-                    name = hashlib.blake2b(body, digest_size=16).digest()
-                    other = seen.get(name)
-                    if other is not None and other < (doc, s):
-                        end = s + len(body)
-                        if covered and covered[-1][0] == doc and covered[-1][1] <= s <= covered[-1][2]:
-                            covered[-1][2] = max(end, covered[-1][2])
-                        else:
-                            covered.append([doc, s, end])
+                    if known(hashlib.blake2b(body, digest_size=16).digest(), doc, s, s + len(body)):
+                        continue
+                    if not each:
+                        out.append((key, doc, s, s + len(body), body, twice))
                         continue
-                    if len(seen) > SEEN:
-                        seen.clear()
-                    seen[name] = (doc, s)
-                    out.append((key, doc, s, s + len(body), body, twice))
+                    for j in range(n):
+                        name = hashlib.blake2b(body[j : j + LENGTH], digest_size=16, person=b"window").digest()
+                        if not known(name, doc, s + j, s + j + LENGTH):
+                            out.append((int.from_bytes(name[:8], "little", signed=True), doc, s + j, s + j + LENGTH, name, None))
                 # stretches need no anchor any more: their documents spread them
                 out += [(int(k), doc, a, b, None, False) for k, (doc, a, b) in zip(mix(np.array([c[0] for c in covered], np.int64).view(np.uint64)).view(np.int64), covered, strict=True)]
                 kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "doc_id", "start", "end", "body", "again"])
+                for a in range(0, len(out), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out[a : a + 50_000], strict=True), kinds, strict=True)], ["g", "doc_id", "start", "end", "body", "again"])
 
-    return docs.mapInArrow(run, "g long, doc_id long, start long, end long, body binary, again boolean")
+    return docs.mapInArrow(run, RUNS)
 
 
 def packed(*columns: np.ndarray) -> np.ndarray:
@@ -248,67 +267,80 @@ def later_windows(bodies: list[bytes], doc: np.ndarray, start: np.ndarray) -> li
     return list(zip(doc[piece[a]].tolist(), (start[piece[a]] + within[a]).tolist(), (start[piece[a]] + within[b] + LENGTH).tolist(), strict=True))
 
 
-def covered(found: DataFrame) -> DataFrame:
-    """doc_id, start, end stretches from the runs of repeated_runs()."""
-
-    def run(batches):
-        waiting: list[tuple[bytes, tuple[int, int]]] = []
-        bodies: dict[bytes, tuple[int, int]] = {}  # of the anchor at hand
-        size, last, twice, out = 0, None, False, []
-
-        def close():
-            """An anchor with one body that holds it once has no other equal windows: its runs are done."""
-            nonlocal size, twice
-            if twice or len(bodies) > 1:
-                waiting.extend(bodies.items())
-                size += sum(map(len, bodies))
-            bodies.clear()
-            twice = False
-
-        def flush():
-            nonlocal size
-            if waiting:
-                at = np.array([place for _, place in waiting], np.int64)
-                out.extend(later_windows([body for body, _ in waiting], at[:, 0], at[:, 1]))
-            waiting.clear()
-            size = 0
-
-        def pack():
-            rows = pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], ["doc_id", "start", "end"])
-            out.clear()
-            return rows
-
-        for batch in batches:
-            g, doc, start, end, body, again = (batch.column(j).to_pylist() for j in range(6))
-            for key, d, a, b, text, more in zip(g, doc, start, end, body, again, strict=True):
-                if text is None:
-                    out.append((d, a, b))
-                    continue
-                if key != last:
-                    close()
-                    last = key
-                    if size > CHUNK:
-                        flush()
-                twice |= more
-                other = bodies.get(text)
-                if other is None:
-                    bodies[text] = (d, a)
-                elif other != (d, a):  # all windows of the later one are repeats
-                    late = max(other, (d, a))
-                    bodies[text] = min(other, (d, a))
-                    out.append((*late, late[1] + len(text)))
-            yield pack()
-        close()
-        flush()
+def stretches(batches: Iterator[pa.RecordBatch], chunk: int, sorts: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """doc_id, start, end stretches from rows of RUNS in order of g; `sorts` gets the bytes of each sort."""
+    waiting: list[tuple[bytes, tuple[int, int]]] = []
+    bodies: dict[bytes, tuple[int, int]] = {}  # of the anchor at hand
+    size, last, twice, out = 0, None, False, []
+
+    def close():
+        """An anchor with one body that holds it once has no other equal windows: its runs are done."""
+        nonlocal size, twice
+        if twice or len(bodies) > 1:
+            more = sum(map(len, bodies))
+            if size + more > chunk:
+                flush()
+            waiting.extend(bodies.items())
+            size += more
+        bodies.clear()
+        twice = False
+
+    def flush():
+        nonlocal size
+        if waiting:
+            if sorts is not None:
+                sorts.append(size)
+            at = np.array([place for _, place in waiting], np.int64)
+            out.extend(later_windows([body for body, _ in waiting], at[:, 0], at[:, 1]))
+        waiting.clear()
+        size = 0
+
+    def pack():
+        rows = pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], ["doc_id", "start", "end"])
+        out.clear()
+        return rows
+
+    single: dict[bytes, tuple[int, int, int]] = {}  # windows of the digest at hand
+    for batch in batches:
+        g, doc, start, end, body, again = (batch.column(j).to_pylist() for j in range(6))
+        for key, d, a, b, text, more in zip(g, doc, start, end, body, again, strict=True):
+            if text is None:
+                out.append((d, a, b))
+                continue
+            if key != last:
+                close()
+                single.clear()
+                last = key
+            if more is None:  # a window by itself
+                other = single.get(text)
+                if other is None or (d, a, b) < other:
+                    single[text] = (d, a, b)
+                if other is not None and other[:2] != (d, a):
+                    out.append(max(other, (d, a, b)))
+                continue
+            twice |= more
+            other = bodies.get(text)
+            if other is None:
+                bodies[text] = (d, a)
+            elif other != (d, a):  # all windows of the later one are repeats
+                late = max(other, (d, a))
+                bodies[text] = min(other, (d, a))
+                out.append((*late, late[1] + len(text)))
         yield pack()
+    close()
+    flush()
+    yield pack()
 
-    return found.repartition("g").sortWithinPartitions("g").mapInArrow(run, "doc_id long, start long, end long")
+
+def covered(found: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, start, end stretches from the runs of repeated_runs()."""
+    return found.repartition("g").sortWithinPartitions("g").mapInArrow(lambda batches: stretches(batches, chunk), "doc_id long, start long, end long")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def remove_repeats(df: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) for every row.
 
     Null texts are empty ones. Rows that share an id count as one document: a string at the same place of both is no repeat, and what is
@@ -316,9 +348,10 @@ def remove_repeats(df: DataFrame, *, id_column: str = "doc_id", text: str = "tex
     """
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = docs.where(F.col("doc_id").isNotNull())
-    bits = key_bits(anchors(known).where("n > 1").select("g"), "g", LOG2_BITS)
-    stretches = covered(repeated_runs(known, bits))
-    spans = checkpointed(stretches.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    seen = checkpointed(anchors(known).where("n > 1"))
+    bits, often = key_bits(seen, "g", LOG2_BITS), key_bits(seen.where(F.col("n") > hot), "g", LOG2_HOT)
+    found = covered(repeated_runs(known, bits, often))
+    spans = checkpointed(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
     def cut(batches):
         for batch in batches:
@@ -340,4 +373,4 @@ def remove_repeats(df: DataFrame, *, id_column: str = "doc_id", text: str = "tex
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], [c.split()[0] for c in RESULT.split(", ")])
 
-    return docs.join(spans, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "spans").mapInArrow(cut, RESULT)
+    return join_few(docs, spans, ["doc_id"]).select("doc_id", "text", "spans").mapInArrow(cut, RESULT)

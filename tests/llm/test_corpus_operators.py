@@ -7,6 +7,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from marlstone.llm import common, neardup, pii, suffix
@@ -146,17 +148,58 @@ def repeat_corpus(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("seed", "small"), [(1, False), (2, True)])
-def test_repeats_match_brute_force(spark, monkeypatch, seed, small):
-    if small:
-        for name, n in (("SLICE", 700), ("PIECE", 50), ("CHUNK", 2000), ("SEEN", 5)):
-            monkeypatch.setattr(suffix, name, n)
+@pytest.mark.parametrize(("seed", "hot"), [(1, suffix.HOT), (2, 3), (3, 0)])
+def test_repeats_match_brute_force(spark, seed, hot):
     docs = repeat_corpus(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, spans int").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df, hot=hot).collect()}
     assert got == brute_repeats(docs)
 
 
+def test_small_pieces_change_nothing(monkeypatch):
+    """Slices, runs, sorts and memories of a few bytes, in this process."""
+    for name, n in (("SLICE", 700), ("PIECE", 50), ("SEEN", 5)):
+        monkeypatch.setattr(suffix, name, n)
+    docs = [(i, t) for i, t in repeat_corpus(4) if t]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs], pa.int64()), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    rows = []
+    for x, row, start, places, lengths in suffix.slices(batch):
+        g, piece, first, size, again = suffix.runs(x, places, lengths)
+        raw = x.tobytes()
+        for k, p, f, n, more in zip(g.view(np.int64).tolist(), piece.tolist(), first.tolist(), size.tolist(), again.tolist()):
+            at = int(f - places[p] + start[p])
+            rows.append((k, docs[row[p]][0], at, at + n - 1 + suffix.LENGTH, raw[f : f + n - 1 + suffix.LENGTH], more))
+    sorts, gone = [], defaultdict(set)
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
+    names = ["g", "doc_id", "start", "end", "body", "again"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*sorted(rows)[a : a + 40]), kinds)], names) for a in range(0, len(rows), 40)]
+    for out in suffix.stretches(iter(batches), 2000, sorts):
+        for r in out.to_pylist():
+            gone[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    assert {i: len(gone[i]) for i, _ in docs} == {i: n for i, (_, n, _, _) in brute_repeats(docs).items()} and len(sorts) > 5
+
+
+def test_an_anchor_in_many_surroundings(spark):
+    """One gram in 20,000 different places: its windows meet only equal ones, and no sort takes them all."""
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    n = suffix.HOT + 1500
+    text = letters[rng.integers(0, 26, (n, 180))].tobytes().decode()
+    gram = text[:32]
+    least = min((letters[rng.integers(0, 26, 32)].tobytes() for _ in range(3000)), key=lambda b: suffix.grams(np.frombuffer(b, np.uint8))[0]).decode()  # so small that it is the anchor
+    docs = [(i, text[180 * i : 180 * i + 90] + least + text[180 * i + 90 : 180 * i + 180]) for i in range(n)]
+    docs += [(n, docs[7][1]), (n + 1, docs[9][1][20:150]), (n + 2, "x" * 40 + docs[11][1][60:170] + gram)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_removed for r in suffix.remove_repeats(df).collect() if r.n_removed}
+    assert got == {n: 212, n + 1: 130, n + 2: 110}
+    seen = suffix.anchors(df).where("n > 1")
+    bits, hot = common.key_bits(seen, "g", suffix.LOG2_BITS), common.key_bits(seen.where(f"n > {suffix.HOT}"), "g", suffix.LOG2_HOT)
+    rows = suffix.repeated_runs(df, bits, hot).orderBy("g").toArrow()
+    sorts: list[int] = []
+    assert sum(b.num_rows for b in suffix.stretches(iter(rows.to_batches()), suffix.CHUNK, sorts)) > 0
+    assert hot.any() and max(sorts, default=0) <= suffix.CHUNK and rows.filter(pa.compute.is_null(rows["again"])).num_rows > 50 * n
+
+
 def test_repeats_of_odd_tables(spark):
     text = "".join(random.Random(1).choices("abcdefgh", k=300))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text[50:200]), (3, None)], "doc_id long, text string")
