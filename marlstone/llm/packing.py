@@ -1,8 +1,8 @@
 """Packing token ids into sequences: first-fit decreasing with a tournament tree of bin capacities.
 
-Documents are cut into pieces of a sequence's length and a rest. Pieces go to randomised groups (by a hash) of a bounded
-expected size, and each group is packed by itself: in order of decreasing length, a piece goes to the first bin with
-room, which a tournament tree over the capacities finds in log time. Only the pieces' lengths are shuffled.
+Documents are cut into pieces of a sequence's length and a rest. A full piece is a sequence by itself. The documents' rests go to randomised groups (by a
+hash) of a bounded expected size, and each group is packed by itself: in order of decreasing length, a rest goes to the first bin with
+room, which a tournament tree over the capacities finds in log time. Pieces are written once, before they are grouped; only their lengths are shuffled.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
 from .tokens import encoder
 
 LENGTH = 2048
-GROUP = 4096  # documents in a group, about
+GROUP = 4096  # documents with a rest in a group, about
 EOS = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -89,11 +90,11 @@ def pieces(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", leng
 PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
-def pack(cut: DataFrame, groups: int, *, length: int = LENGTH) -> DataFrame:
-    """Adds sequence_id and offset to pieces.
+def pack(cut: DataFrame, *, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """Adds sequence_id and offset to pieces, which are read more than once.
 
-    A piece's group is a hash of its row, so neither a very long document nor rows without an id swell one group;
-    sequence ids are the group's number times 2**32 plus the bin's. Repeated rows are packed each on its own.
+    Sequences of packed rests have the group's number times 2**32 plus the bin's; those of full pieces are numbered downwards from -1. A rest's group is a hash of
+    its row and of its number among equal rows, so neither rows that are repeated nor rows without an id swell a group.
     """
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
@@ -101,15 +102,19 @@ def pack(cut: DataFrame, groups: int, *, length: int = LENGTH) -> DataFrame:
         bins, at = first_fit_decreasing(rows["length"].to_numpy(), length)
         return rows.assign(sequence_id=rows["_group"].to_numpy() * (1 << 32) + bins, offset=at).drop(columns="_group")
 
-    extra = ", ids array<int>" if "ids" in cut.columns else ""
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups))
-    return cut.withColumn("_group", group).groupBy("_group").applyInPandas(fill, PIECES + extra + ", sequence_id long, offset long")
+    names = PIECE_NAMES + ["ids"] * ("ids" in cut.columns)
+    full = cut.where(F.col("length") == length).withColumns({"sequence_id": -F.monotonically_increasing_id() - 1, "offset": F.lit(0).cast("long")})
+    rest = cut.where(F.col("length") < length)
+    groups = max(1, -(-rest.count() // group))
+    equal = rest.groupBy(*names).agg(F.count("*").alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    number = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", "k"), F.lit(groups))
+    packed = equal.withColumn("_group", number).select(*names, "_group").groupBy("_group").applyInPandas(fill, PIECES + ", ids array<int>" * ("ids" in cut.columns) + ", sequence_id long, offset long")
+    return packed.union(full.select(*packed.columns))
 
 
 def pack_documents(df: DataFrame, *, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP, keep_ids: bool = False) -> DataFrame:
     """Packs all documents: doc_id, start, length, ids_crc32, doc_tokens, [ids,] sequence_id, offset for each piece.
 
-    Sequences that are not full are padded to `length`, except those at a power of two. Null ids stay null.
+    Sequences that are not full are padded to `length`, except those at a power of two. Null ids stay null; null texts have the end id alone; other columns are left out.
     """
-    groups = max(1, -(-df.count() // group))
-    return pack(pieces(df, id_column=id_column, text=text, length=length, keep_ids=keep_ids), groups, length=length)
+    return pack(checkpointed(pieces(df, id_column=id_column, text=text, length=length, keep_ids=keep_ids)), length=length, group=group)

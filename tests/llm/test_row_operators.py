@@ -294,6 +294,26 @@ def test_packing_frames(docs, none, exact):
     assert len(per[1]) == 2 and packing.pack_documents(none).count() == 0
 
 
+def test_equal_rows_spread_over_groups(spark, exact):
+    text = "equal words " * 40
+    rows = [(None, text)] * 9000 + [(i, f"text {i} " * (i % 60)) for i in range(9000)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).toPandas()
+    assert len(got) == 18_000 and got.ids_crc32.isin([zlib.crc32(np.array([*exact(text), packing.EOS], "<u4").tobytes())]).sum() >= 9000
+    per_group = got.groupby(got.sequence_id // (1 << 32)).size()
+    assert len(per_group) == 5 and per_group.max() < 1.2 * packing.GROUP
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s.offset.to_numpy() == np.concatenate([[0], s.length.cumsum().to_numpy()[:-1]])).all() and s.length.sum() <= packing.LENGTH
+    assert got.length.sum() / (got.sequence_id.nunique() * packing.LENGTH) > 0.97
+
+
+def test_full_pieces_are_sequences_by_themselves(spark):
+    got = packing.pack_documents(spark.createDataFrame([(1, "word " * 50_000), (2, "few words")], "doc_id long, text string")).collect()
+    full = [r for r in got if r.length == packing.LENGTH]
+    assert len(full) > 20 and all(r.offset == 0 and r.sequence_id < 0 for r in full) and len({r.sequence_id for r in full}) == len(full)
+    assert len({r.sequence_id for r in got if r.sequence_id >= 0}) == 1
+
+
 # -- toxicity
 
 
