@@ -68,7 +68,7 @@ def polyphase(up: int, down: int) -> np.ndarray:
 
 
 def resample(x: np.ndarray, up: int, down: int, first: int, count: int) -> np.ndarray:
-    """Outputs first .. first + count - 1 of x resampled by up / down; zeros lie beyond both ends."""
+    """Outputs first .. first + count - 1 of x (numbers, or 8-bit samples) resampled by up / down; zeros lie beyond both ends."""
     taps = polyphase(up, down)
     out = np.empty(count, np.float32)
     for k in range(min(up, count)):  # outputs k, k + up, ... share a phase and lie `down` samples apart
@@ -76,6 +76,7 @@ def resample(x: np.ndarray, up: int, down: int, first: int, count: int) -> np.nd
         n = (count - k + up - 1) // up
         lo, hi = place - TAPS + 1, place + (n - 1) * down + TAPS + 1
         part = x[max(lo, 0) : max(min(hi, len(x)), 0)]
+        part = (part.astype(np.float32) - 128) / 128 if part.dtype == np.uint8 else part
         part = np.pad(part, (max(0, -lo), hi - lo - len(part) - max(0, -lo)))
         rows = np.lib.stride_tricks.as_strided(part, (n, 2 * TAPS), (part.strides[0] * down, part.strides[0]))
         out[k::up] = np.einsum("ij,j->i", rows, taps[phase])
@@ -97,7 +98,7 @@ def log_mel(samples: bytes, rate: int = RATE, target: int = TARGET) -> np.ndarra
     """Log-mel energies, float32 of shape (frames, MELS); a last frame that sticks out is filled with zeros."""
     step = int(np.gcd(rate, target))
     up, down = target // step, rate // step
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    x = np.frombuffer(samples, np.uint8)
     total = -(-len(x) * up // down)
     frames = max(1, -(-max(0, total - WINDOW) // HOP) + 1)
     window, bank = np.hanning(WINDOW).astype(np.float32), mel_bank(target)

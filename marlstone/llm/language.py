@@ -1,13 +1,13 @@
 """Language identification with language-bitmask n-gram filters.
 
-One Bloom filter per language, bit-sliced: a slot holds one bit for each language, so one look-up
+One Bloom filter per language, bit-sliced: a slot holds one bit for each language (as many 64-bit words as that takes), so one look-up
 per hash function, joined with AND, gives all languages that contain an n-gram. A text's hits are
-popcounts per language over its n-grams; each is corrected for the chance that
+popcounts per language over its n-grams, in which an n-gram of k of n languages counts log((n + 1) / k); each is corrected for the chance that
 the filter answers yes without cause, and the language with the largest corrected share wins.
 
 The filters learn from a bounded sample of labelled rows; counting over the sample is distributed,
 and only n-grams found in at least MIN_SHARE of a language's sampled texts reach the driver: with texts of
-at most L distinct n-grams that is L / MIN_SHARE n-grams a language, whatever the corpus' size.
+at most L distinct n-grams that is L / MIN_SHARE n-grams a language, whatever the corpus' size. All languages are learned, however rare.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, utf8
@@ -25,8 +25,6 @@ N = (2, 3)
 LOG2_SLOTS, HASHES = 18, 3
 PER_LANGUAGE = 3000  # sampled texts a language, about
 MIN_SHARE = 0.02  # of a language's sampled texts that hold an n-gram
-RATIO = 0.35  # of the largest share that any language has: below it, an n-gram is not of this language
-LANGUAGES = 64
 
 
 def letter_table() -> np.ndarray:
@@ -89,11 +87,11 @@ class Filters:
     """Bit-sliced Bloom filters: slots[h] has a bit for each language."""
 
     languages: list[str]
-    slots: np.ndarray = field(repr=False)
+    slots: np.ndarray = field(repr=False)  # (words of a mask, slots)
     false_rate: np.ndarray = field(repr=False)
 
     def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram the set of languages whose filter holds it, as bits."""
+        """For each n-gram the set of languages whose filter holds it, as bits: (words of a mask, n-grams)."""
         return look(self.slots, hashes)
 
     def decide(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,10 +100,12 @@ class Filters:
         n, k = len(texts), len(self.languages)
         hits = np.zeros((n, k))
         masks = self.masks(hashes)
-        total = np.bincount(rows, minlength=n).astype(float)
+        held = np.bitwise_count(masks).sum(0)
+        weight = np.log((k + 1) / np.maximum(held, 1))
+        total = np.bincount(rows, weight, n)
         for j in range(k):
-            hits[:, j] = np.bincount(rows[(masks >> np.uint64(j)) & np.uint64(1) == 1], minlength=n)
-        share = hits / np.maximum(total, 1)[:, None]
+            hits[:, j] = np.bincount(rows, weight * ((masks[j // 64] >> np.uint64(j % 64)) & np.uint64(1)), n)
+        share = hits / np.maximum(total, 1e-9)[:, None]
         true = np.clip((share - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
         best = np.argmax(true, 1)
         odds = np.exp(20 * (true - true.max(1, keepdims=True)))
@@ -119,26 +119,23 @@ def slot_of(hashes: np.ndarray) -> list[np.ndarray]:
 def look(slots: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     out = None
     for s in slot_of(hashes):
-        out = slots[s] if out is None else out & slots[s]
+        out = slots[:, s] if out is None else out & slots[:, s]
     return out
 
 
 def learn(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Filters:
-    """Filters from a sample of about `per_language` texts of each language (chosen by a hash of the key), at most LANGUAGES languages.
+    """Filters from a sample of about `per_language` texts of each language (chosen by a hash of the key).
 
     Rows with a null language or text don't count. Without any labelled row there is no language, and every text is `und`.
     """
-    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(key).alias("k"), F.col(text).alias("t"))
-    counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = sorted(counts)
     if not languages:
-        return Filters([], np.zeros(1 << LOG2_SLOTS, np.uint64), np.zeros(0))
-    share: Column = F.lit(0.0)
-    for name in languages:
-        share = F.when(F.col("l") == name, F.lit(min(1.0, per_language / counts[name]))).otherwise(share)
-    index = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("l")).cast("int") - 1
+        return Filters([], np.zeros((1, 1 << LOG2_SLOTS), np.uint64), np.zeros(0))
+    shares = df.sparkSession.createDataFrame([(name, i, min(1.0, per_language / counts[name])) for i, name in enumerate(languages)], "l string, i int, share double")
     u = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 30)).cast("double") / (1 << 30)
-    sample = labelled.where(u < share).select(index.alias("l"), "t")
+    sample = labelled.join(shares, "l").where(u < F.col("share")).select(F.col("i").alias("l"), "t")
 
     def count(batches):
         for batch in batches:
@@ -157,24 +154,18 @@ def learn(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(of[new].astype(np.int32)), pa.array(h[new].view(np.int64)), pa.array(np.diff(np.append(places, len(h))))], ["l", "g", "n"])
 
     texts = {r.l: r.n for r in sample.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    need: Column = F.lit(1 << 40)
-    for i, n in texts.items():
-        need = F.when(F.col("l") == i, F.lit(max(2, int(np.ceil(MIN_SHARE * n))) if n > 4 else 1)).otherwise(need)
-    found = sample.mapInArrow(count, "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= need).toArrow()
-    of, h, n = (found[c].to_numpy() for c in ("l", "g", "n"))
-    h = h.view(np.uint64)
-    part = n / np.array([texts.get(i, 1) for i in range(len(languages))])[of]
-    order = np.argsort(h, kind="stable")
-    of, h, part = of[order], h[order], part[order]
-    slots = np.zeros(1 << LOG2_SLOTS, np.uint64)
-    if len(h):
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        most = np.repeat(np.maximum.reduceat(part, first), np.diff(np.append(first, len(h))))
-        own = part >= RATIO * most
-        bits = np.uint64(1) << of[own].astype(np.uint64)
-        for s in slot_of(h[own]):
-            np.bitwise_or.at(slots, s, bits)
-    fill = np.array([((slots >> np.uint64(j)) & np.uint64(1)).mean() for j in range(len(languages))])
+    needs = df.sparkSession.createDataFrame([(i, max(2, int(np.ceil(MIN_SHARE * n))) if n > 4 else 1) for i, n in texts.items()] or [(0, 1)], "l int, need long")
+    found = sample.mapInArrow(count, "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).join(needs, "l").where("n >= need").select("l", "g").toArrow()
+    return filters_of(languages, found["l"].to_numpy(), found["g"].to_numpy().view(np.uint64))
+
+
+def filters_of(languages: list[str], of: np.ndarray, hashes: np.ndarray) -> Filters:
+    """Filters of the languages' n-grams: the hash of each, and the index of the language."""
+    slots = np.zeros((-(-len(languages) // 64), 1 << LOG2_SLOTS), np.uint64)
+    bits = np.uint64(1) << (of % 64).astype(np.uint64)
+    for s in slot_of(hashes):
+        np.bitwise_or.at(slots, (of // 64, s), bits)
+    fill = np.array([((slots[j // 64] >> np.uint64(j % 64)) & np.uint64(1)).mean() for j in range(len(languages))])
     return Filters(languages, slots, fill**HASHES)
 
 

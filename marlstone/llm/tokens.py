@@ -224,9 +224,9 @@ TREES = "doc_id long, n_tokens long, leaf_chars array<int>, leaf_tokens array<in
 
 
 def count_tokens(df: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: doc_id, n_tokens and the tree's leaves (leaf_chars, leaf_tokens), with all other columns kept under `row`.
+    """One row per row: doc_id, n_tokens, the tree's leaves (leaf_chars, leaf_tokens), text, and edits (of `df` if it is a list of edits, else null).
 
-    Null and empty texts have no leaves and no tokens. Map-only.
+    Other columns are left out. Null and empty texts have no leaves and no tokens. Map-only.
     """
 
     def run(batches):
@@ -238,7 +238,8 @@ def count_tokens(df: DataFrame, *, id_column: str = "doc_id", text: str = "text"
                 ["doc_id", "n_tokens", "leaf_chars", "leaf_tokens", "text", "edits"],
             )
 
-    edits = df["edits"] if "edits" in df.columns else F.lit(None).cast(EDITS)
+    given = dict(df.dtypes).get("edits", "")
+    edits = df["edits"] if given.startswith("array<struct<") else F.lit(None)
     return df.select(df[id_column].cast("long").alias("doc_id"), df[text].cast("string").alias("text"), edits.cast(EDITS).alias("edits")).mapInArrow(run, f"{TREES}, text string, edits {EDITS}")
 
 

@@ -1,9 +1,9 @@
 """URL filters: host suffixes and path prefixes, looked up by short hash prefix, confirmed by digest.
 
-Each URL is expanded into the (host suffix, path prefix) expressions that some rule could have:
-only suffixes with as many labels, and prefixes with as many characters, as occur in the rules.
-Expressions meet the rules in an equi-join on the first 32 bits of their SHA-256; the full digest
-then confirms, and the longest confirmed rule gives the verdict. All of it is DataFrame code.
+Each URL is expanded into its host suffixes, and these meet the hosts of the rules; with those that are a rule's host, it is expanded into
+the (host suffix, path prefix) expressions with as many characters of the path as that host's rules have.
+Both meet the rules in an equi-join on the first 32 bits of their SHA-256; the full digest
+then confirms, and the longest confirmed rule gives the verdict. All of it is DataFrame code, and rules of any number and shape are joined.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SHAPES_MAX = 10_000
 RULES = "host string, path string, verdict string"
 
 
@@ -41,7 +40,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default
 
     Rules are expected to be far fewer than URLs; Spark broadcasts them only if they are under
     its size threshold and else shuffles both sides by the hash prefix. Distinct URLs are judged
-    once, and the verdicts are joined back to the rows by URL; Spark may split a hot URL.
+    once, and the verdicts are joined back to the rows by URL; Spark may split a hot URL. The driver learns one number: how many labels a rule's host has
+    at most. Column names that begin with `__` are the operator's own.
     """
     host, path = split_url(F.col(url))
     pages = pages.drop(*({"host", "path", "rule", "verdict"} & set(pages.columns) - {url}))
@@ -49,43 +49,35 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default
         rules.select("host", "path", "verdict")
         .where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull())
         .withColumn("host", F.translate("host", UPPER, LOWER))
-        .withColumn("rule", F.concat("host", "path"))
-        .groupBy("host", "path", "rule")
+        .groupBy("host", "path")
         .agg(F.max("verdict").alias("verdict"))
-        .withColumn("digest", F.sha2(F.concat_ws("\n", "host", "path"), 256))
     )
-    shapes = (
-        rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars"))
-        .distinct().limit(SHAPES_MAX + 1).collect()
-    )
-    if len(shapes) > SHAPES_MAX:
-        raise ValueError(f"the rules have more than {SHAPES_MAX} shapes (labels of host, length of path)")
-    if not shapes:
+    labels = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("n")).first().n
+    if labels is None:
         return pages.withColumns({"host": host, "path": path, "rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
 
-    wanted = F.array(*[F.struct(F.lit(s.labels).alias("labels"), F.lit(s.chars).alias("chars")) for s in shapes])
-    parts = F.split("u_host", r"\.")
-    fitting = F.filter(wanted, lambda s: (s.labels <= F.size(parts)) & (s.chars <= F.length("u_path")))
-    expressions = F.transform(
-        fitting,
-        lambda s: F.sha2(
-            F.concat(F.concat_ws(".", F.slice(parts, F.size(parts) - s.labels + F.lit(1), s.labels)), F.lit("\n"), F.col("u_path").substr(F.lit(1), s.chars)), 256
-        ),
-    )
     short = lambda digest: F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    hosts = rules.groupBy("host").agg(F.sort_array(F.collect_set(F.length("path"))).alias("__chars")).select("__chars", F.sha2("host", 256).alias("__own"))
+    parts = F.split("__host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda n: F.concat_ws(".", F.slice(parts, F.size(parts) - n + F.lit(1), n)))
+    prefixes = F.transform(F.filter("__chars", lambda n: n <= F.length("__path")), lambda n: F.sha2(F.concat(F.col("__suffix"), F.lit("\n"), F.col("__path").substr(F.lit(1), n)), 256))
+    full = rules.select(
+        F.concat("host", "path").alias("__rule"), F.length("host").alias("__n_host"), F.col("verdict").alias("__verdict"), F.sha2(F.concat_ws("\n", "host", "path"), 256).alias("__digest")
+    )
     found = (
-        pages.select(F.col(url).alias("u_url")).distinct()
-        .withColumns({"u_host": split_url(F.col("u_url"))[0], "u_path": split_url(F.col("u_url"))[1]})
-        .select("u_url", F.explode(expressions).alias("u_digest"))
-        .withColumn("short", short(F.col("u_digest")))
-        .join(rules.select("rule", "verdict", "digest", F.length("host").alias("n_host"), short(F.col("digest")).alias("short")), "short")
-        .where(F.col("u_digest") == F.col("digest"))
-        .groupBy("u_url")
-        .agg(F.max(F.struct(F.length("rule").alias("n"), "n_host", (F.col("verdict") == "block").alias("b"), "rule", "verdict")).alias("best"))
+        pages.select(F.col(url).alias("__url")).distinct()
+        .withColumns({"__host": split_url(F.col("__url"))[0], "__path": split_url(F.col("__url"))[1]})
+        .select("__url", "__path", F.explode(suffixes).alias("__suffix"))
+        .withColumn("__named", F.sha2("__suffix", 256)).withColumn("__short", short(F.col("__named")))
+        .join(hosts.withColumn("__short", short(F.col("__own"))), "__short").where(F.col("__named") == F.col("__own"))
+        .select("__url", F.explode(prefixes).alias("__expression")).withColumn("__short", short(F.col("__expression")))
+        .join(full.withColumn("__short", short(F.col("__digest"))), "__short").where(F.col("__expression") == F.col("__digest"))
+        .groupBy("__url")
+        .agg(F.max(F.struct(F.length("__rule").alias("n"), "__n_host", (F.col("__verdict") == "block").alias("b"), "__rule", "__verdict")).alias("__best"))
     )
     return (
         pages.withColumns({"host": host, "path": path})
-        .join(found, F.col(url) == F.col("u_url"), "left")
-        .withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce(F.col("best.verdict"), F.lit(default))})
-        .drop("u_url", "best")
+        .join(found, F.col(url) == F.col("__url"), "left")
+        .withColumns({"rule": F.col("__best.__rule"), "verdict": F.coalesce(F.col("__best.__verdict"), F.lit(default))})
+        .drop("__url", "__best")
     )

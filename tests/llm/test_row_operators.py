@@ -55,6 +55,24 @@ def test_urls_ties_and_odd_rules(spark):
     assert got == {1: ("a.b.c/x", "allow"), 2: ("b.c", "allow")}  # equally long: the longer host
 
 
+def test_urls_match_brute_force(spark):
+    """Many rules of many shapes; columns of the pages that clash with the operator's."""
+    rng = np.random.default_rng(4)
+    pick = lambda n, letters="ab": "".join(rng.choice(list(letters), n))
+    host = lambda: ".".join(pick(1) for _ in range(rng.integers(1, 6)))
+    rules = list({(h, p): (str(rng.choice(["allow", "block"])), h, p) for h, p in ((host(), "/" + pick(rng.integers(0, 40), "x/")) for _ in range(600))}.values())
+    pages = [(i, f"http://{host()}/{pick(rng.integers(0, 60), 'x/')}?{pick(3)}", "c", i, 1, "d") for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, u_url string, best long, short int, digest string")
+    got = urls.filter_urls(df, urls.rules_frame(spark, rules))
+    assert got.columns == [*df.columns, "host", "path", "rule", "verdict"]
+    for r in got.collect():
+        rest = r.url.split("://")[1].split("?")[0]
+        h, p = rest.split("/")[0], rest[len(rest.split("/")[0]) :]
+        fit = [(len(rh + rp), len(rh), v == "block", rh + rp, v) for v, rh, rp in rules if (h == rh or h.endswith("." + rh)) and p.startswith(rp)]
+        best = max(fit, default=(0, 0, 0, None, "allow"))
+        assert (r.host, r.path, r.rule, r.verdict) == (h, p, best[3], best[4]) and (r.u_url, r.best) == ("c", r.page_id)
+
+
 # -- audio
 
 
@@ -83,6 +101,24 @@ def test_resampling_matches_the_direct_sum():
         assert np.allclose(audio.resample(x, up, down, 100, 50), direct[100:150], atol=1e-4)
 
 
+def test_log_mel_matches_the_definition():
+    """Frames, discrete Fourier sums and triangles, one by one."""
+    data = np.random.default_rng(5).integers(0, 256, 900).astype(np.uint8)
+    x = (data.astype(float) - 128) / 128
+    y = audio.resample(x.astype(np.float32), 1, 2, 0, 450).astype(float)
+    got = audio.log_mel(data.tobytes())
+    top = 2595 * math.log10(1 + 4000 / 700)
+    hz = [700 * (10 ** (top * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    assert len(got) == 5  # 450 samples, frames of 200 every 80
+    for f in range(len(got)):
+        frame = [y[f * 80 + i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / 199)) if f * 80 + i < len(y) else 0.0 for i in range(200)]
+        power = [abs(sum(v * np.exp(-2j * math.pi * b * i / 256) for i, v in enumerate(frame))) ** 2 for b in range(129)]
+        for m in range(audio.MELS):
+            lo, mid, hi = hz[m : m + 3]
+            e = sum(p * max(0, min((b * 8000 / 256 - lo) / (mid - lo), (hi - b * 8000 / 256) / (hi - mid))) for b, p in enumerate(power))
+            assert got[f, m] == pytest.approx(math.log(max(e, 1e-6)), abs=2e-3)
+
+
 def test_pieces_do_not_show(monkeypatch):
     data = np.random.default_rng(2).integers(0, 256, 200_000).astype(np.uint8).tobytes()
     whole = audio.log_mel(data)
@@ -143,15 +179,52 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in language.identify(docs, empty).collect()} == {"und"}
 
 
-def test_filters_have_no_false_negatives():
-    slots = np.zeros(1 << language.LOG2_SLOTS, np.uint64)
-    h = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64)
-    for s in language.slot_of(h):
-        np.bitwise_or.at(slots, s, np.uint64(4))
-    assert (language.look(slots, h) & np.uint64(4)).all()
-    other = np.random.default_rng(4).integers(0, 1 << 63, 50_000).astype(np.uint64)
-    rate = (language.look(slots, other) != 0).mean()
-    assert abs(rate - ((slots != 0).mean() ** language.HASHES)) < 0.001
+def brute_grams(text):
+    """2- and 3-grams of the lower-cased letters, other characters between them being one space; as a list."""
+    letters = "".join(c.lower() if c.isalpha() else " " for c in text or "")
+    line = re.sub(" +", " ", " " + letters)
+    return [line[i : i + n] for n in (2, 3) for i in range(len(line) - n + 1)] if line.strip() else []
+
+
+def test_languages_match_brute_force(spark):
+    """More languages than a 64-bit word has bits; sets of n-grams in place of the filters."""
+    rng = np.random.default_rng(11)
+    names = [f"l{i:02d}" for i in range(80)]
+    words = {k: ["".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(3, 8))) for _ in range(12)] for k in names}
+    rows = [(i, " ".join(rng.choice(words[k], 6)) + "! " * (i % 2), k) for i, k in enumerate(names * 6)]
+    filters = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.languages == names and len(filters.slots) == 2
+    holds = {}
+    for k in names:
+        mine = Counter(g for _, t, lang in rows if lang == k for g in set(brute_grams(t)))
+        holds[k] = {g for g, n in mine.items() if n >= 2}
+    texts = [" ".join([*rng.choice(words[k], 4), *rng.choice(words[names[0]], 2)]) for k in names]
+    got = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), filters).orderBy("doc_id").collect()
+    near = 0
+    for r, text in zip(got, texts, strict=True):
+        share = Counter()
+        for g in brute_grams(text):
+            have = [k for k in names if g in holds[k]]
+            for k in have:
+                share[k] += np.log(81 / len(have))
+        top = share.most_common(2)
+        assert share[r.lang_pred] >= 0.97 * top[0][1]
+        near += r.lang_pred == top[0][0]
+    assert near >= 78
+
+
+def test_filters_return_all_languages():
+    """No false negatives, and false positives as often as is reckoned."""
+    rng = np.random.default_rng(3)
+    h, of = rng.integers(0, 1 << 63, 9000).astype(np.uint64), rng.integers(0, 70, 9000)
+    of[of == 1] = 2
+    of[:4000] = 1
+    filters = language.filters_of([str(i) for i in range(70)], np.concatenate([of, of[4000:] * 0 + 69]), np.concatenate([h, h[4000:]]))
+    masks = filters.masks(h)
+    assert (masks[of // 64, np.arange(9000)] >> (of % 64).astype(np.uint64) & np.uint64(1)).all()
+    assert (masks[1, 4000:] >> np.uint64(5) & np.uint64(1)).all()
+    other = filters.masks(rng.integers(0, 1 << 63, 400_000).astype(np.uint64))
+    assert abs((other[0] >> np.uint64(1) & np.uint64(1)).mean() - filters.false_rate[1]) < 0.001 and filters.false_rate[1] > 0
 
 
 def test_grams_do_not_cross_texts():
