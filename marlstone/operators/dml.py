@@ -20,10 +20,14 @@ def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows)
 
 
+def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that `rows` holds twice."""
+    return rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+
+
 def duplicate_keys(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Keys that `rows` holds twice, or that `table` has already."""
-    twice = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
-    return twice.union(rows.select(key).join(table.select(key), key, "left_semi"))
+    """Keys that `rows` holds twice, or that `table` has already. The join's sides are alike, so the smaller one may be broadcast."""
+    return repeated_keys(rows, key).union(table.select(key).join(rows.select(key), key).select(key))
 
 
 def new_keys_only(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

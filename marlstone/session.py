@@ -114,7 +114,7 @@ class Session:
             case S.DropTable():
                 c.drop(s.table, s.if_exists)
             case S.Insert():
-                c.insert(s.table, s.columns, s.rows)
+                c.insert(s.table, s.columns, s.rows, s.by_column)
             case S.Update():
                 return Result(["rows_updated"], kept=[(c.update(s.table, s.assignments, _plain(s.where)),)])
             case S.Delete():
@@ -135,7 +135,7 @@ class Session:
     def _select(self, sql: str) -> Result:
         sql = S.plain_like(sql)
         words = {t.name for t in S.tokenize(sql) if t.kind == "word"}
-        versions = self.catalog.refresh([t for t in sorted(words & {*self.catalog.tables(), *self.catalog.viewed})])
+        versions = self.catalog.refresh(sorted(words & (self.catalog.store.names() | {*self.catalog.viewed})))
         key = None if any(map(self.catalog.has_ttl, versions)) or _changes(words) else (sql, tuple(versions.items()))
         if key is not None and (kept := self.cache.get(key)) is not None:
             return Result(kept.columns, kept.df, kept.kept, is_query=True)

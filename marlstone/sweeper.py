@@ -12,7 +12,7 @@ MANY = 64  # segments: each small INSERT makes one
 
 
 class Sweeper(Thread):
-    """Compacts the tables that have rows which may expire, or many segments, every so many seconds. Readers never see expired rows in any case."""
+    """Rewrites the segments that hold expired rows, and tables of many segments, every so many seconds. Readers never see expired rows in any case."""
 
     def __init__(self, catalog: Catalog, every: float = 60.0):
         super().__init__(daemon=True)
@@ -26,8 +26,7 @@ class Sweeper(Thread):
     def sweep(self) -> None:
         for table in self.catalog.tables():
             try:
-                if self.catalog.has_ttl(table) or len(self.catalog.version(table).segments) > MANY:
-                    self.catalog.compact(table)
+                self.catalog.sweep(table, MANY)
             except EngineError:  # dropped, or another process was first: the next sweep sees to it
                 continue
         self.sweeps += 1

@@ -114,7 +114,7 @@ def test_ttl_and_compact(db):
     assert db.catalog.table("TTL", now=soon).count() == 2  # gone at that second
     db.execute("INSERT INTO ttl VALUES (1)")  # an expired key is free
     assert rows(db, "UPDATE ttl SET id = id + 10 WHERE id < 4") == [(3,)]
-    db.catalog.compact("ttl")
+    db.catalog.compact("ttl", age=0)
     assert rows(db, "SELECT id FROM ttl ORDER BY id") == [(5,), (11,), (12,), (13,)]
     assert len(db.catalog.version("TTL").segments) == 1
     assert len(db.catalog.store.files.list(db.catalog.store.folder("TTL") + "/data")) == 1
