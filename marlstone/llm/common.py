@@ -17,10 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
-    """Bounds an Arrow batch by rows and by bytes, so that long texts don't pile up in a worker."""
-    spark.conf.set(ARROW_ROWS, str(rows))
-    spark.conf.set(ARROW_BYTES, str(size))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bounds an Arrow batch by rows and by bytes, so that long texts don't pile up in a worker.
+
+    A setting of the session, the same for every operator; a caller's own smaller bounds stay.
+    """
+    for name, most in ((ARROW_ROWS, rows), (ARROW_BYTES, size)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:

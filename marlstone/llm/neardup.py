@@ -7,19 +7,20 @@ two permutations give all coordinates, and a shingle's values are one slice of t
 Documents with equal sets are one class. Class representatives that share a band are candidates. Instead of all pairs of
 a bucket, each member first meets one bucket leader, that which it shares most buckets with; the pairs are verified on full
 sets and joined into components. Twice over, since leaders may differ. Where a bucket still holds several components,
-its members are compared across components on full sets, in blocks, and only links that join components leave the task. So no link between components is lost except those that share no band: at Jaccard 0.75 with 51 bands of 5
+its members are compared across components on full sets, and only links that join components leave the task. A bucket with more text than a task takes is first cut
+by its shingles: with the rarest first, two linked sets share one of their first quarter, so members meet by these, and what only the common passages of a large
+bucket brought together is parted. So no link between components is lost except those that share no band: at Jaccard 0.75 with 51 bands of 5
 coordinates, one in a million.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, key_bits, mix, passes
@@ -31,8 +32,6 @@ BANDS, ROWS = 51, 5
 COORDINATES = BANDS * ROWS
 BLOCK = 3_000_000  # characters
 LOG2_BITS = 23
-SPACE = bytes(range(9, 14)) + b" "
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -190,13 +189,42 @@ def distinct_buckets(members: DataFrame) -> DataFrame:
     return members.join(named.groupBy("n", "h", "h2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
-def across(members: DataFrame) -> DataFrame:
+def cut_by_shingles(members: DataFrame) -> DataFrame:
+    """Smaller buckets (key, id, component) in place of some buckets (key, id, component, text): two linked members meet in one at least.
+
+    In a set ordered by how many members of the bucket have a shingle, the first n - ceil(0.75 n) + 1 of n shingles hold one of any linked set's. Shingles of one member alone
+    come first and lead nowhere, so each shingle of a bucket is one short row, and few of them make a new bucket.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for key, i, component, text in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+                found = shingles(text)
+                for a in range(0, len(found), 50_000):
+                    part = longs(found[a : a + 50_000])
+                    same = lambda x: pa.array(np.full(len(part), x, np.int64))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([same(key), same(i), same(component), same(len(found)), part], ["key", "id", "component", "n", "x"])
+
+    rows = members.select("key", "id", "component", "text").mapInArrow(run, "key long, id long, component long, n long, x long")
+    shared = rows.groupBy("key", "x").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("c > 1")
+    mine = Window.partitionBy("key", "id")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("c", "x"))  # behind the shingles of this member alone
+    first = rows.join(shared, ["key", "x"]).withColumn("place", place).where(f"place <= n - ({NEED} * n + {OF - 1}) div {OF} + 1 and lo != hi")
+    return distinct_buckets(checkpointed(first.select(F.xxhash64("key", "x").alias("key"), "id", "component")))
+
+
+def across(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join different components of a bucket (key, id, component, text), verified on full sets.
 
-    A bucket is dealt in blocks of about BLOCK characters, and each task compares two blocks. A task counts what a document shares
+    Buckets of more than `block` characters are cut by their shingles first. What is still larger is dealt in blocks, and each task compares two of them. A task counts what a document shares
     with all others through the postings of its shingles, and returns no more links than it takes to join what it has.
     """
-    blocks = members.groupBy("key").agg((F.sum(F.length("text")) / BLOCK + 1).cast("int").alias("blocks"))
+    large = checkpointed(members.groupBy("key").agg(F.sum(F.length("text")).alias("chars")).where(F.col("chars") > block).select("key"))
+    if not large.isEmpty():
+        texts = members.select("id", "text").dropDuplicates(["id"])
+        cut = cut_by_shingles(members.join(large, "key", "left_semi"))
+        members = checkpointed(members.join(large, "key", "left_anti").select("key", "id", "component", "text").union(cut.join(texts, "id").select("key", "id", "component", "text")))
+    blocks = members.groupBy("key").agg((F.sum(F.length("text")) / block + 1).cast("int").alias("blocks"))
     dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tasks = dealt.select("key", "id", "component", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "key", "id", "component", "text", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")

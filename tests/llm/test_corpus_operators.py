@@ -88,19 +88,46 @@ def test_circulant_signatures_estimate_jaccard():
     assert len(set(neardup.circulant()[: neardup.PLACES].tolist())) == neardup.PLACES
 
 
-def test_blocks_of_a_bucket_join_what_is_linked(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 150)
+def joined(links, component):
+    root = dict(component)
+    for a, b in links:
+        old = root[a]
+        root = {i: root[b] if r == old else r for i, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("block", [150, 10**6])
+def test_blocks_of_a_bucket_join_what_is_linked(spark, block):
     text = " ".join(f"word{i}" for i in range(30))
     rows = [(7, i, i % 4 if i < 12 else i, f"{text} x{i}" if i % 2 else f"other {i} {i} {i} {i} {i}") for i in range(17)]
-    got = [(r.a, r.b) for r in neardup.across(spark.createDataFrame(rows, "key long, id long, component long, text string")).collect()]
+    got = [(r.a, r.b) for r in neardup.across(spark.createDataFrame(rows, "key long, id long, component long, text string"), block).collect()]
     assert all(a % 2 and b % 2 and rows[a][2] != rows[b][2] for a, b in got)
-    root = {i: rows[i][2] for i in range(17)}
-    for a, b in got:
-        old = root[a]
-        root = {i: root[b] if r == old else r for i, r in root.items()}
+    root = joined(got, {i: rows[i][2] for i in range(17)})
     assert len({root[i] for i in range(17) if i % 2}) == 1 and len({root[i] for i in range(12) if not i % 2}) == 2
 
 
+def test_a_large_bucket_is_cut_without_losing_links(spark):
+    """Many texts share a passage that alone doesn't link them; some are linked besides."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for _ in range(60):
+        tail = [rng.choice(words) for _ in range(40)]
+        for _ in range(rng.choice([1, 1, 1, 2, 3])):
+            tail = list(tail)
+            tail[rng.randrange(40)] = rng.choice(words)
+            rows.append((1, len(rows), len(rows), " ".join(passage + tail)))
+    members = spark.createDataFrame(rows, "key long, id long, component long, text string")
+    cut = neardup.cut_by_shingles(members)
+    sizes = [r["count"] for r in cut.groupBy("key").count().collect()]
+    assert max(sizes) < 10 and sum(sizes) < 3 * len(rows)  # the passage brings nobody together
+    expected = {i: c for i, (_, c) in brute_components([(i, t) for _, i, _, t in rows]).items()}
+    got = joined([(r.a, r.b) for r in neardup.across(members, 5000).collect()], {i: i for _, i, _, _ in rows})
+    groups = lambda root: sorted(sorted(i for i in root if root[i] == r) for r in set(root.values()))
+    assert groups(got) == groups(expected) and len(set(expected.values())) < len(rows)
+
+
 def test_equal_buckets_are_taken_once(spark):
     rows = [(k, i, i) for k, ids in ((1, (1, 2)), (2, (1, 2)), (3, (1, 3)), (4, (1, 2, 3))) for i in ids]
     got = {r.key for r in neardup.distinct_buckets(spark.createDataFrame(rows, "key long, id long, component long")).collect()}
