@@ -14,8 +14,6 @@ from ..operators import join as J
 from ..operators.aggregate import aggregate, group
 from ..operators.select import distinct, limit, order, project, scan, top, where
 from ..operators.ttl import live_rows, with_lifetime
-from ..types import Column as Declared
-from ..types import describe
 
 Tables = Callable[[str], DataFrame]
 NOW = 1_705_708_800  # 2024-01-20 00:00:00 UTC
@@ -161,22 +159,6 @@ SQL: dict[str, str] = {
 }
 
 
-def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of the tables that a fresh catalog holds after CREATE TABLE."""
-    from ..session import connect
-
-    session = connect(spark=spark) if spark.sparkContext.master.startswith("local[") else connect(f"{spark.conf.get('spark.sql.warehouse.dir')}/show_tables", spark)
-    for name in ("orders", "customer"):
-        session.execute(f"CREATE TABLE IF NOT EXISTS {name} (ID INT PRIMARY KEY)")
-    return spark.createDataFrame(session.execute("SHOW TABLES").rows, "`Tables` string")
-
-
-def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DESCRIBE of a table with each type."""
-    columns = [Declared("ID", "INT", True, True), Declared("NAME", "VARCHAR", length=64), Declared("NOTE", "TEXT"), Declared("BALANCE", "DECIMAL", False, True), Declared("SINCE", "DATETIME")]
-    return spark.createDataFrame(describe(columns), "Field string, Type string, `Key` string, `Null` string")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def over(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,4 +167,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {name: over(q) for name, q in QUERIES.items()} | {"show_tables": show_tables, "describe_table": describe_table}
+    return {name: over(q) for name, q in QUERIES.items()}

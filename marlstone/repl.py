@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 from .errors import EngineError
 from .session import Result, Session, _text, connect
 
+PAGE = 1000
 HELP = "Statements end with ;   .tables  list tables   .clear  drop what was typed   .help   .exit, .quit"
 
 
@@ -20,13 +22,16 @@ def bordered(columns: Sequence[str], rows: Sequence[Sequence[object]]) -> str:
     return "\n".join([rule, line(columns), rule, *map(line, cells), rule])
 
 
-def shown(result: Result) -> str:
-    rows = result.rows
+def pages(result: Result) -> Iterator[str]:
+    """What the shell shows for a result, PAGE rows at a time."""
     if not result.columns:
-        return f"Query OK ({result.elapsed:.3f} sec)"
-    if not rows:
-        return f"Empty set ({result.elapsed:.3f} sec)"
-    return f"{bordered(result.columns, rows)}\n{len(rows)} row{'s' * (len(rows) != 1)} in set ({result.elapsed:.3f} sec)"
+        yield f"Query OK ({result.elapsed:.3f} sec)"
+        return
+    rows, n = iter(result), 0
+    while page := list(islice(rows, PAGE)):
+        n += len(page)
+        yield bordered(result.columns, page)
+    yield f"{n} row{'s' * (n != 1)} in set ({result.elapsed:.3f} sec)" if n else f"Empty set ({result.elapsed:.3f} sec)"
 
 
 def run(session: Session, lines, write=print) -> None:
@@ -41,12 +46,13 @@ def run(session: Session, lines, write=print) -> None:
         elif word == ".clear":
             typed = ""
         elif word == ".tables":
-            write(shown(session.execute("SHOW TABLES")))
+            write("\n".join(pages(session.execute("SHOW TABLES"))))
         else:
             typed += line + "\n"
             if word.endswith(";"):
                 try:
-                    write(shown(session.execute(typed)))
+                    for page in pages(session.execute(typed)):
+                        write(page)
                 except EngineError as e:
                     write(f"ERROR: {e}")
                 typed = ""

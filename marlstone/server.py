@@ -36,7 +36,12 @@ class Server(socketserver.ThreadingTCPServer):
 class Handler(socketserver.StreamRequestHandler):
     def handle(self) -> None:
         while line := self.rfile.readline(LARGEST):
+            whole = line.endswith(b"\n")
+            while not whole and (rest := self.rfile.readline(LARGEST)):  # what is too large is read to its end, so that answers stay in step
+                whole, line = rest.endswith(b"\n"), b""
             try:
+                if not line:
+                    raise EngineError(f"the request is larger than {LARGEST} bytes")
                 result = self.server.session.execute(json.loads(line)["sql"])
                 if result.columns:
                     self.say(columns=result.columns)
@@ -63,6 +68,7 @@ class Client:
         self.last_was_query, self.last_columns = False, []
 
     def execute(self, sql: str, callback: Callable[[list[str | None], list[str]], object] | None = None) -> list[list[str | None]]:
+        """The rows, all at once; a callback gets them one by one instead."""
         self.socket.sendall(json.dumps({"sql": sql}).encode() + b"\n")
         self.last_columns, rows, stopped = [], [], False
         for line in self.lines:

@@ -84,7 +84,7 @@ class Session:
         except ParseException as e:
             raise ParseError(_first_line(e)) from e
         except AnalysisException as e:
-            raise EngineError(_analysis(e)) from e
+            raise EngineError(_analysis(e, sql)) from e
         except PySparkException as e:
             raise EngineError(_first_line(e)) from e
         result.elapsed = time.perf_counter() - began
@@ -116,7 +116,7 @@ class Session:
             case S.Insert():
                 c.insert(s.table, s.columns, s.rows, s.by_column)
             case S.Update():
-                return Result(["rows_updated"], kept=[(c.update(s.table, s.assignments, _plain(s.where)),)])
+                return Result(["rows_updated"], kept=[(c.update(s.table, [(name, S.plain(text)) for name, text in s.assignments], _plain(s.where)),)])
             case S.Delete():
                 c.delete(s.table, _plain(s.where))
             case S.Truncate():
@@ -133,13 +133,13 @@ class Session:
         return Result()
 
     def _select(self, sql: str) -> Result:
-        sql = S.plain_like(sql)
+        written, sql = sql, S.plain(sql)
         words = {t.name for t in S.tokenize(sql) if t.kind == "word"}
         versions = self.catalog.refresh(sorted(words & (self.catalog.store.names() | {*self.catalog.viewed})))
         key = None if any(map(self.catalog.has_ttl, versions)) or _changes(words) else (sql, tuple(versions.items()))
         if key is not None and (kept := self.cache.get(key)) is not None:
             return Result(kept.columns, kept.df, kept.kept, is_query=True)
-        df = _named(self.spark.sql(sql), sql)
+        df = _named(self.spark.sql(sql), written)
         result = Result(df.columns, df, is_query=True)
         if key is not None:
             result = _Keeping(result.columns, df, is_query=True, cache=self.cache, key=key)
@@ -181,7 +181,7 @@ def _changes(words: set[str]) -> bool:
 
 
 def _plain(where: str | None) -> str | None:
-    return None if where is None else S.plain_like(where)
+    return None if where is None else S.plain(where)
 
 
 def _named(df: DataFrame, sql: str) -> DataFrame:
@@ -209,12 +209,20 @@ def _first_line(e: Exception) -> str:
     return str(e).strip().split("\n")[0]
 
 
-def _analysis(e: AnalysisException) -> str:
+def _analysis(e: AnalysisException, sql: str = "") -> str:
     kind, given = e.getCondition() or "", e.getMessageParameters() or {}
+    plain = lambda name: re.sub(r'[`"]', "", name).split(".")[-1].upper()
     if kind.startswith("TABLE_OR_VIEW_NOT_FOUND"):
         return f"no such table: {given.get('relationName', '').replace('`', '').upper()}"
     if kind.startswith("UNRESOLVED_COLUMN"):
-        return f"unknown column: {given.get('objectName', '').replace('`', '').upper()}"
+        name = given.get("objectName", "").replace("`", "").upper()
+        if plain(name) in S.clause_words(sql, "ON"):
+            return "join column not found"
+        if plain(name) in S.clause_words(sql, "GROUP"):
+            return f"GROUP BY: unknown column: {plain(name)}"
+        return f"unknown column: {name}"
+    if kind.startswith("MISSING_AGGREGATION"):
+        return f"SELECT column not in GROUP BY: {plain(given.get('expression', ''))}"
     return _first_line(e)
 
 

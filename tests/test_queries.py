@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from marlstone.plans import queries as plans
+from marlstone.plans import statements
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
@@ -19,10 +20,10 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("name", list(plans.SQL))
+@pytest.mark.parametrize("name", [*plans.SQL, *statements.SQL])
 def test_query_matches_sql(spark, oracle, name):
-    df = plans.queries()[name](spark, SF)
-    expected = oracle.execute(plans.SQL[name])
+    df = (plans.queries() | statements.queries())[name](spark, SF)
+    expected = oracle.execute((plans.SQL | statements.SQL)[name])
     columns = [c[0] for c in expected.description]
     assert sorted(df.columns) == sorted(columns)
     key = lambda row: tuple((v is not None, str(v)) for v in row)

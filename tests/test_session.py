@@ -3,6 +3,8 @@ import time
 
 import pytest
 
+from marlstone import server as server_module
+from marlstone import statements
 from marlstone.errors import EngineError, ParseError
 from marlstone.repl import run
 from marlstone.server import Client, Server
@@ -227,8 +229,8 @@ def test_server_and_shell(db):
     server.shutdown()
     out = []
     run(db, ["SELECT id, v", "FROM net ORDER BY id DESC LIMIT 1;", "SELECT 1 FROM net WHERE id > 9;", "NOPE;", ".tables", "TRUNCATE net;", ".exit", "SELECT 1;"], out.append)
-    assert "| 2  | NULL |" in out[0] and "1 row in set" in out[0] and out[1].startswith("Empty set")
-    assert out[2].startswith("ERROR: parse error") and "NET" in out[3] and out[4].startswith("Query OK") and len(out) == 5
+    assert "| 2  | NULL |" in out[0] and "1 row in set" in out[1] and out[2].startswith("Empty set")
+    assert out[3].startswith("ERROR: parse error") and "NET" in out[4] and out[5].startswith("Query OK") and len(out) == 6
 
 
 def test_strict(spark, tmp_path):
@@ -249,3 +251,128 @@ def test_sweeper(db):
     version = db.catalog.version("SW")
     assert len(version.segments) == 1 and not db.catalog.has_ttl("SW")
     assert db.catalog.store.read(version).count() == 1
+
+
+def test_requests_that_are_too_large_keep_answers_in_step(db, monkeypatch):
+    monkeypatch.setattr(server_module, "LARGEST", 1000)
+    server = Server(db).start()
+    client = Client(*server.server_address)
+    client.execute("CREATE TABLE big (id INT, v TEXT)")
+    for n in (960, 1000, 1001, 5000):
+        with pytest.raises(EngineError, match="larger than"):
+            client.execute(f"INSERT INTO big VALUES (1, '{'x' * n}')")
+        assert client.execute("SELECT COUNT(*) AS n FROM big") == [["0"]]
+    client.close()
+    server.shutdown()
+
+
+def test_error_texts(db):
+    db.execute("CREATE TABLE a (id INT, v TEXT)")
+    db.execute("CREATE TABLE b (aid INT, w TEXT)")
+    for sql, text in [
+        ("SELECT v FROM a INNER JOIN b ON a.id = b.nope", "join column not found"), ("SELECT v FROM a LEFT JOIN b ON a.zip = b.aid", "join column not found"),
+        ("SELECT COUNT(*) AS n FROM a GROUP BY nope", "GROUP BY: unknown column: NOPE"), ("SELECT v, COUNT(*) AS n FROM a GROUP BY id", "SELECT column not in GROUP BY: V"),
+        ("SELECT nope FROM a", "unknown column: NOPE"), ("SELECT a.id FROM a INNER JOIN b ON a.id = b.aid WHERE nope = 1", "unknown column: NOPE"),
+    ]:
+        with pytest.raises(EngineError) as e:
+            db.execute(sql)
+        assert str(e.value) == text
+
+
+MALFORMED = [
+    "", ";", "SELECT", "SELECT * FROM", "INSERT INTO", "INSERT INTO t VALUES", "INSERT INTO t VALUES (", "CREATE TABLE", "CREATE TABLE x (", "DELETE", "UPDATE t", "UPDATE t SET", "DROP", "SHOW", "SELECT * FROM t WHERE", "'",
+    "INSERT INTO t VALUES (1, 'open)", "((((", "SELECT * FROM t WHERE v = 'a' OR", "CREATE TABLE y (id BLOB)",
+]
+
+
+def test_malformed_statements_fail_and_change_nothing(db):
+    db.execute("CREATE TABLE t (id INT, v TEXT)")
+    db.execute("INSERT INTO t VALUES (1, 'safe')")
+    for sql in MALFORMED:
+        with pytest.raises(EngineError):
+            db.execute(sql)
+    hostile = ["'; DROP TABLE t; --", "x' OR '1'='1", "\\", "%", "Robert'); DELETE FROM t; --", "‮", "a" * 100_000]
+    for i, text in enumerate(hostile):
+        db.execute("INSERT INTO t VALUES ({}, '{}')".format(i + 2, text.replace("'", "''")))
+    assert rows(db, "SELECT id, v FROM t WHERE id > 1 ORDER BY id") == [(i + 2, x) for i, x in enumerate(hostile)]
+    for text in hostile[:5]:
+        literal = text.replace("'", "''")
+        assert rows(db, f"SELECT COUNT(*) AS n FROM t WHERE v = '{literal}'") == [(1,)]
+    assert rows(db, "SELECT COUNT(*) AS n FROM t WHERE v LIKE '%''1''=%' AND v IN ('a', 'x'' OR ''1''=''1')") == [(1,)]
+    assert rows(db, "UPDATE t SET v = 'it''s' WHERE v = 'x'' OR ''1''=''1'") == [(1,)] and rows(db, "SELECT v FROM t WHERE id = 3") == [("it's",)]
+    assert rows(db, "SHOW TABLES") == [("T",)]
+
+
+def test_expiry_at_the_ends_of_64_bits(db):
+    db.execute("CREATE TABLE ends (id INT, v TEXT)")
+    db.execute("INSERT INTO ends VALUES (1, 'a'), (2, 'b', 9223372036854775807), (3, 'c', -1), (4, 'd', -9223372036854775808), (5, 'e', 9223372036854775808), (6, 'f', 'soon')")
+    assert rows(db, "SELECT id FROM ends ORDER BY id") == [(1,), (2,), (5,), (6,)]
+
+
+def test_a_plain_insert_is_read_as_any_other():
+    for sql in ("INSERT INTO t VALUES (1, 'a''b', NULL), (-2.5, '(x, y)', 3);", "INSERT INTO t (a, b) VALUES ('', '''')", "insert into t values(1)", "INSERT INTO t VALUES (1,2),(3,4) ;"):
+        fast, reader = statements.plain_insert(sql), statements.Reader(sql)
+        reader.at = 1
+        slow = statements._insert(reader)
+        assert (fast.table, fast.columns, [list(r) for r in zip(*fast.by_column)]) == (slow.table, slow.columns, slow.rows)
+    for sql in ("INSERT INTO t VALUES (1, 2), (3)", "INSERT INTO t VALUES (1 2)", "INSERT INTO t VALUES (now())", "INSERT INTO t VALUES (1) garbage", "INSERT INTO t VALUES (1, )", "INSERT INTO t VALUES ('open)", "INSERT INTO t VALUES -- (1)\n(2)"):
+        assert statements.plain_insert(sql) is None
+
+
+def test_changes_rewrite_only_the_files_they_touch(db, spark):
+    db.execute("CREATE TABLE f (id INT PRIMARY KEY, v TEXT)")
+    db.catalog.append("f", spark.range(0, 4000, 1, 8).selectExpr("id", "'x' AS v"))
+    files = lambda: set(db.catalog.store.read(db.catalog.version("F")).inputFiles())
+    before = files()
+    assert len(before) == 8
+    db.execute("UPDATE f SET v = 'y' WHERE id = 10")
+    db.execute("DELETE FROM f WHERE id IN (3999, 3998)")
+    assert len(before & files()) == 6 and rows(db, "SELECT COUNT(*) AS n, COUNT_IF(v = 'y') AS y FROM f") == [(3998, 1)]
+    fails(db, "INSERT INTO f VALUES (5000, 'z'), (10, 'z')", "duplicate primary key: 10")
+    fails(db, "INSERT INTO f VALUES " + ", ".join(f"({i}, 'z')" for i in range(3990, 3990 + 2 * 2000)), "duplicate primary key: 399")
+    db.execute("INSERT INTO f VALUES (3998, 'back'), (3999, 'back')")
+    fails(db, "UPDATE f SET id = 3999 WHERE id = 5", "duplicate primary key: 3999")
+    assert rows(db, "SELECT COUNT(*) AS n FROM f") == [(4000,)]
+
+
+def test_new_keys_beyond_those_of_all_segments_read_nothing(db, monkeypatch):
+    db.execute("CREATE TABLE k (id INT PRIMARY KEY, v TEXT)")
+    db.execute("INSERT INTO k VALUES (1, 'a'), (5, 'b')")
+    monkeypatch.setattr(type(db.catalog), "live", lambda *a, **b: 1 / 0)
+    db.execute("INSERT INTO k VALUES (6, 'c'), (900, 'd')")
+    with pytest.raises(ZeroDivisionError):
+        db.execute("INSERT INTO k VALUES (3, 'e')")
+
+
+def test_readers_keep_their_version_across_compaction(db):
+    db.execute("CREATE TABLE r (id INT)")
+    for i in range(3):
+        db.execute(f"INSERT INTO r VALUES ({i}), ({i + 10}, 1)")
+    old = db.execute("SELECT id FROM r ORDER BY id")
+    folders = lambda: db.catalog.store.files.list(db.catalog.store.folder("R") + "/data")
+    db.catalog.compact("r")
+    assert [r[0] for r in old] == [0, 1, 2] and len(folders()) == 4  # younger than an hour
+    db.catalog.compact("r", age=0)
+    assert len(folders()) == 1 and rows(db, "SELECT id FROM r ORDER BY id") == [(0,), (1,), (2,)]
+
+
+def test_two_writers_cannot_make_the_same_version(db, tmp_path):
+    db.execute("CREATE TABLE w (id INT)")
+    store = db.catalog.store
+    version = store.current("W")
+    store.commit(version)
+    with pytest.raises(EngineError, match="another writer was first"):
+        store.commit(version)
+    errors, done = [], []
+
+    def race(k):
+        try:
+            store.files.write_new(f"file://{tmp_path}/one", str(k))
+            done.append(k)
+        except EngineError as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=race, args=(k,)) for k in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(done) == 1 and len(errors) == 7 and store.files.read(f"file://{tmp_path}/one") == str(done[0])
