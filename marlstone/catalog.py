@@ -140,7 +140,7 @@ class Catalog:
             for c, values in zip(schema.columns, arrays, strict=True):
                 if c.not_null and values.null_count:
                     raise EngineError(f"column {c.name} must not be null")
-            expires = [_expiry(t) for t in by_column[-1]] if len(by_column) > len(names) else [0] * n
+            expires = [_expiry(t) for t in by_column[-1]] if len(by_column) > len(names) and {*by_column[-1]} != {"0"} else [0] * n
             made = pa.table([*arrays, pa.array(expires, pa.int64())], [*schema.names, EXPIRES])
             key = schema.key
             if key is not None:
@@ -164,15 +164,17 @@ class Catalog:
             values = values.cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))
             bad = next((i for i, (t, ok) in enumerate(zip(texts, values.is_valid().to_pylist(), strict=True)) if t is not None and not ok), None)
             return values, bad
-        form = INTEGER if kind == "INT" else DECIMAL
-        bad = next((i for i, t in enumerate(texts) if t is not None and not form.fullmatch(t)), None)
-        if bad is not None:
+        form, given = (INTEGER if kind == "INT" else DECIMAL), [t for t in texts if t is not None]
+        if given and not re.fullmatch(f"(?:(?:{form.pattern})\n)*", "\n".join([*given, ""])):
+            bad = next((i for i, t in enumerate(texts) if t is not None and not form.fullmatch(t)), None)
             return pa.nulls(len(texts)), bad
         if kind == "INT":
             values = [None if t is None else int(t) for t in texts]
             bad = next((i for i, v in enumerate(values) if v is not None and not -(1 << 63) <= v < 1 << 63), None)
             return (pa.array(values, pa.int64()) if bad is None else pa.nulls(len(texts))), bad
-        with localcontext(prec=200):
+        if max(map(len, given), default=0) <= 10:  # no digit too many on either side
+            return pa.array(texts, pa.string()).cast(pa.decimal128(28, 10)), None
+        with localcontext(prec=max(200, *map(len, given))):
             values = [None if t is None else Decimal(t).quantize(TENTH, ROUND_HALF_UP) for t in texts]
         bad = next((i for i, v in enumerate(values) if v is not None and abs(v) >= LARGEST), None)
         return (pa.array(values, pa.decimal128(28, 10)) if bad is None else pa.nulls(len(texts))), bad

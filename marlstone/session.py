@@ -232,5 +232,5 @@ def connect(root: str | None = None, spark: SparkSession | None = None, strict:
     if root is None:
         if not spark.sparkContext.master.startswith("local["):
             raise EngineError("a cluster needs a root folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tables-")
+        root = f"file://{tempfile.mkdtemp(prefix='tables-')}"
     return Session(spark, root, strict)
