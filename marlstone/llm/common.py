@@ -13,6 +13,17 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+#: What operators keep in a worker from batch to batch, by operator.
+CACHES: dict[str, dict] = {}
+
+
+def forget_others(name: str) -> None:
+    """Drops what the other operators keep in this worker: workers are reused from one to the next, and their memory would add up."""
+    for other, kept in CACHES.items():
+        if other != name and kept:
+            kept.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_few, key_bits, mix, passes
+from .common import CACHES, checkpointed, forget_others, join_few, key_bits, mix, passes
 
 W = 8
 SHORTEST = 4  # tokens; shorter items must stand by themselves
@@ -68,7 +68,7 @@ class Codes(dict):
         return out
 
 
-_codes = Codes()
+_codes = CACHES["decontamination"] = Codes()
 _unit_codes = np.array(sorted(hash_of(u) for u in UNITS), np.int64)
 
 
@@ -206,6 +206,7 @@ def documents_of(docs: DataFrame, bits: np.ndarray, sizes: list[tuple[int, bool]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out[a : a + 20_000], strict=True), kinds, strict=True)], names)
 
     def run(batches):
+        forget_others("decontamination")
         for batch in batches:
             keys, texts, size = [], [], 0
             for k1, k2, t in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, key_bits, mix, passes
+from .common import CACHES, checkpointed, forget_others, key_bits, mix, passes
 
 WORDS = 5
 NEED, OF = 75, 100  # Jaccard at least NEED / OF
@@ -54,7 +54,7 @@ class Words(dict):
         return out
 
 
-_words = Words()
+_words = CACHES["neardup"] = Words()
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -97,6 +97,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """From _id, _text: _id, n_shingles, s1, s2 (128 bits that name the set) and the band keys."""
 
     def run(batches):
+        forget_others("neardup")
         for batch in batches:
             sizes, names, keys = [], [], []
             for text in batch.column(1).to_pylist():
@@ -137,6 +138,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = checkpointed(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
 
     def compare(batches):
+        forget_others("neardup")
         last, kept = None, None
         for batch in batches:
             out = []

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_few, key_bits
+from .common import checkpointed, forget_others, join_few, key_bits
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -102,17 +102,11 @@ def context(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, str,
     return [(e, *w) for e in dict.fromkeys(entity(k, text[a:b]) for k, a, b in base) for w in words]
 
 
-SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-
-
-def base_spans(texts: pa.Array) -> pa.Array:
-    return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in find(t or "")] for t in texts.to_pylist()], pa.list_(SPAN))
-
-
 def mentions(docs: DataFrame) -> DataFrame:
     """From __k1, __k2 (which name a text) and __text: a row (k1, k2, e, n) for each entity of a text, n rows having that text."""
 
     def run(batches):
+        forget_others("")
         for batch in batches:
             counts: Counter[tuple[int, int, str]] = Counter()
             for k1, k2, text in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
@@ -152,6 +146,7 @@ def counted(docs: DataFrame, count, schema: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [pa.string()] * (len(names) - 1) + [pa.int64()], strict=True)], names)
 
     def run(batches):
+        forget_others("")
         counts: Counter[tuple[str, ...]] = Counter()
         add = count()
         for batch in batches:
@@ -228,47 +223,39 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def places(texts: pa.Array, base: pa.Array, terms: pa.Array) -> pa.Array:
-    """Where each of a text's disclosing terms stands: (start, end, level), by start; null where there is none."""
-    out = []
-    for text, spans, own in zip(texts.to_pylist(), base.to_pylist(), terms.to_pylist(), strict=True):
-        level = {w["t"]: w["level"] for w in own or ()}
-        beside = words_beside(text, [(s["kind"], s["start"], s["end"]) for s in spans]) if level else ()
-        out.append([{"start": a, "end": b, "level": level[w]} for w, a, b in beside if w in level] or None)
-    return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("level", pa.int32())])))
+def places(text: str, base: list[tuple[int, int, int]], level: dict[str, int]) -> list[tuple[int, int, int]]:
+    """Where each of a text's disclosing terms stands: (start, end, level), by start."""
+    return [(a, b, level[w]) for w, a, b in words_beside(text, base) if w in level] if level else []
 
 
-def sanitise(texts: pa.Array, base: pa.Array, terms: pa.Array) -> pa.Array:
-    """Texts with base spans replaced by their kind's name, and terms generalised ([NAME] or [TERM]) or removed."""
-    out = []
-    for text, spans, words in zip(texts.to_pylist(), base.to_pylist(), terms.to_pylist(), strict=True):
-        if text is None or not (spans or words):
-            out.append(text)
+def sanitise(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int, int, int]]) -> str:
+    """The text with base spans replaced by their kind's name, and terms generalised ([NAME] or [TERM]) or removed."""
+    marks = [(a, b, f"[{KINDS[k].upper()}]") for k, a, b in base]
+    marks += [(a, b, "" if level == 2 else "[NAME]" if text[a].isupper() else "[TERM]") for a, b, level in terms]
+    parts, at = [], 0
+    for a, b, new in sorted(marks):
+        if a < at:  # kinds may overlap one another: the rest of the later one goes too
+            at = max(at, b)
             continue
-        marks = [(s["start"], s["end"], f"[{KINDS[s['kind']].upper()}]") for s in spans or ()]
-        for w in words or ():
-            marks.append((w["start"], w["end"], "" if w["level"] == 2 else "[NAME]" if text[w["start"]].isupper() else "[TERM]"))
-        parts, at = [], 0
-        for a, b, new in sorted(marks):
-            if a < at:  # kinds may overlap one another: the rest of the later one goes too
-                at = max(at, b)
-                continue
-            parts += [text[at:a], new]
-            at = b
-        out.append("".join([*parts, text[at:]]))
-    return pa.array(out, pa.string())
-
-
-def sanitise_documents(df: DataFrame, *, text: str = "text") -> DataFrame:
-    """Every row of `df` with base (array of kind, start, end), terms (array of start, end, level) and clean_text.
+        parts += [text[at:a], new]
+        at = b
+    return "".join([*parts, text[at:]])
+
+
+MARKED = pa.struct([
+    ("base", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))),
+    ("terms", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("level", pa.int32())]))),
+    ("clean_text", pa.string()),
+])
+
+
+def sanitise_documents(df: DataFrame, *, text: str = "text", clean: bool = True) -> DataFrame:
+    """Every row of `df` with base (array of kind, start, end), terms (array of start, end, level) and, unless `clean` is false, clean_text.
 
     Offsets are in code points, ends exclusive. Null texts are empty ones (clean_text stays null). Results depend on the text alone, and each row counts as a
     document, so repeated rows get equal results and null ids are fine. Columns of `df` named base, terms or clean_text are
     replaced; names that begin with `__` are the operator's own.
     """
-    base = F.arrow_udf(base_spans, "array<struct<kind:int,start:bigint,end:bigint>>")
-    where = F.arrow_udf(places, "array<struct<start:bigint,end:bigint,level:int>>")
-    clean = F.arrow_udf(sanitise, "string")
     keyed = df.withColumns({"__text": F.col(text).cast("string"), "__k1": F.xxhash64(F.col(text)), "__k2": F.xxhash64(F.col(text), F.lit(1))})
     keyed = keyed.drop(*({"base", "terms", "clean_text"} - {text}))
     found = checkpointed(mentions(keyed))  # small beside the texts, and read twice
@@ -276,11 +263,21 @@ def sanitise_documents(df: DataFrame, *, text: str = "text") -> DataFrame:
         found.join(disclosing(keyed, found), "e").groupBy("k1", "k2", "t").agg(F.max("level").alias("level"))
         .groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("t", "level")).alias("__own"))
     )
+
+    def mark(texts: pa.Array, own: pa.Array) -> pa.Array:
+        out = []
+        for t, levels in zip(texts.to_pylist(), own.to_pylist(), strict=True):
+            base = find(t or "")
+            terms = places(t or "", base, {w["t"]: w["level"] for w in levels or ()})
+            new = (sanitise(t, base, terms) if base or terms else t) if clean else None
+            out.append({"base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "terms": [{"start": a, "end": b, "level": n} for a, b, n in terms] or None, "clean_text": new})
+        return pa.array(out, MARKED)
+
     marked = join_few(keyed, checkpointed(own), ["__k1", "__k2"]).drop("__k1", "__k2")
-    return (
-        marked.withColumn("base", base(F.col("__text"))).withColumn("terms", where(F.col("__text"), F.col("base"), F.col("__own")))
-        .withColumn("clean_text", clean(F.col("__text"), F.col("base"), F.col("terms"))).drop("__text", "__own")
-    )
+    # one pass of a worker for all three
+    done = F.arrow_udf(mark, "struct<base:array<struct<kind:int,start:bigint,end:bigint>>,terms:array<struct<start:bigint,end:bigint,level:int>>,clean_text:string>")
+    marked = marked.withColumn("__done", done(F.col("__text"), F.col("__own"))).drop("__text", "__own")
+    return marked.withColumns({c: F.col("__done")[c] for c in ("base", "terms", "clean_text")[: 2 + clean]}).drop("__done")
 
 
 def digest(spans: DataFrame) -> DataFrame:

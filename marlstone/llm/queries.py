@@ -33,7 +33,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return pii.digest(pii.sanitise_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pii.digest(pii.sanitise_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), clean=False))
 
 
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

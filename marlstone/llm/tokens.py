@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import CACHES, forget_others
+
 KEPT, KEPT_CHARS = 200_000, 16_000_000  # chunks that a worker keeps, and their characters
 LEAF = 16  # chunks in a leaf
 LEAF_CHARS = 4096  # a leaf that grows beyond this is cut again
@@ -34,7 +36,6 @@ class Encoder:
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -42,11 +43,19 @@ class Encoder:
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.width[rank] = len(token)
-        self.full = Tokenizer.from_file(json_path)
-        self.full.encode_special_tokens = True  # their strings are ordinary text
-        self.kept: dict[str, bytes] = {}
+        self.json_path = json_path
+        self.kept: dict[str, bytes] = CACHES.setdefault(f"tokens {json_path}", {})
         self.size = 0
 
+    @cached_property
+    def full(self):
+        """The library's own tokenizer, for unusual texts."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.json_path)
+        out.encode_special_tokens = True  # their strings are ordinary text
+        return out
+
     def one(self, text: str) -> bytes:
         if not text:
             return b""
@@ -111,9 +120,15 @@ class Encoder:
         return [len(b) // 4 for b in self.encode(texts)]
 
 
-@lru_cache(4)
 def encoder(name: str = "byte_bpe_50k") -> Encoder:
     """The encoder of a worker; the vocabulary files lie where public_tokenizers says."""
+    out = _encoder(name)
+    forget_others(f"tokens {out.json_path}")
+    return out
+
+
+@lru_cache(4)
+def _encoder(name: str) -> Encoder:
     import public_tokenizers
 
     return Encoder(public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)

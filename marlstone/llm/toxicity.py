@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import CACHES, checkpointed, forget_others
 
 SAMPLE = 8000  # labelled rows of each label, at most
 ORDINARY = 0.2  # what the idf of a word counts that doesn't mark label 1
@@ -52,7 +52,7 @@ class Known(dict):
         return out
 
 
-_known = Known()
+_known = CACHES["toxicity"] = Known()
 
 
 def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -307,6 +307,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
     rows = checkpointed(rows)
 
     def vectors(batches):
+        forget_others("toxicity")
         kinds = pa.list_(pa.int64()), pa.list_(pa.int32())
         for batch in batches:
             got = [vector(t) for t in batch.column(2).to_pylist()]
@@ -357,6 +358,7 @@ def score_documents(df: DataFrame, model: Model, *, text: str = "text", threshol
     shared, rest = model.spread(df.sparkSession), replace(model, index=None, shared=None)
 
     def run(texts: pa.Array) -> pa.Array:
+        forget_others("toxicity")
         got = shared.value.votes([vector(t) for t in texts.to_pylist()])  # one index for each worker, whatever the number of its tasks
         return pa.array([{"score": rest.level(x[0]), "evidence": x[1]} if x else {"score": rest.empty_score, "evidence": []} for x in got], kind)
 
