@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 
 import numpy as np
@@ -13,15 +15,22 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-#: What operators keep in a worker from batch to batch, by operator.
-CACHES: dict[str, dict] = {}
+#: What operators keep in a worker from batch to batch, by operator; each can be cleared.
+CACHES: dict[str, object] = {}
+_last: list[str] = []
 
 
 def forget_others(name: str) -> None:
-    """Drops what the other operators keep in this worker: workers are reused from one to the next, and their memory would add up."""
+    """Drops what other operators keep in this worker and gives free memory back: workers are reused from one to the next, and their memory would add up."""
+    if _last == [name]:
+        return
+    _last[:] = [name]
     for other, kept in CACHES.items():
-        if other != name and kept:
+        if other != name:
             kept.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,13 +126,24 @@ def passes(bits: np.ndarray, hashes: np.ndarray, log2_bits: int) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
+def marked_few(df: DataFrame, few: DataFrame, on: list[str], log2_bits: int) -> DataFrame:
+    """`df` with `__may`: whether a row's key can be in `few`, by a bit set of fixed size."""
+    bits = key_bits(few.select(F.xxhash64(*on).alias("h")), "h", log2_bits)
+    may = F.arrow_udf(lambda h: pa.array(passes(bits, h.to_numpy().view(np.uint64), log2_bits)), "boolean")
+    return df.withColumn("__may", may(F.xxhash64(*on)))
+
+
 def join_few(df: DataFrame, few: DataFrame, on: list[str], log2_bits: int = 22) -> DataFrame:
     """df.join(few, on, "left") that moves few rows of `df`; `few` has one row for each key, and is read twice.
 
-    Rows whose key can't be in `few`, by a bit set of fixed size, get nulls where they are; the others are joined. A null in a key matches nothing.
+    Rows whose key can't be in `few` get nulls where they are; the others are joined. A null in a key matches nothing.
     """
-    bits = key_bits(few.select(F.xxhash64(*on).alias("h")), "h", log2_bits)
-    may = F.arrow_udf(lambda h: pa.array(passes(bits, h.to_numpy().view(np.uint64), log2_bits)), "boolean")
-    marked = df.withColumn("__may", may(F.xxhash64(*on)))
+    marked = marked_few(df, few, on, log2_bits)
     alone = marked.where("not __may").withColumns({f.name: F.lit(None).cast(f.dataType) for f in few.schema if f.name not in on})
     return marked.where("__may").join(few, on, "left").unionByName(alone).drop("__may")
+
+
+def without_few(df: DataFrame, few: DataFrame, on: list[str], log2_bits: int = 22) -> DataFrame:
+    """df.join(few, on, "left_anti") that moves few rows of `df`; `few` is read twice. A null in a key matches nothing."""
+    marked = marked_few(df, few, on, log2_bits)
+    return marked.where("__may").join(few, on, "left_anti").unionByName(marked.where("not __may")).drop("__may")

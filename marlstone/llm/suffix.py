@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_few, key_bits, mix, passes, utf8
+from .common import checkpointed, forget_others, join_few, key_bits, mix, passes, utf8
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1  # grams in a window
@@ -116,6 +116,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     """g, n: anchors and how often they occur (2 at least if a run holds one again; a run longer than WINDOW counts for as many)."""
 
     def run(batches):
+        forget_others("suffix")
         for batch in batches:
             for x, _, _, places, lengths in slices(batch):
                 g, _, _, size, again = runs(x, places, lengths)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ class Encoder:
         for token, rank in ranks.items():
             self.width[rank] = len(token)
         self.json_path = json_path
-        self.kept: dict[str, bytes] = CACHES.setdefault(f"tokens {json_path}", {})
+        self.kept: dict[str, bytes] = {}
         self.size = 0
 
     @cached_property
@@ -122,16 +122,16 @@ class Encoder:
 
 def encoder(name: str = "byte_bpe_50k") -> Encoder:
     """The encoder of a worker; the vocabulary files lie where public_tokenizers says."""
-    out = _encoder(name)
-    forget_others(f"tokens {out.json_path}")
-    return out
+    forget_others("tokens")
+    if name not in _encoders:
+        import public_tokenizers
 
+        _encoders[name] = Encoder(public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)
+    return _encoders[name]
 
-@lru_cache(4)
-def _encoder(name: str) -> Encoder:
-    import public_tokenizers
 
-    return Encoder(public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)
+_encoders: dict[str, Encoder] = {}
+CACHES["tokens"] = _encoders
 
 
 def leaves(text: str, enc: Encoder) -> tuple[list[int], list[int]]:

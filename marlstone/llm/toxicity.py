@@ -71,6 +71,11 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def tf_table(counts: np.ndarray) -> np.ndarray:
+    """1 + log(count), by count."""
+    return 1 + np.log(np.maximum(np.arange(int(counts.max(initial=0)) + 1), 1))
+
+
 @dataclass
 class Index:
     """The examples, in blocks. Only what the first fields hold is sent about; the rest is made of it where it is needed."""
@@ -86,7 +91,7 @@ class Index:
     counts: np.ndarray = field(repr=False)  # by posting
 
     def __post_init__(self) -> None:
-        self.ready = False
+        self.ready = self.sent = False
         self.compared = self.skipped = 0  # blocks
         self.answers: dict[bytes, tuple[float, list[int]] | None] = {}
 
@@ -96,30 +101,36 @@ class Index:
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.__post_init__()
+        self.sent = True
 
     def expand(self) -> None:
-        """column: by term, its row in `dense`, or -1. dense: weights of frequent terms by example, in single precision (cosines are exact to six
-        digits). For other terms, first: their first entry, an entry being a block that holds the term; block, most: an entry's block, and
-        the term's largest weight there; postings: an entry's first posting; place, weight: by posting."""
+        """column: by term, its row in `dense`, or -1. dense: weights of frequent terms by example. For other terms, first: their first entry, an entry being a block that holds the term; block, most: an entry's block, and
+        the term's largest weight there; postings: an entry's first posting; place, weight: by posting. Weights are in single precision, so cosines are exact to six digits."""
         n_blocks = -(-len(self.ids) // BLOCK)
         often = np.flatnonzero(self.have > max(len(self.ids) / FREQUENT, 1))
         self.column = np.full(len(self.words), -1, np.int32)
         self.column[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), n_blocks * BLOCK), np.float32)
-        tf = 1 + np.log(np.maximum(np.arange(int(self.counts.max(initial=0)) + 1), 1))
+        tf = tf_table(self.counts).astype(np.float32)
+        scale, norms = self.scale.astype(np.float32), self.norms.astype(np.float32)
         term = np.repeat(np.arange(len(self.words), dtype=np.int32), self.have)
-        at, rare = self.column[term], np.flatnonzero(self.column[term] < 0)
+        at = self.column[term]
         own = np.flatnonzero(at >= 0)
-        self.dense[at[own], self.example[own]] = tf[self.counts[own]] * self.scale[term[own]] / self.norms[self.example[own]]
+        self.dense[at[own], self.example[own]] = tf[self.counts[own]] * scale[term[own]] / norms[self.example[own]]
+        rare = at < 0
+        del at, own
         term, self.place = term[rare], self.example[rare].astype(np.int32)
-        self.weight = tf[self.counts[rare]] * self.scale[term] / self.norms[self.place]
-        block = self.place // BLOCK
-        new = np.ones(len(rare), bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        start = np.flatnonzero(new)
-        self.most = np.nextafter((np.maximum.reduceat(self.weight, start) if len(start) else self.weight).astype(np.float32), np.float32(2))
-        self.block, self.postings = block[start], np.append(start, len(rare)).astype(np.int32)
+        self.weight = tf[self.counts[rare]]
+        self.weight *= scale[term]
+        self.weight /= norms[self.place]
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (self.place[1:] // BLOCK != self.place[:-1] // BLOCK)
+        start = np.flatnonzero(new).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else self.weight
+        self.block, self.postings = self.place[start] // BLOCK, np.append(start, np.int32(len(term)))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(term[start], minlength=len(self.words)))]).astype(np.int32)
+        if self.sent:  # a worker needs it no more
+            self.example = self.counts = self.have = None
         self.ready = True
 
     def weigh(self, one: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -259,10 +270,15 @@ def alike(rows: np.ndarray) -> np.ndarray:
     return np.argmax(rows @ centres.T, 1)
 
 
-def build(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, counts: np.ndarray, stands: np.ndarray) -> Index:
-    """The index over examples (id, label, number of terms, rows it stands for; their hashes and counts one after another)."""
-    words, of = np.unique(hashes, return_inverse=True)
-    of, counts, owner = of.astype(np.int32), small(counts), small(np.repeat(np.arange(len(ids)), sizes))
+def terms_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order, and the place of each one given."""
+    words = np.unique(hashes)
+    return words, np.searchsorted(words, hashes).astype(np.int32)
+
+
+def build(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, words: np.ndarray, of: np.ndarray, counts: np.ndarray, stands: np.ndarray) -> Index:
+    """The index over examples (id, label, number of terms, rows it stands for; their terms and counts one after another)."""
+    counts, owner = small(counts), small(np.repeat(np.arange(len(ids)), sizes))
     have = np.bincount(of, minlength=len(words))
     n1 = np.bincount(of, toxic[owner], len(words))
     ones, zeros = toxic.sum(), len(toxic) - toxic.sum()
@@ -271,19 +287,33 @@ def build(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, hashes: np.ndar
     marks = np.clip((errors - MARKS[0]) / (MARKS[1] - MARKS[0]), 0, 1)
     scale = np.log((stands.sum() + 1) / (np.bincount(of, stands[owner], len(words)) + 0.5)) * (ORDINARY + (1 - ORDINARY) * marks)
     scale = np.append(scale, np.log((stands.sum() + 1) / 0.5) * ORDINARY)
-    tf = 1 + np.log(np.maximum(np.arange(int(counts.max(initial=0)) + 1), 1))
-    norms = np.sqrt(np.bincount(owner, (tf[counts] * scale[of]) ** 2, len(ids)))
-    column = np.full(len(words), -1, np.int32)
+    tf, squares = tf_table(counts), np.zeros(len(ids))
+    for a in range(0, len(of), 1 << 19):  # in parts, as the driver's memory is small
+        part = slice(a, a + (1 << 19))
+        squares += np.bincount(owner[part], (tf[counts[part]] * scale[of[part]]) ** 2, len(ids))
+    norms = np.sqrt(squares)
+    column = np.full(len(words), -1, np.int16)
     often = np.argsort(-have, kind="stable")[:256]  # by their commonest terms, examples that are alike become neighbours
     column[often] = np.arange(len(often))
     rows, own = np.zeros((len(ids), len(often)), np.float32), np.flatnonzero(column[of] >= 0)
     rows[owner[own], column[of[own]]] = (tf[counts[own]] * scale[of[own]]) / norms[owner[own]]
-    order = np.lexsort((ids, toxic, alike(rows)))
+    by_id = np.argsort(ids)
+    kinds = np.empty(len(ids), np.int64)
+    kinds[by_id] = alike(rows[by_id])
+    del rows, own
+    order = np.lexsort((ids, toxic, kinds))
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
-    example = place[owner]
-    by = np.argsort(of * np.int64(max(len(ids), 1)) + example)
-    return Index(words, scale, ids[order], toxic[order], stands[order], norms[order], small(have), small(example[by]), counts[by])
+    # a posting as one number, in order of term, example and count, sorted where it stands
+    n, most = max(len(ids), 1), int(counts.max(initial=0)) + 1
+    if len(words) * n * most >= 1 << 63:
+        raise ValueError("the sample's words, examples and counts don't fit in 63 bits")
+    key = of * np.int64(n)
+    key += place[owner]
+    key *= most
+    key += counts
+    key.sort()
+    return Index(words, scale, ids[order], toxic[order], stands[order], norms[order], small(have), small(key // most % n), small(key % most))
 
 
 def examples(documents: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, sample: int) -> tuple[DataFrame, dict[int, int]]:
@@ -313,19 +343,22 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id",
             got = [vector(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h.view(np.int64) for h, _ in got], kinds[0]), pa.array([n.astype(np.int32) for _, n in got], kinds[1])], ["id", "y", "h", "n"])
 
-    found = rows.mapInArrow(vectors, "id long, y int, h array<long>, n array<int>").toArrow().sort_by("id").combine_chunks()  # 2 * sample rows at most
-    y = found["y"].to_numpy()
+    found = rows.mapInArrow(vectors, "id long, y int, h array<long>, n array<int>").toArrow()  # 2 * sample rows at most
+    ids, y = found["id"].to_numpy(), found["y"].to_numpy()
     n = np.bincount(y, minlength=2)
     if not len(y):
         none = np.zeros(0)
-        return Model(build(none.astype(np.int64), none, none.astype(np.int64), none.astype(np.uint64), none, none))
+        return Model(build(none.astype(np.int64), none, none.astype(np.int64), none.astype(np.uint64), none.astype(np.int32), none, none))
     each = np.array([max(labelled.get(k, 0) / sample, 1.0) for k in (0, 1)])  # rows by sampled row
     share = n[1] * each[1] / (n * each).sum()
     each = each * n.sum() / (n * each).sum()  # the sample is as much evidence as it has texts
     sizes = pc.list_value_length(found["h"]).to_numpy()
     some = sizes > 0  # texts without words are near to none
-    hashes, counts = pc.list_flatten(found["h"]).to_numpy().view(np.uint64), pc.list_flatten(found["n"]).to_numpy()
-    index = build(found["id"].to_numpy()[some], y[some].astype(float), sizes[some], hashes, counts, each[y[some]])
+    counts = small(pc.list_flatten(found["n"]).to_numpy())
+    words, of = terms_of(pc.list_flatten(found["h"]).to_numpy().view(np.uint64))
+    del found
+    index = build(ids[some], y[some].astype(float), sizes[some], words, of, counts, each[y[some]])
+    del of, counts
     model = Model(index, share)
     if not len(index.ids):
         return model

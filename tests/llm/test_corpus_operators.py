@@ -333,6 +333,16 @@ def test_bit_set_passes_its_keys(spark):
     assert not common.key_bits(df.limit(0), "h", 14).any()
 
 
+def test_joins_with_few(spark):
+    df = spark.createDataFrame([(i % 50, "x") for i in range(500)] + [(None, "y"), (None, "y")], "k long, v string")
+    few = spark.createDataFrame([(3, "a"), (7, None), (99, "b")], "k long, w string")
+    same = lambda a, b: sorted(map(str, a.select("k", "v", *a.columns[2:]).collect())) == sorted(map(str, b.select("k", "v", *b.columns[2:]).collect()))
+    for bits in (6, 22):  # 64 bits let some through that don't match
+        for right in (few, few.limit(0)):
+            assert same(common.join_few(df, right, ["k"], bits), df.join(right, "k", "left"))
+            assert same(common.without_few(df, right.select("k"), ["k"], bits), df.join(right, "k", "left_anti"))
+
+
 # -- pipeline
 
 

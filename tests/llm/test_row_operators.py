@@ -475,7 +475,7 @@ def test_bounds_skip_blocks_and_lose_nothing(monkeypatch):
     kinds = [[f"{k}{c}{d}" for c in "abcdefgh" for d in "abcdefgh"] for k in "uvxyz"]
     texts = [" ".join(rng.choice(kinds[i % 5], 25)) + f" own{i % 90}" for i in range(600)]
     made = [toxicity.vector(t) for t in texts]
-    args = np.arange(600), rng.integers(0, 2, 600).astype(float), np.array([len(h) for h, _ in made]), np.concatenate([h for h, _ in made]), np.concatenate([n for _, n in made]), np.ones(600)
+    args = np.arange(600), rng.integers(0, 2, 600).astype(float), np.array([len(h) for h, _ in made]), *toxicity.terms_of(np.concatenate([h for h, _ in made])), np.concatenate([n for _, n in made]), np.ones(600)
     index = toxicity.build(*args)
     got = index.nearest(made)
     assert index.skipped > index.compared
