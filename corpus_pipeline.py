@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontam, neardup, packing, pii, toxicity
-from marlstone.llm.common import fold, shared_folder, small_batches, table
+from marlstone.llm.common import checkpointed, fold, shared_folder, small_batches, table, without_few
 
 
 def bare(docs: DataFrame) -> DataFrame:
@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
     small_batches(spark)
-    gone = neardup.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = checkpointed(neardup.near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("__id")).distinct())
+    return without_few(docs.withColumn("__id", F.col("doc_id").cast("long")), gone, ["__id"]).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
