@@ -30,7 +30,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root.rstrip("/"))
-        self.viewed: dict[str, int] = {}
+        self.viewed: dict[str, str] = {}
 
     def version(self, table: str) -> Version:
         found = self.store.current(table.upper())
@@ -68,18 +68,18 @@ class Catalog:
     def table(self, name: str, now: int | None = None) -> DataFrame:
         return self.live(self.version(name), now)
 
-    def refresh(self, names: Sequence[str]) -> dict[str, int]:
-        """Brings the views of the named tables up to date; returns the versions that they show (0 where there is no such table)."""
+    def refresh(self, names: Sequence[str]) -> dict[str, str]:
+        """Brings the views of the named tables up to date; returns the names of the versions that they show (empty where there is no such table)."""
         out = {}
         for name in names:
             version = self.store.current(name)
             if version is None:
                 self.viewed.pop(name, None)
                 self.spark.catalog.dropTempView(name)
-            elif self.viewed.get(name) != version.number:
+            elif self.viewed.get(name) != version.name:
                 self.live(version).createOrReplaceTempView(name)
-                self.viewed[name] = version.number
-            out[name] = version.number if version else 0
+                self.viewed[name] = version.name
+            out[name] = version.name if version else ""
         return out
 
     def has_ttl(self, table: str) -> bool:

@@ -376,3 +376,14 @@ def test_two_writers_cannot_make_the_same_version(db, tmp_path):
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert len(done) == 1 and len(errors) == 7 and store.files.read(f"file://{tmp_path}/one") == str(done[0])
+
+
+def test_a_table_made_again_elsewhere_is_another_one(db, spark, tmp_path):
+    db.execute("CREATE TABLE again (id INT)")
+    db.execute("INSERT INTO again VALUES (1)")
+    assert rows(db, "SELECT id FROM again") == [(1,)]
+    with connect(f"file://{tmp_path}/db", spark) as other:
+        other.execute("DROP TABLE again")
+        other.execute("CREATE TABLE again (id INT, v TEXT)")
+        other.execute("INSERT INTO again VALUES (2, 'x')")
+    assert rows(db, "SELECT * FROM again") == [(2, "x")]
