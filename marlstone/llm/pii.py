@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, forget_others, join_few, key_bits
+from .common import checkpointed, forget_others, key_bits, passes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -264,19 +264,32 @@ def sanitise_documents(df: DataFrame, *, text: str = "text", clean: bool = True)
         .groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("t", "level")).alias("__own"))
     )
 
+    own = checkpointed(own)
+    bits = key_bits(own.select(F.xxhash64("__k1", "__k2").alias("h")), "h", LOG2_BITS)
+    key = F.xxhash64("__k1", "__k2")
+
+    def result(t: str | None, levels: list[dict] | None) -> dict:
+        base = find(t or "")
+        terms = places(t or "", base, {w["t"]: w["level"] for w in levels or ()})
+        new = (sanitise(t, base, terms) if base or terms else t) if clean else None
+        return {"base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "terms": [{"start": a, "end": b, "level": n} for a, b, n in terms] or None, "clean_text": new}
+
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(passes(bits, keys.to_numpy().view(np.uint64), LOG2_BITS))
+
     def mark(texts: pa.Array, own: pa.Array) -> pa.Array:
-        out = []
-        for t, levels in zip(texts.to_pylist(), own.to_pylist(), strict=True):
-            base = find(t or "")
-            terms = places(t or "", base, {w["t"]: w["level"] for w in levels or ()})
-            new = (sanitise(t, base, terms) if base or terms else t) if clean else None
-            out.append({"base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "terms": [{"start": a, "end": b, "level": n} for a, b, n in terms] or None, "clean_text": new})
-        return pa.array(out, MARKED)
-
-    marked = join_few(keyed, checkpointed(own), ["__k1", "__k2"]).drop("__k1", "__k2")
-    # one pass of a worker for all three
-    done = F.arrow_udf(mark, "struct<base:array<struct<kind:int,start:bigint,end:bigint>>,terms:array<struct<start:bigint,end:bigint,level:int>>,clean_text:string>")
-    marked = marked.withColumn("__done", done(F.col("__text"), F.col("__own"))).drop("__text", "__own")
+        return pa.array([result(t, levels) for t, levels in zip(texts.to_pylist(), own.to_pylist(), strict=True)], MARKED)
+
+    def mark_others(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        """For rows that have no terms for sure; null for the others."""
+        return pa.array([None if some else result(t, None) for t, some in zip(texts.to_pylist(), may(keys).to_pylist(), strict=True)], MARKED)
+
+    # rows that may have terms are dealt out evenly and joined; each task of a stage needs one Python worker
+    kind = "struct<base:array<struct<kind:int,start:bigint,end:bigint>>,terms:array<struct<start:bigint,end:bigint,level:int>>,clean_text:string>"
+    some = keyed.where(F.arrow_udf(may, "boolean")(key)).hint("rebalance").join(own, ["__k1", "__k2"], "left")
+    some = some.withColumn("__done", F.arrow_udf(mark, kind)(F.col("__text"), F.col("__own"))).drop("__own")
+    others = keyed.withColumn("__done", F.arrow_udf(mark_others, kind)(F.col("__text"), key)).where("__done IS NOT NULL")
+    marked = some.unionByName(others).drop("__text", "__k1", "__k2")
     return marked.withColumns({c: F.col("__done")[c] for c in ("base", "terms", "clean_text")[: 2 + clean]}).drop("__done")
 
 

@@ -44,7 +44,7 @@ class Known(dict):
     """64-bit hashes of words, as bytes; forgotten all together beyond a bound."""
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")).to_bytes(8, "little")
         if len(word) <= 256:
@@ -119,7 +119,7 @@ class Index:
         self.dense[at[own], self.example[own]] = tf[self.counts[own]] * scale[term[own]] / norms[self.example[own]]
         rare = at < 0
         del at, own
-        term, self.place = term[rare], self.example[rare].astype(np.int32)
+        term, self.place = term[rare], self.example[rare]
         self.weight = tf[self.counts[rare]]
         self.weight *= scale[term]
         self.weight /= norms[self.place]
@@ -200,7 +200,7 @@ class Index:
     def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]] | None]:
         """The vote and the ids of the neighbours; None for a text without any. What was met before is kept, and forgotten all together beyond a bound."""
         keys = [xxhash.xxh3_128_digest(h.tobytes() + n.tobytes()) for h, n in vectors]
-        if len(self.answers) > 20_000:
+        if len(self.answers) > 5_000:
             self.answers.clear()
         new = {k: v for k, v in zip(keys, vectors, strict=True) if len(v[0]) and k not in self.answers}
         names = list(new) if len(self.ids) else []
