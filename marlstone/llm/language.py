@@ -133,9 +133,9 @@ def learn(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     languages = sorted(counts)
     if not languages:
         return Filters([], np.zeros((1, 1 << LOG2_SLOTS), np.uint64), np.zeros(0))
-    shares = df.sparkSession.createDataFrame([(name, i, min(1.0, per_language / counts[name])) for i, name in enumerate(languages)], "l string, i int, share double")
+    known = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.struct(F.lit(i).alias("i"), F.lit(min(1.0, per_language / counts[name])).alias("share")))])
     u = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 30)).cast("double") / (1 << 30)
-    sample = labelled.join(shares, "l").where(u < F.col("share")).select(F.col("i").alias("l"), "t")
+    sample = labelled.withColumn("s", F.element_at(known, F.col("l"))).where(u < F.col("s.share")).select(F.col("s.i").alias("l"), "t")
 
     def count(batches):
         for batch in batches:
@@ -154,8 +154,10 @@ def learn(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(of[new].astype(np.int32)), pa.array(h[new].view(np.int64)), pa.array(np.diff(np.append(places, len(h))))], ["l", "g", "n"])
 
     texts = {r.l: r.n for r in sample.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    needs = df.sparkSession.createDataFrame([(i, max(2, int(np.ceil(MIN_SHARE * n))) if n > 4 else 1) for i, n in texts.items()] or [(0, 1)], "l int, need long")
-    found = sample.mapInArrow(count, "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).join(needs, "l").where("n >= need").select("l", "g").toArrow()
+    if not texts:
+        return filters_of(languages, np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    needs = F.create_map(*[F.lit(x) for i, n in texts.items() for x in (i, max(2, int(np.ceil(MIN_SHARE * n))) if n > 4 else 1)])
+    found = sample.mapInArrow(count, "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= F.element_at(needs, F.col("l"))).select("l", "g").toArrow()
     return filters_of(languages, found["l"].to_numpy(), found["g"].to_numpy().view(np.uint64))
 
 
