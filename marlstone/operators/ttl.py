@@ -20,5 +20,10 @@ def live_rows(df: DataFrame, column: str = EXPIRES, now: int | Column | None = N
 
 
 def with_lifetime(df: DataFrame, start: str, seconds: int, column: str = EXPIRES) -> DataFrame:
-    """Adds the expiry of rows that live for a while from a timestamp on."""
-    return df.withColumn(column, F.unix_timestamp(F.col(start).cast("timestamp")) + F.lit(seconds))
+    """Adds the expiry of rows that live for a while from a timestamp on; none where that is NULL.
+
+    Part of a second counts as a whole one, so a row is alive at each second that its lifetime reaches beyond. As 0 means never, a lifetime that ends at 0 ends at -1.
+    """
+    at = F.col(start).cast("timestamp")
+    ends = F.unix_seconds(at) + F.when(F.pmod(F.unix_micros(at), F.lit(1_000_000)) > 0, 1).otherwise(0) + F.lit(seconds)
+    return df.withColumn(column, F.when(ends == 0, -1).otherwise(ends))

@@ -9,7 +9,8 @@ from marlstone.functions import predicates as P
 from marlstone.operators import dml, join
 from marlstone.operators.aggregate import aggregate, group
 from marlstone.operators.select import limit, order, top
-from marlstone.operators.ttl import live_rows
+from marlstone.operators.ttl import live_rows, with_lifetime
+from marlstone.plans import queries as plans
 
 ROWS = st.lists(st.tuples(st.one_of(st.none(), st.integers(-3, 3)), st.one_of(st.none(), st.sampled_from(["", "a", "b%", "b_", "ü"]))), max_size=12)
 quick = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -100,6 +101,29 @@ def test_expiry_is_at_its_second(spark):
     assert [r.id for r in live_rows(df, now=100).collect()] == [2, 3, 4]
 
 
+def test_lifetimes_are_exact(spark):
+    """Against SQL's ts + INTERVAL 7 DAYS > now, on parts of a second, on the epoch and before it; a NULL has no end."""
+    moments = ["2024-01-13 00:00:00", "2024-01-13 00:00:00.000001", "2024-01-12 23:59:59.999999", "1969-12-25 00:00:00", "1969-12-24 23:59:59.5", "1969-12-20 00:00:00.25", None]
+    df = spark.createDataFrame([(m,) for m in moments], "m string").select(F.col("m").cast("timestamp_ntz").alias("ts"))
+    for now, text in ((1_705_708_800, "2024-01-20 00:00:00"), (1, "1970-01-01 00:00:01")):
+        got = live_rows(with_lifetime(df, "ts", 7 * 86400), now=now).where("ts is not null").select("ts")
+        expected = df.where(F.expr(f"ts + INTERVAL 7 DAYS > timestamp_ntz'{text}'"))
+        assert sorted(got.collect()) == sorted(expected.collect())
+    assert live_rows(with_lifetime(df, "ts", 7 * 86400), now=1_705_708_800).where("ts is null").count() == 1
+
+
+def test_ttl_query_on_odd_moments(spark, tmp_path):
+    import duckdb
+
+    moments = ["2024-01-13 00:00:00", "2024-01-13 00:00:00.000001", "2024-01-13 00:00:00.9", "2024-01-12 23:59:59.999999", "1969-12-25 00:00:00", None]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame([(i, i, m) for i, m in enumerate(moments)], "event_id long, user_id long, m string").selectExpr("event_id", "user_id", "cast(m as timestamp_ntz) ts").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    got = plans.queries()["ttl_live_rows"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(plans.SQL["ttl_live_rows"]).fetchall()) == [(1, 1), (2, 2)]
+
+
 def test_closed_form_counts(spark):
     df = spark.range(1, 1_000_001).select(F.concat(F.lit("user"), "id").alias("name"), F.element_at(F.array(*map(F.lit, "ENG HR SALES OPS LEGAL FIN MKT QA".split())), (F.col("id") % 8 + 1).cast("int")).alias("dept"), (30000 + F.col("id") % 70000).alias("salary"))
     got = df.agg(*[F.count_if(c) for c in (P.compare("salary", ">", 90000), P.between("salary", 50000, 60000), P.one_of("dept", ["ENG", "HR", "FIN"]), P.like("name", "user1%"))]).first()
