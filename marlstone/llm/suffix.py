@@ -30,11 +30,11 @@ from .common import checkpointed, forget_others, join_few, key_bits, mix, passes
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1  # grams in a window
-SLICE = 2 << 20  # bytes looked at together
+SLICE = 1 << 19  # bytes looked at together
 PIECE = 4096  # windows of a run
-CHUNK = 3 << 20  # bytes sorted together, about
+CHUNK = 1 << 20  # bytes sorted together, about
 HOT = CHUNK // (LENGTH + WINDOW)  # runs of an anchor, or as much in longer ones, beyond which its windows are dealt out one by one
-SEEN = 200_000  # runs that a worker tells apart
+SEEN = 100_000  # runs that a worker tells apart
 LOG2_BITS, LOG2_HOT = 26, 20
 
 

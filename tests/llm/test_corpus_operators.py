@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import re
 from collections import Counter, defaultdict
 
@@ -227,6 +228,28 @@ def test_an_anchor_in_many_surroundings(spark):
     assert hot.any() and max(sorts, default=0) <= suffix.CHUNK and rows.filter(pa.compute.is_null(rows["again"])).num_rows > 50 * n
 
 
+def test_a_full_sort_is_small():
+    """Two workers of an executor sort at once, beside its JVM: what one allocates at most is bounded."""
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    bodies = [letters[rng.integers(0, 27, 170)].tobytes() for _ in range(12_000)]
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
+
+    def batches():
+        for a in range(0, len(bodies), 500):
+            rows = [(k, 2 * k + j, 0, 170 + j, bodies[k] + b"!" * j, False) for k in range(a, a + 500) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["g", "doc_id", "start", "end", "body", "again"])
+
+    sorts: list[int] = []
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in suffix.stretches(batches(), suffix.CHUNK, sorts))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == len(bodies) and sum(sorts) == 341 * len(bodies) and most < 160e6
+
+
 def test_repeats_of_odd_tables(spark):
     text = "".join(random.Random(1).choices("abcdefgh", k=300))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text[50:200]), (3, None)], "doc_id long, text string")
