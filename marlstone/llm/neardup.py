@@ -7,15 +7,17 @@ two permutations give all coordinates, and a shingle's values are one slice of t
 Documents with equal sets are one class. Class representatives that share a band are candidates. Instead of all pairs of
 a bucket, each member first meets one bucket leader, that which it shares most buckets with; the pairs are verified on full
 sets and joined into components. Twice over, since leaders may differ. Where a bucket still holds several components,
-its members are compared across components on full sets, and only links that join components leave the task. A bucket with more text than a task takes is first cut
+its members are compared across components, by a byte of each coordinate first and on full sets where enough of them agree, and only links that join components leave the task. A bucket with more text than a task takes is first cut
 by its shingles: with the rarest first, two linked sets share one of their first quarter, so members meet by these, and what only the common passages of a large
-bucket brought together is parted. So no link between components is lost except those that share no band: at Jaccard 0.75 with 51 bands of 5
-coordinates, one in a million.
+bucket brought together is parted. So no link between components is lost except those that share no band (at Jaccard 0.75 with 51 bands of 5
+coordinates, one in a million) or agree in too few coordinates (less than one in ten million).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,9 @@ PLACES = 1 << 20
 BANDS, ROWS = 51, 5
 COORDINATES = BANDS * ROWS
 BLOCK = 3_000_000  # characters
+AGREE = 150  # coordinates of COORDINATES; at Jaccard 0.75 fewer agree less than once in ten million
+MEMBERS = 1000  # of a bucket whose signatures a task compares
+FEW_EDGES = 1 << 19  # that the driver joins into components
 LOG2_BITS = 23
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -94,7 +99,7 @@ def longs(x: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """From _id, _text: _id, n_shingles, s1, s2 (128 bits that name the set) and the band keys."""
+    """From _id, _text: _id, n_shingles, s1, s2 (128 bits that name the set), the band keys and a byte of each coordinate."""
 
     def run(batches):
         forget_others("neardup")
@@ -108,10 +113,12 @@ def sketch(docs: DataFrame) -> DataFrame:
             if not sizes:
                 continue
             s = np.array(names, np.uint64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), longs(band_keys(np.array(keys)).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), longs(s[:, 0]), longs(s[:, 1]), bands], ["id", "n", "s1", "s2", "bands"])
+            signatures = np.array(keys)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), longs(band_keys(signatures).ravel()))
+            signs = pa.array([x.tobytes() for x in signatures.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), longs(s[:, 0]), longs(s[:, 1]), bands, signs], ["id", "n", "s1", "s2", "bands", "sign"])
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>")
+    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, sign binary")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -157,13 +164,31 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b) in order, and the least node that each is connected to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        for ends in (label[a], label[b]):
+            np.minimum.at(label, ends, least)
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def components(edges: DataFrame, rounds: int = 100, few: int = FEW_EDGES) -> DataFrame:
     """id, component (its least id) for the nodes of the edges (a, b): minimum labels with hooking and pointer jumping.
 
-    In a round, each node's label and that of its root fall to the least label next to them, then labels jump to their label's label. Both sides
+    Up to `few` edges are joined in the driver (16 bytes each), as rounds of shuffles would take far longer than they are worth. More are joined in rounds. In a round, each node's label and that of its root fall to the least label next to them, then labels jump to their label's label. Both sides
     of each join are read from checkpoints, so a hot node is split at run time, and minima are map-side combined.
     """
-    edges = checkpointed(edges.where("a != b").select("a", "b").union(edges.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = checkpointed(edges.where("a != b").select("a", "b").distinct())
+    if edges.count() <= few:
+        got = edges.toArrow()
+        nodes, labels = least_labels(got["a"].to_numpy(), got["b"].to_numpy())
+        return checkpointed(edges.sparkSession.createDataFrame(pa.table({"id": nodes.astype(np.int64), "component": labels.astype(np.int64)})))
+    edges = checkpointed(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "id"))
     last = None
     for _ in range(rounds):
@@ -191,6 +216,39 @@ def distinct_buckets(members: DataFrame) -> DataFrame:
     return members.join(named.groupBy("n", "h", "h2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
+def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those rows (key, id, component, sign), in order of key, that agree in AGREE coordinates with a row of the same key and another component."""
+    rest = None
+    for batch in chain(batches, [None]):
+        table = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks() if rest is not None or batch is not None else None
+        if table is None or not table.num_rows:
+            continue
+        key, component = table["key"].to_numpy(), table["component"].to_numpy()
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        done = len(key) if batch is None else int(new[-1])  # the last key may go on
+        sign = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        keep = np.zeros(len(key), bool)
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
+            for k in range(a + 1, b if a < done else a):
+                like = (component[a:k] != component[k]) & ((sign[a:k] == sign[k]).sum(1) >= AGREE)
+                if like.any():
+                    keep[a:k] |= like
+                    keep[k] = True
+        yield from table.slice(0, done).filter(pa.array(keep[:done])).select(["key", "id", "component"]).to_batches()
+        rest = table.slice(done).combine_chunks().to_batches()[0] if done < len(key) else None
+
+
+def possible(members: DataFrame, signs: DataFrame) -> DataFrame:
+    """Those members (key, id, component) that can be linked to another component of their bucket, by the signatures (id, sign); of buckets with more than MEMBERS all.
+
+    A pair is left out if fewer than AGREE of COORDINATES coordinates agree.
+    """
+    large = F.count("*").over(Window.partitionBy("key")) > MEMBERS
+    sized = checkpointed(members.select("key", "id", "component", large.alias("large")))
+    some = sized.where("not large").join(signs, "id").select("key", "id", "component", "sign").repartition("key").sortWithinPartitions("key")
+    return checkpointed(some.mapInArrow(agreeing, "key long, id long, component long").union(sized.where("large").select("key", "id", "component")))
+
+
 def cut_by_shingles(members: DataFrame) -> DataFrame:
     """Smaller buckets (key, id, component) in place of some buckets (key, id, component, text): two linked members meet in one at least.
 
@@ -272,7 +330,7 @@ def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text: str = "te
     known = docs.where(F.col("_id").isNotNull())
     sketches = checkpointed(sketch(docs))
     full = sketches.where("n > 0 and id is not null")
-    classes = checkpointed(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    classes = checkpointed(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sign").alias("sign")))
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = checkpointed(
         keys.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("members")).where("members > 1").join(keys, "key").select("key", "least", F.col("rep").alias("id"))
@@ -290,9 +348,9 @@ def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text: str = "te
     pairs = left.where("component != lo.component").select(F.least("id", "lo.id").alias("a"), F.greatest("id", "lo.id").alias("b"))
     again = checkpointed(best(pairs.join(tried, ["a", "b"], "left_anti")))
     links = checkpointed(links.union(verified(known, again)))
-    left = distinct_buckets(named(links))
+    left = possible(distinct_buckets(named(links)).select("key", "id", "component"), classes.select(F.col("rep").alias("id"), "sign"))
     texts = checkpointed(texts_of(known, left.select("id")).dropDuplicates(["id"]))
-    links = links.union(checkpointed(across(left.select("key", "id", "component").join(texts, "id"))))
+    links = links.union(checkpointed(across(left.join(texts, "id"))))
 
     groups = components(links)
     classes = checkpointed(

@@ -3,8 +3,8 @@
 import hashlib
 import math
 import random
-import tracemalloc
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -145,6 +145,58 @@ def test_components_of_a_long_chain(spark):
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_in_the_driver_and_in_rounds(spark, few):
+    rng = random.Random(few)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)]
+    got = {r.id: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+    root = joined([e for e in edges if e[0] != e[1]], {x: x for a, b in edges if a != b for x in (a, b)})
+    least = {r: min(x for x in root if root[x] == r) for r in root.values()}
+    assert got == {x: least[r] for x, r in root.items()}
+
+
+def test_few_edges_take_no_rounds(spark):
+    """Rounds of shuffles for few edges were most of the disk where there are many partitions."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert neardup.components(edges).count() == 201
+    assert len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before)) < 12
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_only_members_that_may_be_linked_stay(rows):
+    """Against all pairs, with keys that go on from one Arrow batch to the next."""
+    rng = np.random.default_rng(rows)
+    sign, members = {}, []
+    for i in range(120):
+        sign[i] = rng.integers(0, 256, neardup.COORDINATES, dtype=np.uint8)
+        if i % 3:
+            same = int(rng.integers(100, 255))
+            sign[i][:same] = sign[i - 1][:same]
+    for key in range(25):
+        members += [(key, int(i), int(i) % 5) for i in np.sort(rng.choice(120, rng.integers(2, 12), replace=False))]
+    kinds = [pa.int64()] * 3 + [pa.binary()]
+    full = [(*m, sign[m[1]].tobytes()) for m in members]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*full[a : a + rows]), kinds)], ["key", "id", "component", "sign"]) for a in range(0, len(full), rows)]
+    got = [(r["key"], r["id"], r["component"]) for b in neardup.agreeing(iter(batches)) for r in b.to_pylist()]
+    assert got == [m for m in members if any(m[0] == o[0] and m[2] != o[2] and int((sign[m[1]] == sign[o[1]]).sum()) >= neardup.AGREE for o in members)]
+    assert 0 < len(got) < len(members) and not [*neardup.agreeing(iter([]))]
+
+
+def test_texts_that_only_share_a_bucket_are_not_compared(spark, monkeypatch):
+    """Texts with a common passage share bands by chance; only those whose signatures agree are shuffled with their texts."""
+    rng = random.Random(4)
+    words = [f"u{i}" for i in range(4000)]
+    passage = [rng.choice(words) for _ in range(60)]
+    docs = [(i, " ".join(passage + [rng.choice(words) for _ in range(90)])) for i in range(150)]
+    docs += [(200 + i, " ".join(t.split()[:-8] + ["new"] * 8)) for i, t in docs[:20]]
+    seen, plain = [], neardup.across
+    monkeypatch.setattr(neardup, "across", lambda members, *a: seen.append(members.count()) or plain(members, *a))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(docs).items()}
+    assert seen[0] < 20
+
+
 # -- repeats
 
 
