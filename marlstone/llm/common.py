@@ -28,6 +28,11 @@ def forget_others(name: str) -> None:
     for other, kept in CACHES.items():
         if other != name:
             kept.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Gives free memory back to the system."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHES, checkpointed, forget_others
+from .common import CACHES, checkpointed, forget_others, give_back
 
 SAMPLE = 8000  # labelled rows of each label, at most
 ORDINARY = 0.2  # what the idf of a word counts that doesn't mark label 1
@@ -35,6 +35,7 @@ FREQUENT = 20  # terms in at least 1 / FREQUENT of the examples stand in a dense
 BLOCK, FIRST = 32, 8  # examples of a block; blocks that are compared at once
 K = 8  # neighbours
 TOGETHER = 64  # texts compared together
+PART = 1 << 18  # postings weighed together
 SOFTEN = 0.02  # the vote of a neighbour is 1 / (distance + SOFTEN)
 REJECT = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -113,24 +114,37 @@ class Index:
         self.dense = np.zeros((len(often), n_blocks * BLOCK), np.float32)
         tf = tf_table(self.counts).astype(np.float32)
         scale, norms = self.scale.astype(np.float32), self.norms.astype(np.float32)
-        term = np.repeat(np.arange(len(self.words), dtype=np.int32), self.have)
-        at = self.column[term]
-        own = np.flatnonzero(at >= 0)
-        self.dense[at[own], self.example[own]] = tf[self.counts[own]] * scale[term[own]] / norms[self.example[own]]
-        rare = at < 0
-        del at, own
-        term, self.place = term[rare], self.example[rare]
-        self.weight = tf[self.counts[rare]]
-        self.weight *= scale[term]
-        self.weight /= norms[self.place]
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (self.place[1:] // BLOCK != self.place[:-1] // BLOCK)
-        start = np.flatnonzero(new).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, start) if len(start) else self.weight
-        self.block, self.postings = self.place[start] // BLOCK, np.append(start, np.int32(len(term)))
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(term[start], minlength=len(self.words)))]).astype(np.int32)
+        ends = np.cumsum(self.have, dtype=np.int64)
+        rare_ends = np.cumsum(np.where(self.column < 0, self.have, 0), dtype=np.int64)
+        n, done = int(rare_ends[-1]) if len(rare_ends) else 0, 0
+        self.place, self.weight, new = np.empty(n, self.example.dtype), np.empty(n, np.float32), np.zeros(n, bool)
+        for a in range(0, len(self.example), PART):  # in parts, as several workers do so beside one another
+            of = np.searchsorted(ends, np.arange(a, min(a + PART, len(self.example))), "right").astype(np.int32)
+            place, at = self.example[a : a + PART], self.column[of]
+            weight = tf[self.counts[a : a + PART]] * scale[of] / norms[place]
+            own, rare = at >= 0, at < 0
+            self.dense[at[own], place[own]] = weight[own]
+            part = slice(done, done + int(rare.sum()))
+            self.place[part], self.weight[part], done = place[rare], weight[rare], part.stop
+        firsts = np.append(0, rare_ends[:-1])[: len(rare_ends)]
+        new[firsts[firsts < rare_ends]] = True
+        for a in range(1, n, PART):
+            blocks = self.place[a - 1 : a + PART] // BLOCK
+            new[a : a + PART] |= blocks[1:] != blocks[:-1]
+        entries = int(np.count_nonzero(new))
+        self.postings, self.block, self.most, done = np.full(entries + 1, n, np.int32), np.empty(entries, self.place.dtype), np.empty(entries, np.float32), 0
+        for a in range(0, n, PART):
+            start = np.flatnonzero(new[a : a + PART]) + a
+            self.postings[done : done + len(start)], done = start, done + len(start)
+        for a in range(0, entries, PART):
+            start, end = self.postings[a : min(a + PART, entries)], self.postings[min(a + PART, entries)]
+            self.block[a : a + PART] = self.place[start] // BLOCK
+            self.most[a : a + PART] = np.maximum.reduceat(self.weight[start[0] : end], start - start[0])
+        self.first = np.searchsorted(self.postings[:-1], np.append(firsts, n).astype(np.int32)).astype(np.int32)
         if self.sent:  # a worker needs it no more
             self.example = self.counts = self.have = None
+            del new, ends, rare_ends, firsts
+            give_back()
         self.ready = True
 
     def weigh(self, one: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

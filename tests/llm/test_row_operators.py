@@ -3,7 +3,9 @@
 import hashlib
 import io
 import math
+import pickle
 import re
+import tracemalloc
 import wave
 import zlib
 from collections import Counter, defaultdict
@@ -485,6 +487,30 @@ def test_bounds_skip_blocks_and_lose_nothing(monkeypatch):
         assert index.ids[a].tolist() == whole.ids[b].tolist() and np.allclose(x, y, atol=2e-6)
 
 
+def test_a_worker_makes_the_index_in_little_more_than_it_takes(monkeypatch):
+    monkeypatch.setattr(toxicity, "PART", 5000, raising=False)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.zipf(1.3, 300) % 20_000) for _ in range(2000)]
+    words, of = toxicity.terms_of(np.concatenate(sets).astype(np.uint64))
+    index = toxicity.build(np.arange(2000), np.arange(2000) % 2.0, np.array([len(x) for x in sets]), words, of, rng.integers(1, 4, len(of)), np.ones(2000))
+    postings = len(index.example)
+    index = pickle.loads(pickle.dumps(index))
+    tracemalloc.start()
+    try:
+        index.expand()
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert most - kept < 8 * postings
+    term = np.repeat(np.arange(len(index.first) - 1), np.diff(index.first))  # of each entry
+    size = np.diff(index.postings)
+    place = np.split(index.place, index.postings[1:-1])
+    assert (size > 0).all() and len(index.place) == index.postings[-1] and (index.column[term] < 0).all()
+    assert all((p // toxicity.BLOCK == b).all() for p, b in zip(place, index.block.tolist(), strict=True))
+    assert len({*zip(term.tolist(), index.block.tolist(), strict=True)}) == len(term)
+    assert np.array_equal(index.most, [w.max() for w in np.split(index.weight, index.postings[1:-1])])
+
+
 def test_a_copy_is_nearest_to_its_example(model):
     model, rows, _ = model
     texts = dict(rows)
