@@ -5,7 +5,7 @@ examples of label 0 up to 1 for one whose log odds of label 1 are MARKS standard
 
 Examples lie in blocks of BLOCK like ones. The index has postings by term, cut by block, and each term's largest weight in a block. For a
 text, the exact share of its frequent terms and the sums of these maxima bound the cosine with any example of a block; the FIRST best blocks are compared, and then those whose bound is
-above the K-th best cosine so far. So the K nearest examples are exact. They vote by distance; votes are calibrated by isotonic
+above the K-th best cosine so far. So the K nearest examples are exact. Postings are read by entry (a term's within a block), or by term where these blocks hold many of a text's entries. They vote by distance; votes are calibrated by isotonic
 regression over the leave-one-out votes of the examples, which a job computes. A text without words has no neighbours and gets the share of label 1.
 
 What is fitted is bounded by the sample: at most SAMPLE labelled rows of each label, chosen by a hash of the id, with all their words.
@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHES, checkpointed, forget_others, give_back
+from .common import checkpointed, forget_others, give_back
 
 SAMPLE = 8000  # labelled rows of each label, at most
 ORDINARY = 0.2  # what the idf of a word counts that doesn't mark label 1
@@ -35,36 +35,33 @@ FREQUENT = 20  # terms in at least 1 / FREQUENT of the examples stand in a dense
 BLOCK, FIRST = 32, 8  # examples of a block; blocks that are compared at once
 K = 8  # neighbours
 TOGETHER = 64  # texts compared together
+WHOLE = 3  # where the blocks to be compared hold 1 / WHOLE of a text's entries, its terms' postings are read in one run each
 PART = 1 << 18  # postings weighed together
 SOFTEN = 0.02  # the vote of a neighbour is 1 / (distance + SOFTEN)
 REJECT = 0.7
 WORD = re.compile(r"[^\W\d_]+")
+ASCII = re.compile(r"[\x00-\x7f]+")
+LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))  # ASCII that isn't a letter becomes a space
 
 
-class Known(dict):
-    """64-bit hashes of words, as bytes; forgotten all together beyond a bound."""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > 60_000:
-            self.clear()
-        out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")).to_bytes(8, "little")
-        if len(word) <= 256:
-            self[word] = out
-        return out
-
-
-_known = CACHES["toxicity"] = Known()
+def words_of(text: str) -> list[str] | list[bytes]:
+    """What WORD finds in the lower-cased text, in order; as UTF-8 where all that isn't ASCII is letters, since bytes are split several times as fast."""
+    text = text.lower()
+    return text.encode().translate(LETTERS).split() if WORD.fullmatch(ASCII.sub("", text) + "a") else WORD.findall(text)
 
 
 def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted hashes of a text's words, and how often each occurs."""
-    words = WORD.findall(text.lower()) if text else ()
-    return np.unique(np.frombuffer(b"".join(map(_known.__getitem__, words)), np.uint64), return_counts=True)
+    """The sorted 64-bit hashes of a text's words (of their UTF-8), and how often each occurs."""
+    digests = b"".join(map(xxhash.xxh3_64_digest, words_of(text))) if text else b""
+    return np.unique(np.frombuffer(digests, ">u8").astype(np.uint64), return_counts=True)
 
 
 def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The numbers first[i] .. first[i] + n[i] - 1, for one i after another."""
-    return np.repeat((first - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+    ends = np.cumsum(n, dtype=np.int64)
+    out = np.repeat(first - (ends - n), n)
+    out += np.arange(len(out))
+    return out
 
 
 def small(x: np.ndarray) -> np.ndarray:
@@ -164,7 +161,7 @@ class Index:
         for row, (terms, weights) in zip(often, weighed, strict=True):
             at = self.column[terms]
             row[at[at >= 0]] = weights[at >= 0]
-        return [self.closest(*one, part, but[i] if but else -1) for i, (one, part) in enumerate(zip(weighed, (often @ self.dense).astype(float), strict=True))]
+        return [self.closest(*one, part.astype(float), but[i] if but else -1) for i, (one, part) in enumerate(zip(weighed, often @ self.dense, strict=True))]
 
     def closest(self, terms: np.ndarray, weights: np.ndarray, cosines: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
         """The K nearest examples of one text, from the part of its cosines that frequent terms make up."""
@@ -172,17 +169,22 @@ class Index:
         lo = self.first[terms[rare]]
         size = self.first[terms[rare] + 1] - lo
         entry, w = spread(lo, size), np.repeat(weights[rare], size)
-        block = self.block[entry]
+        block = self.block.take(entry).astype(np.intp)
         cosines = cosines.reshape(-1, BLOCK)
-        bound = cosines.max(1, initial=0) + np.bincount(block, self.most[entry] * w, len(cosines))
+        bound = cosines.max(1, initial=0) + np.bincount(block, self.most.take(entry) * w, len(cosines))
 
         def compare(due: np.ndarray) -> None:
-            mine = due[block]
-            some = entry[mine]
-            first = self.postings[some]
-            size = self.postings[some + 1] - first
-            post = spread(first, size)
-            cosines.ravel()[:] += np.bincount(self.place[post], self.weight[post] * np.repeat(w[mine], size), cosines.size)
+            mine = np.flatnonzero(due.take(block))
+            if WHOLE * len(mine) < len(entry):
+                some, of = entry.take(mine), w.take(mine)
+                end = some + 1
+            else:  # a run for each term instead of one for each entry
+                some, end, of = lo, lo + size, weights[rare]
+            first = self.postings.take(some)
+            n = self.postings.take(end) - first
+            post = spread(first, n)
+            share = np.bincount(self.place.take(post), self.weight.take(post) * np.repeat(of, n), cosines.size)
+            cosines[due] += share.reshape(cosines.shape)[due]
             if but >= 0:
                 cosines.ravel()[but] = 0
 

@@ -487,6 +487,36 @@ def test_bounds_skip_blocks_and_lose_nothing(monkeypatch):
         assert index.ids[a].tolist() == whole.ids[b].tolist() and np.allclose(x, y, atol=2e-6)
 
 
+def test_a_text_near_all_blocks_reads_a_run_for_each_term(monkeypatch):
+    rng = np.random.default_rng(9)
+    names = [a + b + c for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefghijklmn"]
+    made = [toxicity.vector(" ".join(rng.choice(names, 25))) for _ in range(900)]  # all words rare, and alike in all blocks
+    args = np.arange(900), np.arange(900) % 2.0, np.array([len(h) for h, _ in made]), *toxicity.terms_of(np.concatenate([h for h, _ in made])), np.concatenate([n for _, n in made]), np.ones(900)
+    index, runs, spread = toxicity.build(*args), [], toxicity.spread
+    monkeypatch.setattr(toxicity, "spread", lambda first, n: runs.append(len(first)) or spread(first, n))
+    got = index.nearest(made[:50])
+    assert len(index.dense) == 0 and index.compared > index.skipped
+    entries = sum(int((index.first[t + 1] - index.first[t]).sum()) for t, _ in map(index.weigh, made[:50]))
+    assert sum(runs) < entries  # as many as the entries, if each entry were a run
+    monkeypatch.setattr(toxicity, "WHOLE", 0)  # by entry alone
+    for (a, x), (b, y) in zip(got, index.nearest(made[:50]), strict=True):
+        assert np.array_equal(a, b) and np.array_equal(x, y)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(), st.sampled_from("aB \n_1'\u00c9\u00df\u0130\u00b2\u00bd\u0663\u00a0\u2028\x1c\x85\u0301")), max_size=60))
+def test_words_split_as_bytes_are_those_of_the_pattern(text):
+    got = [w.decode() if isinstance(w, bytes) else w for w in toxicity.words_of(text)]
+    assert got == toxicity.WORD.findall(text.lower())
+    hashes, counts = toxicity.vector(text)
+    assert dict(zip(hashes.tolist(), counts.tolist(), strict=True)) == Counter(toxicity.xxhash.xxh3_64_intdigest(w.encode()) for w in got)
+
+
+def test_words_of_common_text_are_split_as_bytes():
+    assert toxicity.words_of("Grüße an ALLE, l'été 2024_x") == [w.encode() for w in ("grüße", "an", "alle", "l", "été", "x")]
+    assert toxicity.words_of("m² — \ud800 ja") == ["m²", "ja"]  # other characters: by the pattern
+
+
 def test_a_worker_makes_the_index_in_little_more_than_it_takes(monkeypatch):
     monkeypatch.setattr(toxicity, "PART", 5000, raising=False)
     rng = np.random.default_rng(6)
